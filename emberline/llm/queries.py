@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import op06_bpe, op07_minhash
+from emberline.llm import op03_suffix, op06_bpe, op07_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_dedup": op03_suffix.query,
     "op6_bpe": op06_bpe.query,
     "op7_minhash": op07_minhash.query,
 }
