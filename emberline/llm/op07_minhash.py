@@ -1,14 +1,14 @@
 """Operator 7: near duplicates by HyperMinHash.
 
-A document's distinct shingles are dealt into 128 buckets by one hash; a register keeps the leading-zero count of the
-bucket's smallest value and ten mantissa bits after it. Bands of four registers are the candidate keys. Candidates are
-first held against the collision-corrected Jaccard estimate of the registers, then against the full shingle sets.
-
-Equal sets collapse into a class before anything is paired. Within a band bucket every class is tested against the
-bucket's smallest class, which settles a group of copies in one round with as many pairs as members. Only members that
-are still in another component than the bucket's smallest class are then tested against the members of other
-components, so a large group that has already grown together makes no more pairs, and no link between two components
-that share a bucket is skipped.
+Each of 288 hash functions deals a document's distinct shingles anew; a register keeps the leading-zero count of the
+smallest value and ten mantissa bits after it. Bands of six registers are the candidate keys. Candidates are first held
+against the collision-corrected Jaccard estimate of the registers, then against the full shingle sets. Two documents
+of similarity 0.75 share no band once in ten thousand pairs, of 0.8 once in two million.
+
+Equal sets collapse into a class before anything is paired. In each round every band bucket has one pivot, drawn by a
+hash, and the members that are still in another component than the pivot's are tested against it: as many pairs as
+members, and a large group of copies grows together within a few rounds. What then still stands outside the component
+of its bucket's pivot is tested against all members of other components, so no link is skipped.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from emberline.llm import common
 from emberline.operators.components import connected_components
 from emberline.storage import materialize
 
-REGISTERS, ROWS, MANTISSA = 128, 4, 10
+REGISTERS, ROWS, MANTISSA = 288, 6, 10
 BANDS = REGISTERS // ROWS
+#: Rounds with one pivot for each bucket, before the rest is tested in full.
+ROUNDS = 4
 #: Texts handled in one vector step.
 TILE_BYTES = 1 << 20
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
@@ -88,139 +90,151 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return out
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers of sorted hashes: the top bits pick the bucket, the rest gives leading zeros and
-    mantissa. An empty bucket takes the next full one's value, with the distance to it mixed in by its place."""
-    bucket = (hashes >> np.uint64(57)).astype(np.int64)
-    head = np.flatnonzero(np.diff(bucket, prepend=-1))
-    rest = (hashes[head] << np.uint64(7)) | np.uint64(127)
-    zeros = 63 - np.floor(np.log2(rest.astype(np.float64))).astype(np.int64)
-    zeros = np.clip(zeros, 0, 53)
-    mantissa = ((rest << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)).astype(np.int64)
-    full = np.full(REGISTERS, -1, np.int64)
-    full[bucket[head]] = (zeros << MANTISSA) | mantissa
-    have = np.flatnonzero(full >= 0)
-    source = have[np.searchsorted(have, np.arange(REGISTERS)) % len(have)]
-    return full[source].astype(np.uint16)
-
-
-def estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity from two register rows, corrected for registers that agree by chance: a register's mantissa
-    is uniform, so unlike minima of like magnitude agree once in 2 ** MANTISSA, and magnitudes agree once in three."""
-    chance = 1 / (3 * (1 << MANTISSA))
-    return max(0.0, (float(np.mean(a == b)) - chance) / (1 - chance))
+_MULTIPLY, _XOR = (x.astype(np.uint32) for x in np.random.default_rng(7).integers(1, 1 << 32, (2, REGISTERS), dtype=np.uint64))
+_MULTIPLY |= np.uint32(1)
 
 
-_SKETCH = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("registers", pa.binary())])
-_SETS = pa.schema([("doc", pa.int64()), ("shingles", pa.binary()), ("registers", pa.binary())])
+def registers(sets: list[np.ndarray]) -> np.ndarray:
+    """HyperMinHash registers of each non-empty set of 64-bit hashes: leading zeros and mantissa of the least value."""
+    n = np.array([len(x) for x in sets], np.int64)
+    start = np.cumsum(n) - n
+    flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+    least = np.stack([np.minimum.reduceat((flat ^ x) * m, start) for m, x in zip(_MULTIPLY, _XOR)], 1)
+    exact = least.astype(np.float64) + 0.5
+    high = np.floor(np.log2(exact)).astype(np.int64)
+    mantissa = ((exact * 2.0 ** -high - 1) * (1 << MANTISSA)).astype(np.int64)
+    return (((31 - high) << MANTISSA) | mantissa).astype(np.uint16)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
-    for rows in common.chunked(batches, "text", TILE_BYTES):
-        data, offsets = common.utf8(rows.column("text"))
-        yield rows, shingle_sets(data, offsets, width)
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of rows of registers, corrected for registers that agree by chance: unlike minima of like
+    magnitude agree once in 2 ** MANTISSA, and magnitudes agree once in three."""
+    chance = 1 / (3 * (1 << MANTISSA))
+    return np.maximum(0.0, ((a == b).mean(1) - chance) / (1 - chance))
+
+
+_SKETCH = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("registers", pa.binary())])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for rows, sets in _sets(batches, width):
-        set_a = [int(x.sum().astype(np.int64)) if len(x) else 0 for x in sets]
-        set_b = [int(_mix(x).sum().astype(np.int64)) if len(x) else 0 for x in sets]
-        regs = [registers(x) if len(x) else None for x in sets]
-        bands = []
-        for r in regs:
-            if r is None:
-                bands.append([])
-                continue
-            key = _mix(r.reshape(BANDS, ROWS).view(np.uint64).ravel() ^ _mix(np.arange(1, BANDS + 1, dtype=np.uint64)))
-            bands.append(key.astype(np.int64))
+    for rows in common.chunked(batches, "text", TILE_BYTES):
+        sets = shingle_sets(*common.utf8(rows.column("text")), width)
+        full = [x for x in sets if len(x)]
+        found = iter(registers(full) if full else ())
         yield pa.RecordBatch.from_arrays(
-            [rows.column("doc").combine_chunks(), pa.array([len(x) for x in sets], pa.int64()), pa.array(set_a, pa.int64()), pa.array(set_b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array([None if r is None else r.tobytes() for r in regs], pa.binary())],
+            [
+                rows.column("doc").combine_chunks(),
+                pa.array([len(x) for x in sets], pa.int64()),
+                pa.array([int(x.sum().astype(np.int64)) for x in sets], pa.int64()),
+                pa.array([int(_mix(x).sum().astype(np.int64)) for x in sets], pa.int64()),
+                pa.array([next(found).tobytes() if len(x) else None for x in sets], pa.binary()),
+            ],
             schema=_SKETCH,
         )
 
 
-def _full(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for rows, sets in _sets(batches, width):
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("doc").combine_chunks(), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([registers(x).tobytes() if len(x) else None for x in sets], pa.binary())], schema=_SETS
-        )
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's band keys: a hash of the band's number and its registers."""
+    for batch in batches:
+        rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
+        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2])
+        for k in range(ROWS):
+            key = _mix(key * np.uint64(_BASE) + rows[:, :, k])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS), pa.int64()), pa.array(key.ravel().astype(np.int64), pa.int64())], ["rep", "band"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that the registers don't rule out: the estimate is at most six standard errors below the bound."""
+    bound = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
     for batch in batches:
-        keep = []
-        for sa, sb, ra, rb in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sa", "sb", "ra", "rb"))):
-            a, b = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-            small, large = sorted((len(a), len(b)))
-            ok = 100 * small >= percent * large
-            if ok and small >= 4 * REGISTERS:  # six standard errors below the bound: can't be a link
-                ok = estimate(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16)) >= percent / 100 - 6 * (0.25 / REGISTERS) ** 0.5
-            if ok:
-                both = np.sort(np.concatenate((a, b)))
-                common_n = int((both[1:] == both[:-1]).sum())
-                ok = 100 * common_n >= percent * (len(a) + len(b) - common_n)
-            keep.append(ok)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        u, v, nu, nv, ru, rv = (batch.column(batch.schema.get_field_index(c)) for c in ("u", "v", "nu", "nv", "ru", "rv"))
+        a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in (ru, rv))
+        n = np.stack((nu.to_numpy(), nv.to_numpy()))
+        ok = (estimates(a, b) >= bound) & (100 * n.min(0) >= percent * n.max(0))
+        yield pa.RecordBatch.from_arrays([u, v], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(u, v)`` whose full sets are similar enough."""
-    ids = materialize(pairs.select("u").union(pairs.select("v")).distinct(), "ids")
-    small = ids.count() <= BROADCAST_IDS
-    picked = docs.join(F.broadcast(ids) if small else ids, docs["doc"] == ids["u"], "left_semi").dropDuplicates(["doc"])
-    sets = materialize(picked.mapInArrow(lambda it: _full(it, width), "doc long, shingles binary, registers binary"), "sets")
-    left = sets.select(F.col("doc").alias("u"), F.col("shingles").alias("sa"), F.col("registers").alias("ra"))
-    right = sets.select(F.col("doc").alias("v"), F.col("shingles").alias("sb"), F.col("registers").alias("rb"))
-    return materialize(pairs.join(right, "v").join(left, "u").select("u", "v", "sa", "sb", "ra", "rb").mapInArrow(lambda it: _verify(it, percent), "u long, v long"), "links")
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([common.pack((x or "").encode()) for x in batch.column(1).to_pylist()], pa.binary())], ["doc", "text"])
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose full shingle sets are similar enough. Pairs of one pivot come together: its set is made once."""
+
+    def one(packed: bytes) -> np.ndarray:
+        data = np.frombuffer(common.unpack(packed), np.uint8)
+        return shingle_sets(data, np.array([0, len(data)]), width)[0]
+
+    last, a = None, None
+    for batch in batches:
+        keep = []
+        for v, tu, tv in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("v", "tu", "tv"))):
+            if v != last:
+                last, a = v, one(tv)
+            b = one(tu)
+            both = np.sort(np.concatenate((a, b)))
+            shared = int((both[1:] == both[:-1]).sum())
+            keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)``, a row for each input row with an id.
 
     Links join documents whose shingle sets have 100 * intersection >= percent * union; ``component_id`` is the smallest
-    id reachable. Null, empty or word-free texts have no shingles and no links. Rows that repeat an id count as one
-    document with the smallest of its sets' hashes as its set; rows with a null id are dropped, having no name to link by.
-    Other columns aren't read.
+    id reachable. Null, empty or word-free texts have no shingles and no links. Rows that repeat an id are one document
+    to whatever links to any of them. Rows with a null id are left out, having no name to link by. Other columns aren't
+    read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    sketch = materialize(docs.mapInArrow(lambda it: _sketches(it, width), "doc long, n long, set_a long, set_b long, bands array<long>, registers binary"), "sketch")
-    classes = materialize(sketch.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
-    bands = materialize(
-        sketch.where("n > 0").select("doc", "bands", "set_a", "set_b", "n")
-        .join(classes.select("set_a", "set_b", F.col("n").alias("cn"), "rep"), ["set_a", "set_b"])
-        .where("n = cn and doc = rep").select("rep", F.explode("bands").alias("band")).distinct(),
-        "bands",
-    )
-    smallest = bands.groupBy("band").agg(F.min("rep").alias("low"), F.count("*").alias("members")).where("members > 1").drop("members")
-    shared = materialize(bands.join(smallest, "band"), "shared")
-    pairs = materialize(shared.where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct(), "pairs")
-    links = _confirmed(docs, pairs, width, percent)
-    label = materialize(connected_components(links), "label")
-
-    placed = shared.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", "low", F.coalesce("component", "rep").alias("own"))
-    of_low = label.select(F.col("node").alias("low"), F.col("component").alias("low_own"))
-    placed = materialize(placed.join(of_low, "low", "left").select("band", "rep", "own", F.coalesce("low_own", "low").alias("low_own")), "placed")
-    outside = placed.where("own <> low_own").select("band", F.col("rep").alias("x"), F.col("own").alias("x_own"), F.col("low_own").alias("x_low"))
-    open_bands = outside.select("band").distinct()
-    more = (
-        outside.join(placed.join(open_bands, "band", "left_semi"), "band")
-        .where("own <> x_own and (own = x_low or rep < x)")
-        .select(F.greatest("rep", "x").alias("u"), F.least("rep", "x").alias("v")).distinct()
-        .join(pairs, ["u", "v"], "left_anti")
-    )
-    more = materialize(more, "more")
-    if more.limit(1).count():
-        links = links.union(_confirmed(docs, more, width, percent))
+    sketch = materialize(docs.mapInArrow(lambda it: _sketches(it, width), "doc long, n long, set_a long, set_b long, registers binary"), "sketch")
+    whole = sketch.where("n > 0")
+    classes = materialize(whole.groupBy("set_a", "set_b", "n").agg(F.min_by(F.struct("doc", "registers"), "doc").alias("r")).select("set_a", "set_b", "n", "r.*"), "classes")
+    bands = classes.select(F.col("doc").alias("rep"), "registers").mapInArrow(_bands, "rep long, band long")
+    many = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
+    shared = materialize(bands.join(many, "band", "left_semi").distinct(), "shared")
+    ids = materialize(shared.select(F.col("rep").alias("doc")).distinct(), "ids")
+    small = ids.count() <= BROADCAST_IDS
+    picked = docs.join(F.broadcast(ids) if small else ids, "doc", "left_semi")
+    texts = materialize(picked.mapInArrow(_packed, "doc long, text binary"), "texts")
+    marks = materialize(classes.join(ids, "doc", "left_semi").select("doc", "n", "registers"), "marks")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        side = lambda t, x, *names: t.select(F.col("doc").alias(x), *(F.col(a).alias(b) for a, b in names))
+        likely = pairs.join(side(marks, "u", ("n", "nu"), ("registers", "ru")), "u").join(side(marks, "v", ("n", "nv"), ("registers", "rv")), "v")
+        likely = materialize(likely.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(lambda it: _likely(it, percent), "u long, v long").distinct(), "likely")
+        sets = likely.join(side(texts, "u", ("text", "tu")), "u").join(side(texts, "v", ("text", "tv")), "v")
+        return materialize(sets.select("u", "v", "tu", "tv").mapInArrow(lambda it: _confirm(it, width, percent), "u long, v long").distinct(), "links")
+
+    links = label = None
+    for turn in range(ROUNDS + 1):
+        placed = shared.withColumn("own", F.col("rep"))
+        if label is not None:
+            placed = shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("own"))
+        pivot = placed.groupBy("band").agg(F.min_by(F.struct("rep", "own"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("p"), F.min("own").alias("a"), F.max("own").alias("b"))
+        pivot = pivot.where("a <> b").select("band", F.col("p.rep").alias("v"), F.col("p.own").alias("v_own"))
+        apart = placed.join(pivot, "band").where("own <> v_own")
+        if turn < ROUNDS:
+            pairs = apart.select(F.col("rep").alias("u"), "v")
+        else:
+            placed = materialize(placed.join(pivot.select("band"), "band", "left_semi"), "placed")
+            outside = apart.select("band", F.col("rep").alias("x"), F.col("own").alias("x_own"), "v_own")
+            pairs = outside.join(placed, "band").where("own <> x_own and (own = v_own or rep < x)").select(F.col("x").alias("u"), F.col("rep").alias("v"))
+        pairs = materialize(pairs.distinct(), "pairs")
+        if not pairs.take(1):
+            break
+        found = linked(pairs)
+        links = found if links is None else links.union(found)
         label = materialize(connected_components(links), "label")
 
-    member = (
-        sketch.select("doc", "n", "set_a", "set_b").join(classes.select("set_a", "set_b", "n", "rep"), ["set_a", "set_b", "n"], "left")
-        .select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
-        .join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc", "n", F.coalesce("component", "rep").alias("component_id"))
-    )
+    member = sketch.select("doc", "n", "set_a", "set_b").join(classes.select("set_a", "set_b", "n", F.col("doc").alias("rep")), ["set_a", "set_b", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
+    if label is not None:
+        member = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component_id"))
+    else:
+        member = member.withColumnRenamed("rep", "component_id")
     return member.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))
 
 

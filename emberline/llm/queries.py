@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import op03_suffix, op06_bpe, op07_minhash
+from emberline.llm import op01_divergence, op02_chat, op03_suffix, op05_mix, op06_bpe, op07_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_divergence": op01_divergence.query,
+    "op2_perspectives": op02_chat.query,
     "op3_suffix_dedup": op03_suffix.query,
+    "op5_mix": op05_mix.query,
     "op6_bpe": op06_bpe.query,
     "op7_minhash": op07_minhash.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_divergence": op01_divergence.ORACLE,
+    "op2_perspectives": op02_chat.ORACLE,
+    "op5_mix": op05_mix.ORACLE,
+}
