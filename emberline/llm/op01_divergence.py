@@ -26,27 +26,30 @@ COMMON = (
 WIDEST = max(map(len, COMMON))
 #: Words a text needs before each histogram is judged; words a reference needs.
 LEAST_WORDS_CLASSES, LEAST_WORDS_COMMON, LEAST_REFERENCE = 50, 80, 1000
-#: Distances above which a text is rejected.
-MOST_CLASSES, MOST_COMMON = 0.25, 0.42
+#: Distances above which a text is rejected: either one alone, or both together.
+MOST_CLASSES, MOST_COMMON = 0.30, 0.42
+BOTH_CLASSES, BOTH_COMMON = 0.14, 0.25
 SYMBOLS = r"#*$%&|<>"
 
 
 def _repeat_words(words: Column) -> Column:
     """How many words lie in a 3-word window that occurs twice or more. Windows are sorted with their positions by a
     64-bit hash; texts without equal windows are settled by the count of distinct ones."""
-    n = F.size(words)
-    grams = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  evaluates x once, where a lambda would for each element
 
     def covered(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        near = F.transform(pairs, lambda x, i: F.when((F.get(pairs, i - 1)["h"] == x["h"]) | (F.get(pairs, i + 1)["h"] == x["h"]), x["i"]))
-        at = F.sort_array(F.array_compact(near))
-        steps = F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.coalesce(F.least(F.lit(3), b - a), F.lit(3)))
-        return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
+        equal = lambda p: F.filter(p, lambda x, k: (F.get(p, k - 1)["h"] == x["h"]) | (F.get(p, k + 1)["h"] == x["h"]))
+        at = F.sort_array(F.transform(bound(pairs, equal), lambda x: x["i"]))
+        steps = lambda a: F.zip_with(a, F.slice(a, 2, F.size(a)), lambda x, y: F.coalesce(F.least(F.lit(3), y - x), F.lit(3)))
+        return F.aggregate(bound(at, lambda a: F.when(F.size(a) > 0, steps(a)).otherwise(F.array().cast("array<int>"))), F.lit(0), lambda s, x: s + x)
 
-    # a lambda's argument is evaluated once where a repeated column expression may not be
-    each = F.transform(F.array(grams), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
-    return F.when(n >= 3, F.get(each, F.lit(0))).otherwise(0).cast("long")
+    def of(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)))
+        count = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))
+        return F.when(F.size(w) >= 3, bound(grams, count)).otherwise(0)
+
+    return bound(words, of).cast("long")
 
 
 def measured(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -116,7 +119,8 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: str =
         "class_distance": F.when(known & (F.col("n_words") >= LEAST_WORDS_CLASSES), F.col("class_distance")),
         "word_distance": F.when(known & (F.col("n_words") >= LEAST_WORDS_COMMON), F.col("word_distance")),
     })
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASSES) & (F.coalesce("word_distance", F.lit(0.0)) <= MOST_COMMON)
+    by_class, by_word = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
+    near = (by_class <= MOST_CLASSES) & (by_word <= MOST_COMMON) & ~((by_class > BOTH_CLASSES) & (by_word > BOTH_COMMON))
     return rows.select(
         *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & near).alias("kept"), "class_distance", "word_distance",
@@ -160,5 +164,6 @@ j AS (SELECT b.*, CASE WHEN ref_words >= {LEAST_REFERENCE} AND n_words >= {LEAST
     CASE WHEN ref_words >= {LEAST_REFERENCE} AND n_words >= {LEAST_WORDS_COMMON} THEN {_sql_distance("words", "ref_common")} END AS word_distance FROM b JOIN h USING (lang))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(class_distance, 0) <= {MOST_CLASSES} AND coalesce(word_distance, 0) <= {MOST_COMMON} AS kept, class_distance, word_distance FROM j
+  NOT base_failed AND coalesce(class_distance, 0) <= {MOST_CLASSES} AND coalesce(word_distance, 0) <= {MOST_COMMON}
+  AND NOT (coalesce(class_distance, 0) > {BOTH_CLASSES} AND coalesce(word_distance, 0) > {BOTH_COMMON}) AS kept, class_distance, word_distance FROM j
 """
