@@ -373,6 +373,18 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", carry: tuple[str, ..
     return first.where("kind = 0").select("chunk", "a").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lambda x, y: _cut(x, y, columns, schema), out)
 
 
+def with_text(out: DataFrame) -> DataFrame:
+    """The rows of ``remove_repeats`` with the column ``text``: what is kept, without pieces of characters that a cut
+    went through. Keeps the other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.column(batch.schema.get_field_index("kept")).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())], [*batch.schema.names, "text"])
+
+    return out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField("text", T.StringType())]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
