@@ -59,7 +59,7 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Ite
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in names), np.uint32, len(names))
         head = pa.table({"doc": rows.column("doc"), "n": pa.array([len(c) for c in codes], pa.int64())})
         body = common.pack_table(head.combine_chunks())
-        positions = common.pack(common.varint(rank[flat]))
+        positions = common.pack_ints(rank[flat])
         out = [(None, chunk, body, positions, common.pack(bucket))]
         at = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[at])) + 1
@@ -98,7 +98,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
                     known[word] = got = one(word)
                 sizes.append(len(got))
                 ids += got
-            out.append({"bucket": bucket, "chunk": chunk, "n": common.pack(common.varint(np.array(sizes, np.int64))), "ids": common.pack(np.array(ids, np.uint32).astype("<u4"))})
+            out.append({"bucket": bucket, "chunk": chunk, "n": common.pack(common.varint(np.array(sizes, np.int64))), "ids": common.pack_ints(np.array(ids, np.uint32))})
         yield pa.RecordBatch.from_pylist(out, _IDS)
 
 
@@ -108,14 +108,14 @@ def _lay_out(left: pa.Table, right: pa.Table) -> pa.Table:
     if left.num_rows == 0:
         return schema.empty_table()
     head = common.unpack_table(left.column("a")[0].as_py())
-    positions = common.unvarint(common.unpack(left.column("b")[0].as_py(), np.uint8))
+    positions = common.unpack_ints(left.column("b")[0].as_py())
     bucket = common.unpack(left.column("c")[0].as_py(), np.uint32)
     size = np.zeros(len(bucket), np.int64)
     start = np.zeros(len(bucket), np.int64)
     parts, at = [], 0
     for b, n, ids in zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), right.column("ids").to_pylist()):
         own = np.flatnonzero(bucket == b)
-        n, ids = common.unvarint(common.unpack(n, np.uint8)), common.unpack(ids, "<u4")
+        n, ids = common.unvarint(common.unpack(n, np.uint8)), common.unpack_ints(ids)
         size[own], start[own] = n, at + np.cumsum(n) - n
         parts.append(ids)
         at += len(ids)
