@@ -24,9 +24,9 @@ from emberline.llm import common
 from emberline.storage import materialize
 
 #: Text bytes of a chunk: bounds the word list and the positions that a task holds.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Words a task remembers while it encodes; beyond it the memory is emptied and a word may be encoded again.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 def ranks(path: str) -> dict[bytes, int]:
