@@ -1 +1 @@
-
+"""Where alerts and techniques come from."""
