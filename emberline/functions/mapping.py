@@ -125,79 +125,76 @@ INDEX = Mapping(
 )
 
 
-def _texts(record: Column, paths: tuple[str, ...]) -> tuple[Column, Column]:
-    """A list of strings from the first present path, and whether something in it is no scalar."""
-    none = F.lit(None).cast("array<string>")
-    found, bad = none, F.lit(False)
-    for p in reversed(paths):
-        v, each = V.present(V.lookup(record, p)), V.lookup_each(record, p)
-        nested = F.exists(each, lambda x: ~V.kind(x).isin("STRING", "BIGINT", "DECIMAL", "DOUBLE"))
-        listed = F.try_variant_get(v, "$", "array<string>")
-        wrong = F.schema_of_variant(v).rlike(r"^ARRAY<(OBJECT|ARRAY)|^OBJECT|^BOOLEAN")
-        mine = F.when(V.kind(v) == "ARRAY", listed).otherwise(F.array(V.to_text(v)))
-        found = F.when(v.isNotNull(), mine).when(each.isNotNull(), F.transform(each, V.to_text)).otherwise(found)
-        bad = F.when(v.isNotNull(), wrong).when(each.isNotNull(), nested).otherwise(bad)
-    return found, F.coalesce(bad, F.lit(False))
-
-
 ATTACK = "struct<tactic:struct<name:string,uid:string>,technique:struct<name:string,uid:string>>"
 
 
-def attacks(record: Column, paths: tuple[tuple[str, ...], ...]) -> tuple[Column, Column]:
-    """The four lists side by side; a list of one stands for all. Anything that is no scalar drops the whole list."""
-    lists, bad = zip(*(_texts(record, p) for p in paths))
-    wrong = bad[0] | bad[1] | bad[2] | bad[3]
-    n = F.greatest(*(F.coalesce(F.size(x), F.lit(0)) for x in lists))
-    at = lambda x, i: F.when((F.size(x) == 1) & (n > 1), F.get(x, F.lit(0))).otherwise(F.get(x, i))
+def _lists(rows: DataFrame, paths: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """Columns ``_a0`` to ``_a3`` (lists of strings, each from its first present path) and ``_wrong`` (something in one of
+    them is no scalar)."""
+    wrong = []
+    for j, options in enumerate(paths):
+        for k, p in enumerate(options):
+            values, nested = V.each_sql("payload", p)
+            rows = rows.withColumns({f"_o{j}{k}": F.expr(V.lookup_sql("payload", p)), f"_e{j}{k}": F.expr(values), f"_n{j}{k}": F.expr(nested)})
+        found, bad = F.lit(None).cast("array<string>"), F.lit(False)
+        for k in range(len(options) - 1, -1, -1):
+            v, each = F.col(f"_o{j}{k}"), F.col(f"_e{j}{k}")
+            there = V.present(v).isNotNull()
+            mine = F.when(V.kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<string>")).otherwise(F.array(V.to_text(v)))
+            odd = F.exists(each, lambda x: ~V.kind(x).isin("STRING", "BIGINT", "DECIMAL", "DOUBLE"))
+            found = F.when(there, mine).when(F.size(each) > 0, F.transform(each, V.to_text)).otherwise(found)
+            bad = F.when(there, F.schema_of_variant(v).rlike(r"^ARRAY<(OBJECT|ARRAY)|^OBJECT|^BOOLEAN")).when(F.size(each) > 0, odd).when(F.col(f"_n{j}{k}"), True).otherwise(bad)
+        rows = rows.withColumns({f"_a{j}": found, f"_w{j}": F.coalesce(bad, F.lit(False))})
+        wrong.append(F.col(f"_w{j}"))
+    return rows.withColumn("_wrong", wrong[0] | wrong[1] | wrong[2] | wrong[3])
+
+
+def _side_by_side(rows: DataFrame) -> DataFrame:
+    """``attacks`` from the four lists; a list of one stands for all. A wrong list drops the whole."""
+    rows = rows.withColumn("_n", F.greatest(*(F.coalesce(F.size(f"_a{j}"), F.lit(0)) for j in range(4))))
+    n = F.col("_n")
 
     def one(i: Column) -> Column:
-        name, uid, technique, label = (at(x, i) for x in lists)
+        name, uid, technique, label = (F.when((F.size(f"_a{j}") == 1) & (n > 1), F.get(f"_a{j}", F.lit(0))).otherwise(F.get(f"_a{j}", i)) for j in range(4))
         tactic = F.when(name.isNotNull() | uid.isNotNull(), F.struct(name.alias("name"), uid.alias("uid")))
         return F.struct(tactic.alias("tactic"), F.when(technique.isNotNull() | label.isNotNull(), F.struct(label.alias("name"), technique.alias("uid"))).alias("technique"))
 
-    made = F.transform(F.sequence(F.lit(0), n - 1), one)
-    some = F.filter(made, lambda a: a["tactic"].isNotNull() | a["technique"].isNotNull())
-    return F.when(wrong | (n == 0), F.array().cast(f"array<{ATTACK}>")).otherwise(some.cast(f"array<{ATTACK}>")), wrong
+    some = F.filter(F.transform(F.sequence(F.lit(0), n - 1), one), lambda a: a["tactic"].isNotNull() | a["technique"].isNotNull())
+    return rows.withColumn("attacks", F.when(F.col("_wrong") | (n == 0), F.array().cast(f"array<{ATTACK}>")).otherwise(some.cast(f"array<{ATTACK}>")))
 
 
 def normalize(raw: DataFrame, mapping: Mapping) -> DataFrame:
     """``raw(raw string, payload variant, fallback_uid string, received_ms long, source string)`` -> normalized alerts: the
-    finding as nested columns, with ``uid``, ``time`` and ``labels`` (``parse_error`` where something couldn't be cast).
+    finding's fields as columns, with ``uid``, ``time`` and ``labels`` (``parse_error`` where something couldn't be cast).
 
-    A row is never dropped: without a usable time it takes the time it was received, without an id the fallback.
+    A row is never dropped: without a usable time it takes the time it was received, without an id the fallback. The
+    lookups, the choice among them and the casts are steps of their own, so that no expression is repeated.
     """
-    r = F.col("payload")
-    when = V.first_present(r, list(mapping.time))
-    ms = V.to_ms(when, mapping.offset_minutes, mapping.assume_year)
-    level = V.first_present(r, list(mapping.severity))
-    steps = {
-        "time": F.coalesce(ms, F.col("received_ms")),
-        "original_time": V.to_text(when),
-        "severity_id": F.coalesce(V.severity(level), F.lit(0)),
-        "severity": V.to_text(V.first(level)),
-    }
-    errors = [F.when(ms.isNull(), F.lit("time: missing or not understood")), F.when(level.isNotNull() & V.severity(level).isNull(), V.failed(level, "severity"))]
-    fields = [F.struct(F.lit("severity").alias("k"), F.when(level.isNotNull() & V.severity(level).isNull(), F.to_json(level)).alias("v"))]
-    for rule in mapping.rules:
-        found = V.first_present(r, list(rule.sources))
-        moved = V.TRANSFORMS[rule.transform](found) if rule.transform else found
-        if rule.transform in ("int", "lower", "str"):
-            cast = moved
-        else:
-            cast = V.to_int(moved) if rule.target in INT_TARGETS else V.to_text(moved)
-        if rule.target in INT_TARGETS:
-            cast = cast.cast("bigint")
-        wrong = found.isNotNull() & cast.isNull()
-        errors.append(F.when(wrong, V.failed(found, rule.target)))
-        fields.append(F.struct(F.lit(rule.target).alias("k"), F.when(wrong, F.to_json(found)).alias("v")))
-        steps[rule.target] = F.when(found.isNull() & F.lit(rule.default is not None), F.lit(rule.default).cast("bigint" if rule.target in INT_TARGETS else "string")).otherwise(cast)
-    listed, wrong = attacks(r, mapping.attacks)
-    errors.append(F.when(wrong, F.lit("attacks: not a list of names and ids")))
-    wide = raw.select(
-        "*", *(c.alias(k.replace(".", "__")) for k, c in steps.items()), listed.alias("attacks"),
-        F.array_compact(F.array(*errors)).alias("parse_errors"),
-        F.map_from_entries(F.filter(F.array(*fields), lambda f: f["v"].isNotNull())).alias("unmapped_fields"),
-    )
+    sources = {"time": mapping.time, "severity": mapping.severity} | {r.target: r.sources for r in mapping.rules}
+    paths = list(dict.fromkeys(p for s in sources.values() for p in s))
+    place = {p: f"_p{k}" for k, p in enumerate(paths)}
+    rows = raw.select("*", *(F.expr(V.lookup_sql("payload", p)).alias(place[p]) for p in paths))
+    value = {t: f"_v{k}" for k, t in enumerate(sources)}
+    rows = rows.withColumns({value[t]: F.coalesce(*(V.present(F.col(place[p])) for p in s)) for t, s in sources.items()})
+    rows = rows.withColumns({value["severity"]: V.first(F.col(value["severity"]))} | {value[r.target]: V.TRANSFORMS[r.transform](F.col(value[r.target])) for r in mapping.rules if r.transform == "first"})
+    casts = {"_time": V.to_ms(F.col(value["time"]), mapping.offset_minutes, mapping.assume_year), "original_time": V.to_text(F.col(value["time"])), "_level": V.severity(F.col(value["severity"])), "severity": V.to_text(F.col(value["severity"]))}
+    for r in mapping.rules:
+        v = F.col(value[r.target])
+        cast = V.to_int(v).cast("bigint") if r.target in INT_TARGETS else V.TRANSFORMS[r.transform](v) if r.transform not in (None, "first", "int") else V.to_text(v)
+        casts["_c" + r.target.replace(".", "__")] = cast
+    rows = rows.withColumns(casts)
+    steps, errors, fields = {}, [F.when(F.col("_time").isNull(), F.lit("time: missing or not understood"))], []
+    for target, cast in (("severity", "_level"), *((r.target, "_c" + r.target.replace(".", "__")) for r in mapping.rules)):
+        wrong = F.col(value[target]).isNotNull() & F.col(cast).isNull()
+        errors.append(F.when(wrong, V.failed(F.col(value[target]), target)))
+        fields.append(F.struct(F.lit(target).alias("k"), F.when(wrong, F.to_json(value[target])).alias("v")))
+    for r in mapping.rules:
+        got = F.col("_c" + r.target.replace(".", "__"))
+        steps[r.target.replace(".", "__")] = got if r.default is None else F.when(F.col(value[r.target]).isNull(), F.lit(r.default)).otherwise(got)
+    steps |= {"time": F.coalesce("_time", "received_ms"), "severity_id": F.coalesce("_level", F.lit(0))}
+    rows = _side_by_side(_lists(rows.withColumns(steps), mapping.attacks))
+    errors.append(F.when(F.col("_wrong"), F.lit("attacks: not a list of names and ids")))
+    wide = rows.withColumns({"parse_errors": F.array_compact(F.array(*errors)), "unmapped_fields": F.map_from_entries(F.filter(F.array(*fields), lambda f: f["v"].isNotNull()))})
     have = set(wide.columns)
     col = lambda k: F.col(k.replace(".", "__")) if k.replace(".", "__") in have else F.lit(None).cast("bigint" if k in INT_TARGETS else "string")
     uid = F.coalesce(F.when(col("finding_info.uid") != "", col("finding_info.uid")), F.col("fallback_uid"))

@@ -35,25 +35,25 @@ def present(v: Column) -> Column:
     return F.when(v.isNotNull() & ~F.is_variant_null(v) & (F.schema_of_variant(v) != "ARRAY<VOID>"), v)
 
 
-def lookup(record: Column, path: str) -> Column:
-    """The value at a dotted path whose keys may be flat, nested or mixed (null: missing)."""
-    return F.coalesce(*(F.try_variant_get(record, _json_path(keys), "variant") for keys in _splits(path)))
+def lookup_sql(record: str, path: str) -> str:
+    """SQL of the value at a dotted path whose keys may be flat, nested or mixed (null: missing)."""
+    gets = [f"""try_variant_get({record}, "{_json_path(keys)}", 'variant')""" for keys in _splits(path)]
+    return f"coalesce({', '.join(gets)})" if len(gets) > 1 else gets[0]
 
 
-def lookup_each(record: Column, path: str) -> Column:
-    """As ``lookup``, but through a list on the way: the present values of its elements, as an array of variants."""
+def each_sql(record: str, path: str) -> tuple[str, str]:
+    """As ``lookup_sql``, but through a list on the way: SQL of the present values of its elements (an array of variants,
+    null if there are none), and of whether there is a list within the list."""
     parts = path.split(".")
-    found = []
+    found, nested = [], []
     for k in range(len(parts) - 1, 0, -1):
-        items = F.try_variant_get(record, _json_path(tuple(parts[:k])), "array<variant>")
-        inner = ".".join(parts[k:])
-        each = F.filter(F.transform(items, lambda x: lookup(x, inner)), lambda x: x.isNotNull())  # noqa: B023
-        found.append(F.when(F.size(each) > 0, each))
-    return F.coalesce(*found) if found else F.lit(None).cast("array<variant>")
-
-
-def first_present(record: Column, paths: list[str]) -> Column:
-    return F.coalesce(*(present(lookup(record, p)) for p in paths))
+        items = f"try_variant_get({lookup_sql(record, '.'.join(parts[:k]))}, '$', 'array<variant>')"
+        inner = parts[k:]
+        found.append(f"filter(transform({items}, x -> {lookup_sql('x', '.'.join(inner))}), y -> y is not null)")
+        nested += [f"coalesce(exists({items}, x -> schema_of_variant({lookup_sql('x', '.'.join(inner[:m]))}) like 'ARRAY%'), false)" for m in range(1, len(inner))]
+    # the list is the one at the first prefix that holds one; the others give null or nothing
+    values = f"filter(flatten(array_compact(array({', '.join(found)}))), y -> true)" if found else "cast(null as array<variant>)"
+    return values, " or ".join(nested) or "false"
 
 
 def failed(value: Column, target: str) -> Column:

@@ -41,8 +41,8 @@ def dispositions(placed: DataFrame) -> DataFrame:
     w = W.partitionBy("chain").orderBy("time", "uid")
     steps = placed.where("rank is not null").withColumn("p", F.lag("rank").over(w))
     sums = steps.groupBy("chain").agg(F.count("*").alias("n"), F.count_if(F.col("rank") > F.col("p")).alias("up"), F.count_if(F.col("rank") < F.col("p")).alias("down"))
-    kind = F.when(F.col("n") < 2, "unknown").when(F.col("down") > F.col("up"), "reversed").when(F.col("up") > 0, "progressing").otherwise("flat")
-    return placed.select("chain").distinct().join(sums, "chain", "left").select("chain", F.coalesce(kind, F.lit("unknown")).alias("disposition"))
+    kind = F.when(F.coalesce("n", F.lit(0)) < 2, "unknown").when(F.col("down") > F.col("up"), "reversed").when(F.col("up") > 0, "progressing").otherwise("flat")
+    return placed.select("chain").distinct().join(sums, "chain", "left").select("chain", kind.alias("disposition"))
 
 
 def label_of(name: Column) -> Column:

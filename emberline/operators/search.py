@@ -65,8 +65,9 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
-    """``(query, rank, uid, score)``: the best ``k`` of each query by score, then uid, scores to four places."""
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "uid"))
+    """``(query, rank, uid, score)``: the best ``k`` of each query by score, then uid, scores to four places. Scores equal to
+    six places are ties, whatever the order they were summed in."""
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 6)), "uid"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= max(k, 0)).select("query", "rank", "uid", F.round("score", 4).alias("score"))
 
 

@@ -90,7 +90,7 @@ def incident_titles(placed: DataFrame, alerts: DataFrame) -> DataFrame:
     credential access or persistence is named for that."""
     names = F.transform(tactic_names(F.col("attacks")), F.lower)
     shell = F.lower(F.concat_ws(" ", "title", "process_name", "cmd_line")).contains("powershell")
-    rows = placed.join(alerts, "uid").groupBy("chain").agg(
+    rows = placed.select("chain", "uid").join(alerts, "uid").groupBy("chain").agg(
         F.max_by("title", F.struct("severity_id", "time", "uid")).alias("t"), F.max(shell).alias("shell"),
         F.max(F.array_contains(names, "credential access")).alias("credential"), F.max(F.array_contains(names, "persistence")).alias("persistence"),
     )

@@ -1,10 +1,355 @@
-"""Registry of the alert-analytics queries and their SQL."""
+"""Registry of the alert-analytics queries over the driver's tables, and their DuckDB SQL.
+
+The tables hold no alerts, so both engines see the same alert view over ``events``: hosts and users from the event's
+fields, device addresses on even events (shared by several hosts over time), source addresses on odd ones, and every
+seventh event without a host.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from emberline.config import Prefilter, Settings
+from emberline.operators import entities as E, evidence, prefilter, search
+from emberline.operators.components import connected_components
+from emberline.operators.temporal import as_of, expired, first_arrival, intervals, sessions
+from emberline.plans import views
+from emberline.plans.run import Run, correlate
+from emberline.streaming.tables import latest_by_key
+
+SETTINGS = Settings(prefilter=Prefilter(severity_floor="none"))
+RULES = Prefilter("medium", ("10.0.0.0/28", "10.0.0.77"), ("USER3", "user5"), ("host12-1",))
+W_MS = SETTINGS.window_ms
+SEVERITIES = {"error": 5, "purchase": 4, "signup": 3, "view": 2, "click": 1}
+TACTIC_OF = {"signup": ("TA0001", "Initial Access"), "click": ("TA0002", "Execution"), "view": ("TA0007", "Discovery"), "purchase": ("TA0009", "Collection"), "error": ("TA0040", "Impact")}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def alert_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    bare = F.col("event_id") % 7 == 0
+    host = F.when(~bare, F.concat(F.lit("host"), k, F.lit("-"), (F.col("user_id") % 10).cast("string")))
+    ip = F.concat(F.lit("10.0.0."), k)
+    even = F.col("event_id") % 2 == 0
+    pick = lambda j: F.coalesce(*(F.when(F.col("event_type") == t, F.lit(v[j])) for t, v in TACTIC_OF.items()))
+    none = F.lit(None).cast("string")
+    tactic = F.struct(pick(1).alias("name"), pick(0).alias("uid"))
+    return e.select(
+        F.concat(F.lit("evt-"), "event_id").alias("uid"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time"),
+        F.coalesce(*(F.when(F.col("event_type") == t, F.lit(v)) for t, v in SEVERITIES.items())).alias("severity_id"),
+        F.concat(F.lit("Alert "), "event_type").alias("title"), host.alias("hostname"), F.concat(F.lit("user"), "user_id").alias("username"),
+        F.when(even & ~bare, ip).alias("device_ip"), F.when(~even | bare, ip).alias("src_ip"),
+        *(none.alias(c) for c in ("desc", "message", "mac", "agent_uid", "email", "process_guid", "process_name", "cmd_line", "dst_ip")),
+        F.array(F.struct(tactic.alias("tactic"), F.struct(none.alias("name"), none.alias("uid")).alias("technique"))).alias("attacks"),
+    )
+
+
+_RUNS: dict[tuple[str, str], Run] = {}
+
+
+def run_of(spark: SparkSession, sf_dir: str) -> Run:
+    """The run over a folder's alerts, made once for a session: its tables lie in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        _RUNS[key] = correlate(alert_view(spark, sf_dir), SETTINGS)
+    return _RUNS[key]
+
+
+_SEV = "CASE event_type " + " ".join(f"WHEN '{t}' THEN {v}" for t, v in SEVERITIES.items()) + " END"
+_RANK = "CASE event_type WHEN 'signup' THEN 2 WHEN 'click' THEN 3 WHEN 'view' THEN 8 WHEN 'purchase' THEN 10 WHEN 'error' THEN 13 END"
+_TNAME = "CASE event_type " + " ".join(f"WHEN '{t}' THEN '{v[1]}'" for t, v in TACTIC_OF.items()) + " END"
+A = f"""a AS (SELECT 'evt-' || event_id AS uid, event_id, epoch_us(ts) // 1000 AS time, {_SEV} AS severity_id, 'Alert ' || event_type AS title,
+  CASE WHEN event_id % 7 <> 0 THEN 'host' || (props->>'$.k') || '-' || (user_id % 10) END AS hostname, 'user' || user_id AS username,
+  CASE WHEN event_id % 2 = 0 AND event_id % 7 <> 0 THEN '10.0.0.' || (props->>'$.k') END AS device_ip,
+  CASE WHEN event_id % 2 <> 0 OR event_id % 7 = 0 THEN '10.0.0.' || (props->>'$.k') END AS src_ip, {_RANK} AS rank, {_TNAME} AS tactic FROM events)"""
+LEASE = """l AS (SELECT device_ip AS ip, time, max('host|hostname|' || hostname) AS owner FROM a WHERE device_ip IS NOT NULL AND hostname IS NOT NULL GROUP BY ALL)"""
+BRIDGE = """b AS (SELECT uid, time, 'host|hostname|' || hostname AS entity_uid, 1 AS pos FROM a WHERE hostname IS NOT NULL
+  UNION ALL SELECT uid, time, 'user|username|' || username, 3 FROM a
+  UNION ALL SELECT uid, a.time, coalesce(owner, 'ip|ip|' || src_ip), 4 FROM a ASOF LEFT JOIN l ON a.src_ip = l.ip AND a.time >= l.time WHERE src_ip IS NOT NULL),
+bridge AS (SELECT uid, time, entity_uid, min(pos) AS pos FROM b GROUP BY ALL)"""
+SESSIONS = f"""g AS (SELECT *, CASE WHEN time - lag(time) OVER w <= {W_MS} THEN 0 ELSE 1 END AS s FROM bridge WINDOW w AS (PARTITION BY entity_uid ORDER BY time, uid)),
+h AS (SELECT *, sum(s) OVER (PARTITION BY entity_uid ORDER BY time, uid ROWS UNBOUNDED PRECEDING) AS n FROM g),
+sess AS (SELECT *, min(time) OVER (PARTITION BY entity_uid, n) AS session, min(uid) OVER (PARTITION BY entity_uid, n) AS hub FROM h)"""
+CHAIN = """edge AS (SELECT DISTINCT uid AS u, hub AS v FROM sess WHERE uid <> hub),
+twoway AS (SELECT u, v FROM edge UNION SELECT v, u FROM edge),
+reach AS (SELECT u, v FROM twoway UNION SELECT r.u, e.v FROM reach r JOIN twoway e ON r.v = e.u),
+placed AS (SELECT uid, time, least(uid, coalesce((SELECT min(v) FROM reach WHERE reach.u = x.uid), uid)) AS chain FROM (SELECT DISTINCT uid, time FROM bridge) x)"""
+BASE = f"WITH RECURSIVE {A}, {LEASE}, {BRIDGE}, {SESSIONS}, {CHAIN}"
+NAMED = """seen AS (SELECT entity_uid, min(time) AS first_seen, max(time) AS last_seen FROM bridge GROUP BY entity_uid),
+prim AS (SELECT uid, arg_min(entity_uid, row(CASE WHEN entity_uid IN (SELECT owner FROM l) OR entity_uid LIKE 'ip|%' THEN 3 WHEN entity_uid LIKE 'host%' THEN 5 ELSE 6 END, pos, entity_uid)) AS entity_uid FROM bridge GROUP BY uid),
+freq AS (SELECT chain, entity_uid, count(*) AS n FROM placed JOIN prim USING (uid) GROUP BY ALL),
+top AS (SELECT chain, arg_min(entity_uid, row(-n, first_seen, entity_uid)) AS primary_entity FROM freq JOIN seen USING (entity_uid) GROUP BY chain),
+risk AS (SELECT entity_uid, CAST(sum([0, 1, 2, 4, 8, 16, 32][severity_id + 1]) AS DOUBLE) AS risk FROM bridge JOIN a USING (uid) GROUP BY entity_uid),
+steps AS (SELECT chain, rank, lag(rank) OVER (PARTITION BY chain ORDER BY p.time, uid) AS p FROM placed p JOIN a USING (uid)),
+disp AS (SELECT chain, CASE WHEN count(*) < 2 THEN 'unknown' WHEN count(*) FILTER (WHERE rank < p) > count(*) FILTER (WHERE rank > p) THEN 'reversed' WHEN count(*) FILTER (WHERE rank > p) > 0 THEN 'progressing' ELSE 'flat' END AS disposition FROM steps GROUP BY chain),
+crisk AS (SELECT chain, max(risk) AS raw, count(DISTINCT entity_uid) AS entity_count FROM bridge JOIN placed USING (uid) JOIN risk USING (entity_uid) GROUP BY chain),
+base AS (SELECT chain, count(*) AS alert_count, min(p.time) AS first_time, max(p.time) AS last_time, arg_min(uid, row(p.time, uid)) AS first_uid, max(severity_id) AS max_severity FROM placed p JOIN a USING (uid) GROUP BY chain),
+full_ AS (SELECT base.*, entity_count, disposition, primary_entity, split_part(primary_entity, '|', 3) AS primary_name, raw * CASE WHEN disposition = 'reversed' THEN 0.5 ELSE 1.0 END::DOUBLE AS risk FROM base JOIN crisk USING (chain) JOIN disp USING (chain) JOIN top USING (chain)),
+ids AS (SELECT *, strftime(make_timestamp(first_time * 1000), '%Y-%m-%d') AS date, regexp_replace(regexp_replace(primary_name, '[^A-Za-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS label FROM full_),
+chains AS (SELECT *, 'CHAIN-' || date || '-' || label || '-' || printf('%03d', row_number() OVER (PARTITION BY date, label ORDER BY first_time, first_uid)) AS cluster_id, risk >= 10 AS surfaced FROM ids)"""
+ALL = f"{BASE}, {NAMED}"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+@query("alerts_normalized", f"WITH {A} SELECT uid, time, strftime(make_timestamp(time * 1000), '%Y-%m-%dT%H:%M:%S.') || printf('%03d', time % 1000) || 'Z' AS time_dt, severity_id, hostname, username, device_ip, src_ip FROM a")
+def _(spark, d):
+    from emberline.functions.values import iso_ms
+
+    return alert_view(spark, d).select("uid", "time", iso_ms(F.col("time")).alias("time_dt"), "severity_id", "hostname", "username", "device_ip", "src_ip")
+
+
+_TR = lambda c: f"({c} IS NOT NULL AND (CAST(split_part({c}, '.', 4) AS INT) <= 15 OR {c} = '10.0.0.77'))"
+_DEC = f"""d AS (SELECT *, CASE WHEN severity_id > 0 AND severity_id < 3 THEN 'severity_floor' WHEN {_TR("src_ip")} OR {_TR("device_ip")} THEN 'trusted_ip'
+  WHEN username IN ('user3', 'user5') THEN 'expected_service_account' WHEN hostname = 'host12-1' THEN 'approved_scanner_host' END AS rule FROM a)"""
+
+
+@query("prefilter_decisions", f"WITH {A}, {_DEC} SELECT uid, rule, CASE rule WHEN 'severity_floor' THEN CAST(severity_id AS VARCHAR) WHEN 'trusted_ip' THEN CASE WHEN {_TR('src_ip')} THEN src_ip ELSE device_ip END WHEN 'expected_service_account' THEN username WHEN 'approved_scanner_host' THEN hostname END AS matched, rule IS NOT NULL AS suppressed FROM d")
+def _(spark, d):
+    return prefilter.decide(alert_view(spark, d), RULES).select("uid", "rule", "matched", "suppressed")
+
+
+@query("prefilter_counts", f"WITH {A}, {_DEC} SELECT coalesce(rule, 'kept') AS rule, count(*) AS alerts FROM d GROUP BY 1")
+def _(spark, d):
+    return prefilter.decide(alert_view(spark, d), RULES).groupBy(F.coalesce("rule", F.lit("kept")).alias("rule")).agg(F.count("*").alias("alerts"))
+
+
+@query("trusted_cidr_join", f"WITH {A}, n AS (SELECT * FROM (VALUES ('10.0.0.0/28', 0, 15), ('10.0.0.0/26', 0, 63), ('10.0.0.80/29', 80, 87)) t(network, lo, hi)), i AS (SELECT uid, coalesce(src_ip, device_ip) AS ip FROM a) SELECT uid, ip, (SELECT arg_min(network, row(hi - lo, network)) FROM n WHERE CAST(split_part(ip, '.', 4) AS INT) BETWEEN lo AND hi) AS network FROM i")
+def _(spark, d):
+    nets = spark.createDataFrame([("10.0.0.0/28",), ("10.0.0.0/26",), ("10.0.0.80/29",)], "network string")
+    return prefilter.trusted_join(alert_view(spark, d).select("uid", F.coalesce("src_ip", "device_ip").alias("ip")), nets)
+
+
+@query("dedup_first_arrival", "SELECT event_id, arrival FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY arrival) AS n FROM (SELECT event_id, epoch_us(ts) // 1000 + 1 AS arrival FROM events UNION ALL SELECT event_id, epoch_us(ts) // 1000 - event_id AS arrival FROM events WHERE event_id % 3 = 0)) WHERE n = 1")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    rows = e.select("event_id", (F.col("t") + 1).alias("arrival")).unionByName(e.where("event_id % 3 = 0").select("event_id", (F.col("t") - F.col("event_id")).alias("arrival")))
+    return first_arrival(rows, "event_id", "arrival")
+
+
+@query("entity_timeline_gaps", f"WITH {A} SELECT uid, username, time, time - lag(time) OVER (PARTITION BY username ORDER BY time, uid) AS gap FROM a")
+def _(spark, d):
+    w = W.partitionBy("username").orderBy("time", "uid")
+    return alert_view(spark, d).select("uid", "username", "time", (F.col("time") - F.lag("time").over(w)).alias("gap"))
+
+
+@query("entity_sessions", f"WITH {A}, {LEASE}, {BRIDGE}, {SESSIONS} SELECT uid, entity_uid, session FROM sess")
+def _(spark, d):
+    return sessions(run_of(spark, d).bridge.select("uid", "entity_uid", "time"), "entity_uid", "time", W_MS).select("uid", "entity_uid", "session")
+
+
+@query("alert_entities", f"WITH {A}, {LEASE}, {BRIDGE} SELECT uid, time, entity_uid, CAST(pos AS INT) AS pos FROM bridge")
+def _(spark, d):
+    return run_of(spark, d).bridge.select("uid", "time", "entity_uid", "pos")
+
+
+@query("chain_members", f"{BASE} SELECT uid, time, chain FROM placed")
+def _(spark, d):
+    return run_of(spark, d).placed.select("uid", "time", "chain")
+
+
+@query("chains", f"{ALL} SELECT cluster_id, alert_count, first_time, last_time, max_severity, entity_count, disposition, primary_entity, risk, surfaced FROM chains")
+def _(spark, d):
+    return run_of(spark, d).chains.select("cluster_id", "alert_count", "first_time", "last_time", "max_severity", "entity_count", "disposition", "primary_entity", "risk", "surfaced")
+
+
+@query("primary_entity", f"{ALL} SELECT uid, entity_uid AS primary_entity FROM prim")
+def _(spark, d):
+    return run_of(spark, d).primary.select("uid", "primary_entity")
+
+
+@query("entity_table", f"{ALL} SELECT entity_uid, split_part(entity_uid, '|', 3) AS name, split_part(entity_uid, '|', 1) AS domain, first_seen, last_seen FROM seen")
+def _(spark, d):
+    return run_of(spark, d).entities.select("entity_uid", "name", "domain", "first_seen", "last_seen")
+
+
+@query("ip_asof_owner", f"WITH {A}, {LEASE} SELECT uid, src_ip, owner FROM a ASOF LEFT JOIN l ON a.src_ip = l.ip AND a.time >= l.time WHERE src_ip IS NOT NULL")
+def _(spark, d):
+    a = alert_view(spark, d)
+    leases = a.where("device_ip is not null and hostname is not null").select(F.col("device_ip").alias("src_ip"), "time", F.concat(F.lit("host|hostname|"), "hostname").alias("owner"))
+    return as_of(a.where("src_ip is not null").select("uid", "src_ip", "time"), leases, "src_ip", "time", "owner").select("uid", "src_ip", "owner")
+
+
+@query("ip_leases", f"WITH {A}, c AS (SELECT device_ip AS ip, time, hostname, lag(hostname) OVER (PARTITION BY device_ip ORDER BY time, hostname) AS p FROM a WHERE device_ip IS NOT NULL AND hostname IS NOT NULL), k AS (SELECT * FROM c WHERE p IS NULL OR p <> hostname) SELECT ip, time AS start, lead(time) OVER (PARTITION BY ip ORDER BY time, hostname) AS \"end\", hostname FROM k")
+def _(spark, d):
+    return intervals(alert_view(spark, d).where("device_ip is not null").select(F.col("device_ip").alias("ip"), "time", "hostname"), "ip", "time", "hostname")
+
+
+@query("identifier_components", "WITH RECURSIVE e AS (SELECT DISTINCT 'h' || (event_id // 3) AS u, 'm' || (event_id // 5) % 997 AS v FROM events WHERE event_id % 2 = 0), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u, v FROM b UNION SELECT r.u, b.v FROM r JOIN b ON r.v = b.u) SELECT u AS node, least(u, min(v)) AS component FROM r GROUP BY u")
+def _(spark, d):
+    e = table(spark, d, "events").where("event_id % 2 = 0")
+    return connected_components(e.select(F.concat(F.lit("h"), F.floor(F.col("event_id") / 3)).alias("u"), F.concat(F.lit("m"), F.floor(F.col("event_id") / 5) % 997).alias("v")))
+
+
+@query("tactic_disposition", f"{ALL} SELECT chain, disposition FROM disp")
+def _(spark, d):
+    return run_of(spark, d).chains.select("chain", "disposition")
+
+
+@query("entity_risk", f"{ALL} SELECT entity_uid, risk FROM risk")
+def _(spark, d):
+    return run_of(spark, d).risk
+
+
+@query("surfaced_chains", f"{ALL} SELECT chain, risk FROM chains WHERE surfaced")
+def _(spark, d):
+    return run_of(spark, d).chains.where("surfaced").select("chain", "risk")
+
+
+@query("incident_title", f"{ALL} SELECT chain, arg_max(title, row(severity_id, p.time, uid)) AS incident_title FROM placed p JOIN a USING (uid) GROUP BY chain")
+def _(spark, d):
+    r = run_of(spark, d)
+    return views.incident_titles(r.placed, r.alerts)
+
+
+@query("lane_index", f"{ALL}, q AS (SELECT chain, uid, p.time, rank, tactic FROM placed p JOIN a USING (uid)) SELECT chain, uid, row_number() OVER (PARTITION BY chain ORDER BY time, uid) AS seq, tactic AS lane, dense_rank() OVER (PARTITION BY chain ORDER BY rank) - 1 AS lane_index FROM q")
+def _(spark, d):
+    r = run_of(spark, d)
+    return views.timeline(r.placed, r.alerts).select("chain", "uid", F.col("seq").cast("long").alias("seq"), "lane", "lane_index")
+
+
+@query("graph_links", f"{ALL}, n AS (SELECT uid, split_part(entity_uid, '|', 3) AS name FROM bridge) SELECT x.name AS a, y.name AS b, x.uid FROM n x JOIN n y ON x.uid = y.uid AND x.name < y.name")
+def _(spark, d):
+    r = run_of(spark, d)
+    return views.entity_links(r.bridge, r.entities)
+
+
+@query("graph_nodes", f"{ALL} SELECT entity_uid, split_part(entity_uid, '|', 3) AS name, split_part(entity_uid, '|', 1) AS domain, risk, (SELECT count(DISTINCT uid) FROM bridge b2 WHERE b2.entity_uid = risk.entity_uid) AS alert_count FROM risk")
+def _(spark, d):
+    r = run_of(spark, d)
+    return views.entity_nodes(r.bridge, r.entities, r.risk)
+
+
+@query("then_links", f"{ALL}, t AS (SELECT chain, lag(uid) OVER (PARTITION BY chain ORDER BY time, uid) AS src, uid AS dst FROM placed) SELECT * FROM t WHERE src IS NOT NULL")
+def _(spark, d):
+    return views.then_links(run_of(spark, d).placed)
+
+
+@query("entity_pane", f"{ALL} SELECT entity_uid, count(DISTINCT uid) AS alerts, count(DISTINCT chain) AS chains, min(bridge.time) AS first_seen, max(bridge.time) AS last_seen FROM bridge JOIN placed USING (uid) GROUP BY entity_uid")
+def _(spark, d):
+    r = run_of(spark, d)
+    return views.entity_pane(r.placed, r.bridge)
+
+
+@query("chain_list_topn", f"{ALL} SELECT cluster_id, alert_count, last_time FROM chains WHERE max_severity >= 4 ORDER BY last_time DESC, cluster_id DESC LIMIT 200")
+def _(spark, d):
+    return views.chain_list(run_of(spark, d).briefs(), min_severity=4).select("cluster_id", "alert_count", "last_time")
+
+
+@query("chain_briefs")
+def _(spark, d):
+    return run_of(spark, d).briefs()
+
+
+@query("chain_reports")
+def _(spark, d):
+    return run_of(spark, d).reports()
+
+
+@query("result_documents")
+def _(spark, d):
+    return views.result_documents(run_of(spark, d).summaries(), "https://soc.example", 0)
+
+
+@query("event_graph_nodes")
+def _(spark, d):
+    r = run_of(spark, d)
+    return views.event_graph(r.placed, r.alerts, r.bridge, r.entities)[0]
+
+
+@query("run_counters", f"{ALL} SELECT (SELECT count(*) FROM a) AS normalized, 0::BIGINT AS parse_flagged, 0::BIGINT AS suppressed, (SELECT count(*) FROM a) AS correlated, count(*) AS chains, count(*) FILTER (WHERE surfaced) AS surfaced, (SELECT count(*) FROM seen) AS entities FROM chains")
+def _(spark, d):
+    return run_of(spark, d).counters()
+
+
+@query("stale_entities", f"{ALL} SELECT entity_uid FROM seen WHERE last_seen < (SELECT max(time) FROM a) - {SETTINGS.retention_minutes * 60_000}")
+def _(spark, d):
+    r = run_of(spark, d)
+    now = r.alerts.agg(F.max("time")).first()[0] or 0
+    return E.stale(r.entities, now, SETTINGS.retention_minutes * 60_000).select("entity_uid")
+
+
+@query("expired_alerts", f"WITH {A} SELECT uid FROM a WHERE time < (SELECT max(time) FROM a) - {SETTINGS.retention_minutes * 60_000}")
+def _(spark, d):
+    a = alert_view(spark, d)
+    return expired(a, "time", a.agg(F.max("time")).first()[0] or 0, SETTINGS.retention_minutes * 60_000).select("uid")
+
+
+_TOK = "regexp_extract_all(lower({}), '[a-z0-9][a-z0-9._-]*')"
+
+
+@query("bm25_topk", f"""WITH w AS (SELECT doc_id AS uid, unnest({_TOK.format("source || ' ' || lang")}) AS t, 3 AS w FROM documents UNION ALL SELECT doc_id, unnest({_TOK.format("text")}), 1 FROM documents),
+tf AS (SELECT uid, t, sum(w) AS tf FROM w GROUP BY ALL), q AS (SELECT item_id AS query, t, least(count(*), 3) AS n FROM (SELECT item_id, unnest({_TOK.format("text")}) AS t FROM benchmark) GROUP BY ALL),
+len AS (SELECT uid, sum(tf) AS length FROM tf GROUP BY uid), m AS (SELECT avg(length) AS mean FROM len), c AS (SELECT count(*) AS docs FROM documents),
+idf AS (SELECT t, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, c GROUP BY t, docs),
+s AS (SELECT query, uid, sum(n * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN tf USING (t) JOIN idf USING (t) JOIN len USING (uid), m GROUP BY ALL)
+SELECT query, r AS rank, uid, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, uid) AS r FROM s WHERE score > 0) WHERE r <= 8""")
+def _(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("uid"), F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("body"))
+    out = search.bm25(table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text"), docs, SETTINGS.top_k)
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("cosine_topk", "SELECT query, r AS rank, uid, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, uid) AS r FROM (SELECT q.vec_id AS query, d.vec_id AS uid, list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0)) WHERE r <= 8")
+def _(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("uid"), F.col("embedding").alias("vector"))
+    out = search.cosine(v.where("uid % 50 = 0").withColumnRenamed("uid", "query"), v, SETTINGS.top_k)
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("redact_documents")
+def _(spark, d):
+    return evidence.redact(table(spark, d, "documents").select("doc_id", "text"), "text")
+
+
+@query("restored_documents", "SELECT doc_id, text FROM documents")
+def _(spark, d):
+    out = evidence.redact(table(spark, d, "documents").select("doc_id", "text"), "text")
+    return out.select("doc_id", evidence.restore(F.col("redacted"), F.col("tokens")).alias("text"))
+
+
+@query("flatten_props", "SELECT event_id, 'k' AS key, props->>'$.k' AS value FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", F.explode(evidence.flatten_payload("props")).alias("p")).select("event_id", "p.key", "p.value")
+
+
+@query("grounding_validation", "WITH v AS (SELECT event_id, 'T10' || printf('%02d', event_id % 30) AS t FROM events) SELECT event_id, CASE WHEN event_id % 30 < 20 THEN [t] ELSE [] END::VARCHAR AS accepted, CASE WHEN event_id % 30 < 20 THEN ['bad'] ELSE [lower(t), 'bad'] END::VARCHAR AS rejected, CASE WHEN event_id % 4 = 0 THEN 40 ELSE 90 END AS confidence FROM v")
+def _(spark, d):
+    t = F.format_string("T10%02d", F.col("event_id") % 30)
+    rows = table(spark, d, "events").select(
+        "event_id", F.array(F.lower(t), F.lit("bad")).alias("techniques"), F.array(*(F.lit(f"T10{k:02}") for k in range(20))).alias("candidates"),
+        F.array(F.when(F.col("event_id") % 4 == 0, "nowhere").otherwise("host.name")).alias("cited"), F.array(F.lit("host.name")).alias("evidence"), F.lit(90).alias("confidence"),
+    )
+    shown = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    return search.validate(rows).select("event_id", shown("accepted").alias("accepted"), shown("rejected").alias("rejected"), "confidence")
+
+
+@query("upsert_latest", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    return latest_by_key(o, "o_custkey", F.struct("o_orderdate", "o_orderkey")).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("conversation_threads", "SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles, count(*) FILTER (WHERE role = p) AS same_speaker FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) GROUP BY conv_id")
+def _(spark, d):
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations").withColumn("p", F.lag("role").over(w))
+    roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">")
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), roles.alias("roles"), F.count_if(F.col("role") == F.col("p")).alias("same_speaker"))
