@@ -1 +1 @@
-
+"""Continuous runs: micro-batches over versioned state."""
