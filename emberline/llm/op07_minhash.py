@@ -5,10 +5,10 @@ smallest value and ten mantissa bits after it. Bands of six registers are the ca
 against the collision-corrected Jaccard estimate of the registers, then against the full shingle sets. Two documents
 of similarity 0.75 share no band once in ten thousand pairs, of 0.8 once in two million.
 
-Equal sets collapse into a class before anything is paired. First every member of a band bucket is tested against the
-bucket's pivot, then those still outside its component against three more pivots drawn by hashes: a few pairs for each
-member, by which a large group of copies grows together. What then still stands outside the component of its bucket's
-pivot is tested against all members of other components, so no link is skipped.
+Equal sets collapse into a class before anything is paired. First every member of a band bucket is tested against two
+pivots, its smallest member and one drawn by a hash: a few pairs for each member, by which a large group of copies grows
+together. What then still stands outside the component of its bucket's pivot is tested against all members of other
+components, so no link is skipped.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from emberline.storage import materialize
 REGISTERS, ROWS, MANTISSA = 288, 6, 10
 BANDS = REGISTERS // ROWS
 #: Pivots of each bucket in the rounds before the rest is tested in full.
-PIVOTS = (1, 3)
+PIVOTS = (2,)
 #: Texts handled in one vector step.
 TILE_BYTES = 1 << 20
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
         placed = shared.withColumn("own", F.col("rep"))
         if label is not None:
             placed = shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("own"))
-        drawn = [F.struct(F.xxhash64("rep", F.lit(k)) if turn else F.lit(0).cast("long"), "rep", "own") for k in range(PIVOTS[turn] if turn < len(PIVOTS) else 1)]
+        drawn = [F.struct(F.xxhash64("rep", F.lit(k)) if k else F.lit(0).cast("long"), "rep", "own") for k in range(PIVOTS[turn] if turn < len(PIVOTS) else 1)]
         pivot = placed.groupBy("band").agg(F.array_distinct(F.array(*map(F.min, drawn))).alias("p"), F.min("own").alias("a"), F.max("own").alias("b"))
         pivot = pivot.where("a <> b").select("band", F.explode("p").alias("p")).select("band", F.col("p.rep").alias("v"), F.col("p.own").alias("v_own"))
         apart = placed.join(pivot, "band").where("own <> v_own")
