@@ -30,6 +30,8 @@ from emberline.storage import materialize
 SAMPLE = 20_000
 #: Voters at most, features at most, letters of a word's beginning, toxic rows a voter needs.
 VOTERS, FEATURES, BEGIN, LEAST = 60, 3000, (4, 5, 6, 8), 3
+#: From how many of a thousand words on a beginning counts as dense; candidates that voters are chosen from.
+DENSE, CANDIDATES = 10, 2000
 #: Rounds of expectation maximisation; accuracy of the known labels.
 ROUNDS, GOLD = 5, 0.99
 RIDGE = 1e-5
@@ -40,10 +42,22 @@ def _plain(text: str) -> str:
     return f" {_GAP.sub(' ', text.lower())} "
 
 
+def _dense(count: int, words: int) -> bool:
+    return count * 1000 >= DENSE * words
+
+
 def _beginnings(text: str) -> set[str]:
-    """Beginnings of words, and short words whole (with a space behind)."""
-    words = set(_plain(text).split())
-    return {w[:n] for w in words for n in BEGIN if len(w) >= n} | {f"{w} " for w in words if len(w) <= max(BEGIN) + 4}
+    """Beginnings of words, and short words whole (with a space behind); once more with an @ where they are dense."""
+    words = _plain(text).split()
+    every = Counter(words)
+    counts: Counter = Counter()
+    for w, c in every.items():
+        for n in BEGIN:
+            if len(w) >= n:
+                counts[w[:n]] += c
+        if len(w) <= max(BEGIN) + 4:
+            counts[f"{w} "] += c
+    return counts.keys() | {f"{k}@" for k, c in counts.items() if _dense(c, len(words))}
 
 
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,28 +79,37 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _automaton(features: list[str]):
-    import ahocorasick
-
-    found = ahocorasick.Automaton()
-    for k, f in enumerate(features):
-        found.add_word(f" {f}", k)
-    found.make_automaton()
-    return found
-
-
 def _match(batches: Iterator[pa.RecordBatch], features: list[str], voters: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """``(id, text)`` -> id, mask of votes, features as 16-bit numbers."""
-    scan = _automaton(features) if features else None
+    import ahocorasick
+
+    number = {f: k for k, f in enumerate(features)}
+    scan = ahocorasick.Automaton()
+    for f in {f.rstrip("@") for f in features}:
+        scan.add_word(f" {f}", (number.get(f), number.get(f"{f}@")))
+    scan.make_automaton()
     for batch in batches:
         masks, found = [], []
         for text in batch.column(1).to_pylist():
-            own = sorted({k for _, k in scan.iter(_plain(text))}) if text and scan else []
+            plain = _plain(text) if text and features else ""
+            counts = Counter(x for _, x in scan.iter(plain)) if plain.strip() else {}
+            words = len(plain.split()) if counts else 0
+            own = sorted([a for (a, _), c in counts.items() if a is not None] + [b for (_, b), c in counts.items() if b is not None and _dense(c, words)])
             masks.append(sum(1 << voters[k] for k in own if k in voters))
             found.append(np.array(own, "<u2").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.int64()), pa.array(found, pa.binary())], ["id", "mask", "features"])
 
 
+def _chosen(candidates: list[tuple[str, int]]) -> list[str]:
+    """Voters from the best candidates on, without those that only spell another one longer or shorter."""
+    out: list[tuple[str, int]] = []
+    for f, toxic in candidates:
+        a = f.rstrip("@ ")
+        if not any((a.startswith(b) or b.startswith(a)) and 0.9 <= toxic / n <= 1.1 for b, n in ((g.rstrip("@ "), n) for g, n in out)):
+            out.append((f, toxic))
+    return [f for f, _ in out[:VOTERS]]
+
+
 class LabelModel:
     """Base rate, and each voter's rate of firing by class, with weights that share correlated evidence."""
 
@@ -153,7 +176,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n0, n1 = (every["clean"] or 0, every["toxic"] or 0) if every else (0, 0)
     lift = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
     ranked = counts.where("feature <> ''").withColumn("z", lift * F.sqrt(F.col("clean") + F.col("toxic")))
-    voting = [r.feature for r in ranked.where(f"toxic >= {LEAST} and z > 3").orderBy(F.desc(lift * F.sqrt("toxic")), "feature").limit(VOTERS).collect()]
+    tried = ranked.where(f"toxic >= {LEAST} and z > 3").orderBy(F.desc(lift * F.sqrt("toxic")), F.length("feature"), "feature").limit(CANDIDATES)
+    voting = _chosen([(r.feature, r.toxic) for r in tried.collect()])
     features = voting + [r.feature for r in ranked.where(~F.col("feature").isin(voting or [""])).orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES - len(voting)).collect()]
     voters = {k: k for k in range(len(voting))}
 
