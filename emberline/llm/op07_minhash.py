@@ -31,6 +31,8 @@ PIVOTS = (2,)
 TILE_BYTES = 1 << 20
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Hashes of shingle sets that a task remembers while it confirms pairs (8 bytes each).
+REMEMBERED = 4_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -144,8 +146,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs that the registers don't rule out: the estimate is at most six standard errors below the bound."""
-    bound = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+    """Pairs that the registers don't rule out: the estimate is at most five standard errors below the bound."""
+    bound = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
     for batch in batches:
         u, v, nu, nv, ru, rv = (batch.column(batch.schema.get_field_index(c)) for c in ("u", "v", "nu", "nv", "ru", "rv"))
         a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in (ru, rv))
@@ -160,19 +162,27 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full shingle sets are similar enough. Pairs of one pivot come together: its set is made once."""
+    """Pairs whose full shingle sets are similar enough. Sets are made once and remembered up to ``REMEMBERED`` hashes."""
+    known: dict[int, np.ndarray] = {}
+    held = 0
+
+    def one(doc: int, packed: bytes) -> np.ndarray:
+        nonlocal held
+        got = known.get(doc)
+        if got is None:
+            data = np.frombuffer(common.unpack(packed), np.uint8)
+            got = shingle_sets(data, np.array([0, len(data)]), width)[0]
+            if held + len(got) > REMEMBERED:
+                known.clear()
+                held = 0
+            known[doc] = got
+            held += len(got)
+        return got
 
-    def one(packed: bytes) -> np.ndarray:
-        data = np.frombuffer(common.unpack(packed), np.uint8)
-        return shingle_sets(data, np.array([0, len(data)]), width)[0]
-
-    last, a = None, None
     for batch in batches:
         keep = []
-        for v, tu, tv in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("v", "tu", "tv"))):
-            if v != last:
-                last, a = v, one(tv)
-            b = one(tu)
+        for u, v, tu, tv in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("u", "v", "tu", "tv"))):
+            a, b = one(u, tu), one(v, tv)
             both = np.sort(np.concatenate((a, b)))
             shared = int((both[1:] == both[:-1]).sum())
             keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
