@@ -7,8 +7,8 @@ of similarity 0.75 share no band once in ten thousand pairs, of 0.8 once in two
 
 Equal sets collapse into a class before anything is paired. First every member of a band bucket is tested against two
 pivots, its smallest member and one drawn by a hash: a few pairs for each member, by which a large group of copies grows
-together. What then still stands outside the component of its bucket's pivot is tested against all members of other
-components, so no link is skipped.
+together. The members still outside a pivot's component are tested against eight pivots, and what then still stands
+outside is tested against all members of other components, so no link is skipped.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from emberline.storage import materialize
 REGISTERS, ROWS, MANTISSA = 288, 6, 10
 BANDS = REGISTERS // ROWS
 #: Pivots of each bucket in the rounds before the rest is tested in full.
-PIVOTS = (2,)
+PIVOTS = (2, 8)
 #: Texts handled in one vector step.
 TILE_BYTES = 1 << 20
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
@@ -219,27 +219,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
         sets = likely.join(side(texts, "u", ("text", "tu")), "u").join(side(texts, "v", ("text", "tv")), "v")
         return materialize(sets.select("u", "v", "tu", "tv").mapInArrow(lambda it: _confirm(it, width, percent), "u long, v long").distinct(), "links")
 
-    links = label = None
-    for turn in range(len(PIVOTS) + 1):
-        placed = shared.withColumn("own", F.col("rep"))
-        if label is not None:
-            placed = shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("own"))
-        drawn = [F.struct(F.xxhash64("rep", F.lit(k)) if k else F.lit(0).cast("long"), "rep", "own") for k in range(PIVOTS[turn] if turn < len(PIVOTS) else 1)]
+    placed = shared.withColumn("own", F.col("rep"))
+    links = None
+    for turn, n in enumerate((*PIVOTS, 1)):
+        drawn = [F.struct(F.xxhash64("rep", F.lit(k)) if k else F.lit(0).cast("long"), "rep", "own") for k in range(n)]
         pivot = placed.groupBy("band").agg(F.array_distinct(F.array(*map(F.min, drawn))).alias("p"), F.min("own").alias("a"), F.max("own").alias("b"))
         pivot = pivot.where("a <> b").select("band", F.explode("p").alias("p")).select("band", F.col("p.rep").alias("v"), F.col("p.own").alias("v_own"))
         apart = placed.join(pivot, "band").where("own <> v_own")
         if turn < len(PIVOTS):
-            pairs = apart.select(F.col("rep").alias("u"), "v")
+            pairs = apart.select(F.col("rep").alias("u"), "v", F.col("own").alias("u_own"), "v_own")
         else:
-            placed = materialize(placed.join(pivot.select("band"), "band", "left_semi"), "placed")
+            rest = materialize(placed.join(pivot.select("band"), "band", "left_semi"), "rest")
             outside = apart.select("band", F.col("rep").alias("x"), F.col("own").alias("x_own"), "v_own")
-            pairs = outside.join(placed, "band").where("own <> x_own and (own = v_own or rep < x)").select(F.col("x").alias("u"), F.col("rep").alias("v"))
+            pairs = outside.join(rest, "band").where("own <> x_own and (own = v_own or rep < x)").select(F.col("x").alias("u"), F.col("rep").alias("v"), F.col("x_own").alias("u_own"), F.col("own").alias("v_own"))
         pairs = materialize(pairs.distinct(), "pairs")
         if not pairs.take(1):
             break
-        found = linked(pairs)
+        found = linked(pairs.select("u", "v"))
         links = found if links is None else links.union(found)
-        label = materialize(connected_components(links), "label")
+        if turn == 0:
+            label = materialize(connected_components(links), "label").withColumnRenamed("node", "rep")
+            placed = shared.join(label, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("own"))
+        elif turn < len(PIVOTS):  # what is linked to a pivot goes to the pivot's component, if it is no pivot's itself
+            tied = pairs.join(found, ["u", "v"], "left_semi").select(F.col("u_own").alias("own"), "v_own").distinct()
+            moved = tied.join(tied.select(F.col("v_own").alias("own")), "own", "left_anti").groupBy("own").agg(F.min("v_own").alias("to"))
+            placed = placed.join(materialize(moved, "moved"), "own", "left").select("band", "rep", F.coalesce("to", "own").alias("own"))
+    label = None if links is None else materialize(connected_components(links), "label")
 
     member = sketch.select("doc", "n", "set_a", "set_b").join(classes.select("set_a", "set_b", "n", F.col("doc").alias("rep")), ["set_a", "set_b", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
     if label is not None:
