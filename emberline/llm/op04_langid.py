@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from emberline.llm import common
 from emberline.llm.op07_minhash import _mix, _powers
@@ -197,11 +197,12 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
     """``carry``, ``lang_pred``, ``score`` and ``n_switches`` (changes of language between neighbouring words), a row
     for each input row. Null texts and texts without a letter are ``und`` with score 0, and so are all if no language
     was learnt. A text in a script that wasn't learnt gets the least unlike language. Repeated rows get equal results;
-    other columns aren't read; an empty table gives an empty result."""
+    other columns aren't read; an empty table gives an empty result. ``carry`` columns must not be named like the new ones
+    (a struct of them can't be)."""
     common.small_batches(docs.sparkSession)
     rows = docs.select(*carry, F.col(text_col).alias("_text"))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(lambda it: _predict(it, model), f"{fields}, lang_pred string, score double, n_switches long")
+    fields = T.StructType([*docs.select(*carry).schema.fields, *T.StructType.fromDDL("lang_pred string, score double, n_switches long").fields])
+    return rows.mapInArrow(lambda it: _predict(it, model), fields)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

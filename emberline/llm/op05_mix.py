@@ -86,7 +86,7 @@ def apportion(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), id_col: str
     words = F.least(F.col("won") * BLOCK, F.col("shard_size") * TIMES)
     quota = materialize(quota.where("shard_size > 0").select("rank", "shard", F.floor(words / F.col("shard_size")).alias("times"), (words % F.col("shard_size")).alias("rest")), "quota")
 
-    order = W.partitionBy("rank", "shard").orderBy("_mark", F.col(id_col), "size") if id_col in carry else W.partitionBy("rank", "shard").orderBy("_mark", "size")
+    order = W.partitionBy("rank", "shard").orderBy("_mark", "size")
     end = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     laid = rows.withColumn("_end", end).join(quota, ["rank", "shard"], "left")
     taken = F.col("times") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("_end"), F.col("rest")) - (F.col("_end") - F.col("size")))
@@ -98,15 +98,16 @@ def mixed(docs: DataFrame) -> DataFrame:
     its last taken word. ``n_chars``, if there is such a column, is the new text's length. Documents of which no word is
     taken are left out."""
     names = docs.columns
-    rows = apportion(docs, tuple(names)).where("taken > 0")
+    boxed = docs.select(F.struct(*names).alias("_row"), "doc_id", "text", "source")  # no column can clash with the new ones
+    rows = apportion(boxed, ("_row",)).where("taken > 0").withColumn("_text", F.col("_row.text"))
     part = F.col("taken") % F.col("size")
-    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    rest = F.element_at(F.split("text", SPLIT, (part + 1 + lead).cast("int")), -1)
-    cut = F.regexp_replace(F.left("text", F.length("text") - F.length(rest)), r"[\x20\x09-\x0D]+$", "")
-    copies = F.array_repeat("text", F.floor(F.col("taken") / F.col("size")).cast("int"))
-    texts = F.when(part > 0, F.concat(copies, F.array(cut))).otherwise(copies)
-    out = rows.withColumn("_text", F.explode(texts)).withColumn("text", F.col("_text"))
-    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out).select(*names)
+    lead = F.when(F.col("_text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    rest = F.element_at(F.split("_text", SPLIT, (part + 1 + lead).cast("int")), -1)
+    cut = F.regexp_replace(F.left("_text", F.length("_text") - F.length(rest)), r"[\x20\x09-\x0D]+$", "")
+    copies = F.array_repeat("_text", F.floor(F.col("taken") / F.col("size")).cast("int"))
+    made = rows.withColumn("_new", F.explode(F.when(part > 0, F.concat(copies, F.array(cut))).otherwise(copies)))
+    new = {"text": F.col("_new"), "n_chars": F.length("_new")}
+    return made.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +137,7 @@ e AS (SELECT p.*, coalesce(g.won, 0) AS won, sum(shard_size) OVER (PARTITION BY
 f AS (SELECT rank, shard, shard_size::DOUBLE / (2 * n + 1) AS quotient, won FROM e, LATERAL (SELECT unnest(range(0, CAST(round(shard_size * (won + parties) / total) AS BIGINT) + 2)) AS n) WHERE shard_size > 0),
 h AS (SELECT rank, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY quotient DESC, shard) AS r FROM f) WHERE r <= won GROUP BY ALL),
 k AS (SELECT e.rank, e.shard, shard_size, least(coalesce(quota, 0) * {BLOCK}, shard_size * 2) AS words FROM e LEFT JOIN h USING (rank, shard) WHERE shard_size > 0),
-l AS (SELECT d.*, k.shard_size, words, sum(size) OVER (PARTITION BY d.rank, d.shard ORDER BY mark, doc_id, size ROWS UNBOUNDED PRECEDING) AS fin FROM d LEFT JOIN k USING (rank, shard))
+l AS (SELECT d.*, k.shard_size, words, sum(size) OVER (PARTITION BY d.rank, d.shard ORDER BY mark, size ROWS UNBOUNDED PRECEDING) AS fin FROM d LEFT JOIN k USING (rank, shard))
 SELECT doc_id, size, source_size, round(target, 6) AS target,
   CAST(coalesce((words // shard_size) * size + greatest(0, least(fin, words % shard_size) - (fin - size)), 0) AS BIGINT) AS taken FROM l
 """

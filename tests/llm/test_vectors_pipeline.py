@@ -65,9 +65,12 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path, monkeypatch):
     say = lambda lang, n: " ".join(rng.choice(words[lang]) + rng.choice(["", "er", "en", "s"]) for _ in range(n))
     rows = [(k, say("en" if k % 3 else "de", 60), "en" if k % 3 else "de", f"s{k % 3}", 0) for k in range(60)]
     passage = say("en", 70)
+    rows += [rows[5], (None, say("en", 50), "en", "s1", 0)]
     rows += [(100, rows[0][1], "de", "s0", 0), (101, rows[1][1] + " extra", "en", "s1", 0), (102, None, None, None, None), (103, "12 34", "en", "s1", 5)]
     rows += [(200 + k, say("en", 60) + " " + passage + " " + say("en", 60), "en", "s2", 0) for k in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clashes = ("score", "size", "target", "taken", "spans", "kept", "rank", "shard", "bucket", "doc", "lang_pred", "_text")
+    docs = docs.withColumns({c: F.lit(1) for c in clashes})
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     now, left = docs, []
     for name, stage in corpus_pipeline.STAGES:
@@ -78,7 +81,7 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path, monkeypatch):
             assert now.columns == docs.columns
     ids = [{r.doc_id for r in x} for _, x in left]
     assert ids[0] == {r[0] for r in rows} - {102, 103}
-    assert ids[1] == ids[0] - {100, 101}
+    assert ids[1] == ids[0] - {100, 101} and len(left[1][1]) == len(ids[1])
     assert not any(passage in r.text for r in left[2][1]) and ids[2] == ids[1]
     assert len(left[4][1]) == len(left[3][1])
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
