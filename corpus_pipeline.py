@@ -19,20 +19,27 @@ LEAST_SCORE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; ``und`` and texts of scattered languages go."""
-    found = op04_langid.identify(docs, op04_langid.learn(docs), tuple(docs.columns))
-    return found.where((F.col("lang_pred") != op04_langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    boxed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "lang")  # no column can clash with the new ones
+    found = op04_langid.identify(boxed, op04_langid.learn(boxed), ("_row",))
+    return found.where((F.col("lang_pred") != op04_langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id, and of rows that repeat an id the one
+    with the smallest text. Rows without an id can't be named in a link and stay."""
     kept = op07_minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    one = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit("")))
+    single = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(one.alias("_row")).select("_row.*")
+    return single.unionByName(docs.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the passages that occur twice; what a cut leaves of a character goes with it."""
-    out = op03_suffix.remove_repeats(docs, carry=tuple(c for c in docs.columns if c not in ("text", "n_chars")))
-    return op03_suffix.with_text(out).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    boxed = docs.select(F.struct(*rest).alias("_row"), "text")
+    out = op03_suffix.with_text(op03_suffix.remove_repeats(boxed, carry=("_row",)))
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    return out.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
