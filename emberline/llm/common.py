@@ -108,6 +108,25 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Itera
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by integer keys, in tables that don't cut a group, with the groups' starts."""
+
+    def starts(table: pa.Table) -> np.ndarray:
+        k = np.stack([table.column(c).to_numpy() for c in keys], 1)
+        return np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(1))))
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        at = starts(held)
+        if len(at) > 1:
+            yield held.slice(0, at[-1]), at[:-1]
+            held = held.slice(at[-1])
+    if held is not None and held.num_rows:
+        yield held, starts(held)
+
+
 def varint(values: np.ndarray) -> np.ndarray:
     """Unsigned values as little-endian groups of seven bits."""
     v = values.astype(np.uint64)

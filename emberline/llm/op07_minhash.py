@@ -7,8 +7,8 @@ of similarity 0.75 share no band once in ten thousand pairs, of 0.8 once in two
 
 Equal sets collapse into a class before anything is paired. First every member of a band bucket is tested against two
 pivots, its smallest member and one drawn by a hash: a few pairs for each member, by which a large group of copies grows
-together. The members still outside a pivot's component are tested against eight pivots, and what then still stands
-outside is tested against all members of other components, so no link is skipped.
+together. In the buckets that still hold several components all members of different components are tested, tile by
+tile within a task, and only links leave it: no link is skipped, and no list of pairs is made.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from emberline.storage import materialize
 
 REGISTERS, ROWS, MANTISSA = 288, 6, 10
 BANDS = REGISTERS // ROWS
-#: Pivots of each bucket in the rounds before the rest is tested in full.
-PIVOTS = (2, 8)
+#: Pivots of each bucket before the rest is tested in full; members of a tile in which it is.
+PIVOTS, TILE = 2, 512
 #: Texts handled in one vector step.
 TILE_BYTES = 1 << 20
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
@@ -111,8 +111,12 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard similarity of rows of registers, corrected for registers that agree by chance: unlike minima of like
     magnitude agree once in 2 ** MANTISSA, and magnitudes agree once in three."""
+    return estimates_of(a == b)
+
+
+def estimates_of(same: np.ndarray) -> np.ndarray:
     chance = 1 / (3 * (1 << MANTISSA))
-    return np.maximum(0.0, ((a == b).mean(1) - chance) / (1 - chance))
+    return np.maximum(0.0, (same.mean(1) - chance) / (1 - chance))
 
 
 _SKETCH = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("registers", pa.binary())])
@@ -136,18 +140,19 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's band keys: a hash of the band's number and its registers."""
+    """Each row's band keys: a hash of the band's registers, with the band's number in the last six bits."""
     for batch in batches:
         rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
         key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2])
         for k in range(ROWS):
             key = _mix(key * np.uint64(_BASE) + rows[:, :, k])
+        key = (key & ~np.uint64(63)) | np.arange(BANDS, dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS), pa.int64()), pa.array(key.ravel().astype(np.int64), pa.int64())], ["rep", "band"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs that the registers don't rule out: the estimate is at most five standard errors below the bound."""
-    bound = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+    """Pairs that the registers and the sets' sizes don't rule out."""
+    bound = _least_estimate(percent)
     for batch in batches:
         u, v, nu, nv, ru, rv = (batch.column(batch.schema.get_field_index(c)) for c in ("u", "v", "nu", "nv", "ru", "rv"))
         a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in (ru, rv))
@@ -161,34 +166,75 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([common.pack((x or "").encode()) for x in batch.column(1).to_pylist()], pa.binary())], ["doc", "text"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full shingle sets are similar enough. Sets are made once and remembered up to ``REMEMBERED`` hashes."""
-    known: dict[int, np.ndarray] = {}
-    held = 0
+class _Sets:
+    """Shingle sets of packed texts, remembered up to ``REMEMBERED`` hashes."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.known, self.held = width, {}, 0
 
-    def one(doc: int, packed: bytes) -> np.ndarray:
-        nonlocal held
-        got = known.get(doc)
+    def of(self, packed: bytes) -> np.ndarray:
+        got = self.known.get(packed)
         if got is None:
             data = np.frombuffer(common.unpack(packed), np.uint8)
-            got = shingle_sets(data, np.array([0, len(data)]), width)[0]
-            if held + len(got) > REMEMBERED:
-                known.clear()
-                held = 0
-            known[doc] = got
-            held += len(got)
+            got = shingle_sets(data, np.array([0, len(data)]), self.width)[0]
+            if self.held + len(got) > REMEMBERED:
+                self.known.clear()
+                self.held = 0
+            self.known[packed] = got
+            self.held += len(got)
         return got
 
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = np.sort(np.concatenate((a, b)))
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def _least_estimate(percent: int) -> float:
+    """Five standard errors below the bound: pairs with a lower estimate are ruled out."""
+    return percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose full shingle sets are similar enough."""
+    sets = _Sets(width)
     for batch in batches:
-        keep = []
-        for u, v, tu, tv in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("u", "v", "tu", "tv"))):
-            a, b = one(u, tu), one(v, tv)
-            both = np.sort(np.concatenate((a, b)))
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
+        rows = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("tu", "tv")))
+        keep = [_similar(sets.of(tu), sets.of(tv), percent) for tu, tv in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _across(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between components within pairs of tiles. A pair of documents is tested in the first band it shares, and no
+    longer once its components have been tied there."""
+    sets, bound = _Sets(width), _least_estimate(percent)
+    for table, starts in common.whole_groups(batches, _TILES):
+        out = []
+        rep, own, side, n = (table.column(c).to_numpy() for c in ("rep", "own", "side", "n"))
+        band = (table.column("band").to_numpy() & 63).astype(np.int64)
+        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        texts = table.column("text").to_pylist()
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
+            root = own[a:b].copy()
+            for x in range(a, b - 1):
+                other = np.flatnonzero((root[x + 1 - a :] != root[x - a]) & ((side[x] == 2) | (side[x + 1 : b] != side[x]))) + x + 1
+                if len(other) == 0:
+                    continue
+                other = other[100 * np.minimum(n[other], n[x]) >= percent * np.maximum(n[other], n[x])]
+                same = regs[other] == regs[x]
+                other, same = other[(likely := estimates_of(same) >= bound)], same[likely]
+                first = same.reshape(len(other), BANDS, ROWS).all(2).argmax(1) if len(other) else other
+                for y in other[first == band[x]].tolist():
+                    if root[y - a] != root[x - a] and _similar(sets.of(texts[x]), sets.of(texts[y]), percent):
+                        out.append((rep[x], rep[y]))
+                        root[root == root[y - a]] = root[x - a]
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
+
+
+_TILES = ("band", "low", "high")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)``, a row for each input row with an id.
 
@@ -219,38 +265,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
         sets = likely.join(side(texts, "u", ("text", "tu")), "u").join(side(texts, "v", ("text", "tv")), "v")
         return materialize(sets.select("u", "v", "tu", "tv").mapInArrow(lambda it: _confirm(it, width, percent), "u long, v long").distinct(), "links")
 
-    placed = shared.withColumn("own", F.col("rep"))
-    links = None
-    for turn, n in enumerate((*PIVOTS, 1)):
+    def pivots(placed: DataFrame, n: int) -> DataFrame:
+        """``(band, v, v_own)`` of the bands with more than one component."""
         drawn = [F.struct(F.xxhash64("rep", F.lit(k)) if k else F.lit(0).cast("long"), "rep", "own") for k in range(n)]
-        pivot = placed.groupBy("band").agg(F.array_distinct(F.array(*map(F.min, drawn))).alias("p"), F.min("own").alias("a"), F.max("own").alias("b"))
-        pivot = pivot.where("a <> b").select("band", F.explode("p").alias("p")).select("band", F.col("p.rep").alias("v"), F.col("p.own").alias("v_own"))
-        apart = placed.join(pivot, "band").where("own <> v_own")
-        if turn < len(PIVOTS):
-            pairs = apart.select(F.col("rep").alias("u"), "v", F.col("own").alias("u_own"), "v_own")
-        else:
-            rest = materialize(placed.join(pivot.select("band"), "band", "left_semi"), "rest")
-            outside = apart.select("band", F.col("rep").alias("x"), F.col("own").alias("x_own"), "v_own")
-            pairs = outside.join(rest, "band").where("own <> x_own and (own = v_own or rep < x)").select(F.col("x").alias("u"), F.col("rep").alias("v"), F.col("x_own").alias("u_own"), F.col("own").alias("v_own"))
-        pairs = materialize(pairs.distinct(), "pairs")
-        if not pairs.take(1):
-            break
-        found = linked(pairs.select("u", "v"))
-        links = found if links is None else links.union(found)
-        if turn == 0:
-            label = materialize(connected_components(links), "label").withColumnRenamed("node", "rep")
-            placed = shared.join(label, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("own"))
-        elif turn < len(PIVOTS):  # what is linked to a pivot goes to the pivot's component, if it is no pivot's itself
-            tied = pairs.join(found, ["u", "v"], "left_semi").select(F.col("u_own").alias("own"), "v_own").distinct()
-            moved = tied.join(tied.select(F.col("v_own").alias("own")), "own", "left_anti").groupBy("own").agg(F.min("v_own").alias("to"))
-            placed = placed.join(materialize(moved, "moved"), "own", "left").select("band", "rep", F.coalesce("to", "own").alias("own"))
-    label = None if links is None else materialize(connected_components(links), "label")
+        found = placed.groupBy("band").agg(F.array_distinct(F.array(*map(F.min, drawn))).alias("p"), F.min("own").alias("a"), F.max("own").alias("b"), F.count("*").alias("members"))
+        return found.where("a <> b").select("band", "members", F.explode("p").alias("p")).select("band", "members", F.col("p.rep").alias("v"), F.col("p.own").alias("v_own"))
+
+    first = shared.withColumn("own", F.col("rep"))
+    pairs = materialize(first.join(pivots(first, PIVOTS), "band").where("own <> v_own").select(F.col("rep").alias("u"), "v").distinct(), "pairs")
+    links = linked(pairs)
+    label = materialize(connected_components(links), "label")
+    placed = shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("own"))
+    apart = placed.join(pivots(placed, 1).select("band", F.ceil(F.col("members") / TILE).alias("tiles")), "band").withColumn("tile", F.pmod(F.xxhash64("rep", F.lit("tile")), F.col("tiles")))
+    # a tile meets itself, every lower tile and every higher one
+    met = apart.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
+        "band", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
+        F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1).alias("side"), F.col("rep").alias("doc"), "own",
+    )
+    tiles = met.join(marks, "doc").join(texts, "doc").withColumnRenamed("doc", "rep").repartition(common.partitions(spark), *_TILES).sortWithinPartitions(*_TILES)
+    more = materialize(tiles.mapInArrow(lambda it: _across(it, width, percent), "u long, v long"), "links")
+    label = materialize(connected_components(links.union(more)), "label")
 
     member = sketch.select("doc", "n", "set_a", "set_b").join(classes.select("set_a", "set_b", "n", F.col("doc").alias("rep")), ["set_a", "set_b", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
-    if label is not None:
-        member = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        member = member.withColumnRenamed("rep", "component_id")
+    member = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component_id"))
     return member.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))
 
 

@@ -108,22 +108,6 @@ _KEYS = ("bucket", "low", "high")
 _FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Sorted rows in tables that don't cut a group, with the groups' starts."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        keys = np.stack([held.column(c).to_numpy() for c in _KEYS], 1)
-        starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
-        if len(starts) > 1:
-            yield held.slice(0, starts[-1]), starts[:-1]
-            held = held.slice(starts[-1])
-    if held is not None and held.num_rows:
-        keys = np.stack([held.column(c).to_numpy() for c in _KEYS], 1)
-        yield held, np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
-
-
 def _close(units: np.ndarray, starts: np.ndarray, bound: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs within groups with a cosine of at least ``bound``."""
     sizes = np.diff(np.append(starts, len(units)))
@@ -143,7 +127,7 @@ def _close(units: np.ndarray, starts: np.ndarray, bound: float) -> Iterator[tupl
 
 def _compare(batches: Iterator[pa.RecordBatch], kind: str, bound: float, tables: int) -> Iterator[pa.RecordBatch]:
     """Links of pairs of tiles: (u, null, links) adds to u's count, (u, v, null) ties u to v."""
-    for table, _ in _whole_groups(batches):
+    for table, _ in common.whole_groups(batches, _KEYS):
         raw = table.column("raw").to_pylist()
         lengths = np.array([len(x) for x in raw])
         for length in np.unique(lengths):
