@@ -42,23 +42,20 @@ def unpack(b: bytes, dtype=None) -> bytes | np.ndarray:
     return raw if dtype is None else np.frombuffer(raw, dtype)
 
 
-def pack_ints(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit values, a plane of bytes after another: each plane has its own statistics and packs better."""
-    v = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4)
-    n = max((k + 1 for k in range(4) if v[:, k].any()), default=1)
-    return bytes([n]) + b"".join(len(x).to_bytes(4, "little") + x for x in (pack(v[:, k]) for k in range(n)))
-
-
-def unpack_ints(data: bytes) -> np.ndarray:
-    planes, at = [], 1
-    for _ in range(data[0]):
-        n = int.from_bytes(data[at : at + 4], "little")
-        planes.append(unpack(data[at + 4 : at + 4 + n], np.uint8))
-        at += 4 + n
-    out = np.zeros((len(planes[0]), 4), np.uint8)
-    for k, x in enumerate(planes):
-        out[:, k] = x
-    return out.reshape(-1).view("<u4")
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Unsigned values in the fewest bytes that hold them all."""
+    top = int(values.max()) if len(values) else 0
+    return values.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4")
+
+
+def pack_narrow(values: np.ndarray, level: int = 9) -> bytes:
+    """``narrow`` values, with their width in the first byte."""
+    v = narrow(values)
+    return bytes([v.itemsize]) + pack(v, level)
+
+
+def unpack_narrow(data: bytes) -> np.ndarray:
+    return unpack(data[1:], f"<u{data[0]}").astype(np.uint32)
 
 
 def pack_table(t: pa.Table | pa.RecordBatch) -> bytes:

@@ -24,7 +24,7 @@ from emberline.llm import common
 from emberline.storage import materialize
 
 #: Text bytes of a chunk: bounds the word list and the positions that a task holds.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 #: Words a task remembers while it encodes; beyond it the memory is emptied and a word may be encoded again.
 REMEMBERED = 200_000
 
@@ -59,8 +59,8 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Ite
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in names), np.uint32, len(names))
         head = pa.table({"doc": rows.column("doc"), "n": pa.array([len(c) for c in codes], pa.int64())})
         body = common.pack_table(head.combine_chunks())
-        positions = common.pack_ints(rank[flat])
-        out = [(None, chunk, body, positions, common.pack(bucket))]
+        positions = common.pack(common.varint(rank[flat]), 9)
+        out = [(None, chunk, body, positions, common.pack_narrow(bucket))]
         at = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[at])) + 1
         for group in np.split(at, cuts) if len(at) else []:
@@ -68,7 +68,7 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Ite
             out.append((int(bucket[group[0]]), chunk, b"".join(names[group]), common.varint(lengths).tobytes(), None))
         for row in range(0, len(out), 256):
             yield pa.RecordBatch.from_pylist(
-                [dict(zip(("bucket", "chunk", "a", "b", "c"), (r[0], r[1], common.pack(r[2]), common.pack(r[3]), None) if r[0] is not None else r)) for r in out[row : row + 256]],
+                [dict(zip(("bucket", "chunk", "a", "b", "c"), (r[0], r[1], common.pack(r[2], 9), common.pack(r[3], 9), None) if r[0] is not None else r)) for r in out[row : row + 256]],
                 _CHUNKS,
             )
         chunk += 1
@@ -98,7 +98,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
                     known[word] = got = one(word)
                 sizes.append(len(got))
                 ids += got
-            out.append({"bucket": bucket, "chunk": chunk, "n": common.pack(common.varint(np.array(sizes, np.int64))), "ids": common.pack_ints(np.array(ids, np.uint32))})
+            out.append({"bucket": bucket, "chunk": chunk, "n": common.pack(common.varint(np.array(sizes, np.int64))), "ids": common.pack_narrow(np.array(ids, np.uint32))})
         yield pa.RecordBatch.from_pylist(out, _IDS)
 
 
@@ -108,14 +108,14 @@ def _lay_out(left: pa.Table, right: pa.Table) -> pa.Table:
     if left.num_rows == 0:
         return schema.empty_table()
     head = common.unpack_table(left.column("a")[0].as_py())
-    positions = common.unpack_ints(left.column("b")[0].as_py())
-    bucket = common.unpack(left.column("c")[0].as_py(), np.uint32)
+    positions = common.unvarint(common.unpack(left.column("b")[0].as_py(), np.uint8))
+    bucket = common.unpack_narrow(left.column("c")[0].as_py())
     size = np.zeros(len(bucket), np.int64)
     start = np.zeros(len(bucket), np.int64)
     parts, at = [], 0
     for b, n, ids in zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), right.column("ids").to_pylist()):
         own = np.flatnonzero(bucket == b)
-        n, ids = common.unvarint(common.unpack(n, np.uint8)), common.unpack_ints(ids)
+        n, ids = common.unvarint(common.unpack(n, np.uint8)), common.unpack_narrow(ids)
         size[own], start[own] = n, at + np.cumsum(n) - n
         parts.append(ids)
         at += len(ids)
