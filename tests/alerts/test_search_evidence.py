@@ -82,7 +82,7 @@ def test_redaction_round_trip(spark):
 
 def test_distinct_texts_and_encoded_commands(spark):
     df = spark.createDataFrame([(["A", "a", "", "b", "B "],)], "x array<string>")
-    assert df.select(evidence.distinct_texts("x" and F.col("x")).alias("d")).first().d == ["A", "b", "B "]
+    assert df.select(evidence.distinct_texts(F.col("x")).alias("d")).first().d == ["A", "b", "B "]
     c = spark.createDataFrame([("powershell -enc SQBFAFgAKAA=",), ("x [Convert]::FromBase64String($a)",), ("powershell -File a.ps1",)], "c string")
     assert [r[0] for r in c.select(F.col("c").rlike(evidence.ENCODED)).collect()] == [True, True, False]
 
