@@ -1,16 +1,18 @@
 """Operator 10: toxicity by weak supervision.
 
-1. Mine. Word beginnings are counted by document over a bounded sample of labelled rows; those that go most with toxic
-   rows become lexicon voters (whole short words) and pattern voters (beginnings of a word), and the most telling of
+1. Mine. Word beginnings are counted by document over all labelled rows; those that go most with toxic rows become
+   lexicon voters (whole short words) and pattern voters (beginnings of a word), and they and the most telling others of
    either kind the classifier's features.
-2. Vote. Every document's votes are a bit mask; equal masks are counted over all documents.
+2. Vote. Every document's votes are a list of voters; equal lists are counted over all documents.
 3. Label model. Each voter fires with a rate of its own on toxic and on clean documents. The rates and the base rate are
    fitted to all documents by expectation maximisation, the known labels being one more voter of given accuracy. Voters
    that fire together more than the class explains share their weight: a voter's evidence is divided by one plus the sum
    of its positive correlations within the classes.
-4. Classifier. A logistic regression on the features learns the model's posterior labels of the sample, and scores all.
+4. Classifier. A logistic regression on the features learns the model's posterior labels of a sample of labelled rows, in
+   which each voter has rows of its own, and scores all.
 
-A document's text is read once for its features; what is shuffled are counts by feature and by mask.
+A document's text is read once for its features, and a labelled one's once more (shuffled, unless the labels are few
+enough to be sent to all) for the counts; what is shuffled besides are counts by feature and by votes.
 """
 
 from __future__ import annotations
@@ -26,12 +28,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from emberline.llm import common, linear
 from emberline.storage import materialize
 
-#: Labelled rows, drawn by a hash of the id, from which voters are mined and the classifier is fitted.
-SAMPLE = 20_000
-#: Voters at most, features at most, letters of a word's beginning, toxic rows a voter needs.
+#: Labelled rows, drawn by a hash of the id, on which the classifier is fitted, and rows of each voter added to them.
+SAMPLE, OWN_ROWS = 20_000, 20
+#: Voters that needn't be telling, features besides voters, letters of a word's beginning, toxic rows a voter needs.
 VOTERS, FEATURES, BEGIN, LEAST = 60, 3000, (4, 5, 6, 8), 3
-#: From how many of a thousand words on a beginning counts as dense; candidates that voters are chosen from.
-DENSE, CANDIDATES = 10, 2000
+#: From which log ratio, and log ratio times the root of the toxic rows, on a voter is telling, and voting whatever its rank.
+LIFT, TELLING = 1.5, 20.0
+#: From how many of a thousand words on a beginning counts as dense; candidates that voters are chosen from (16-bit numbers
+#: hold them and the other features).
+DENSE, CANDIDATES = 10, 60_000
 #: Rounds of expectation maximisation; accuracy of the known labels.
 ROUNDS, GOLD = 5, 0.99
 RIDGE = 1e-5
@@ -79,8 +84,9 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _match(batches: Iterator[pa.RecordBatch], features: list[str], voters: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """``(id, text)`` -> id, mask of votes, features as 16-bit numbers."""
+def _match(batches: Iterator[pa.RecordBatch], features: list[str], needs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``(id, text)`` -> id, votes and features as 16-bit numbers, and the share of rows of such votes that are fitted.
+    The first features are the voters, ``needs`` their shares."""
     import ahocorasick
 
     number = {f: k for k, f in enumerate(features)}
@@ -89,25 +95,42 @@ def _match(batches: Iterator[pa.RecordBatch], features: list[str], voters: dict[
         scan.add_word(f" {f}", (number.get(f), number.get(f"{f}@")))
     scan.make_automaton()
     for batch in batches:
-        masks, found = [], []
+        votes, found, need = [], [], []
         for text in batch.column(1).to_pylist():
             plain = _plain(text) if text and features else ""
             counts = Counter(x for _, x in scan.iter(plain)) if plain.strip() else {}
             words = len(plain.split()) if counts else 0
-            own = sorted([a for (a, _), c in counts.items() if a is not None] + [b for (_, b), c in counts.items() if b is not None and _dense(c, words)])
-            masks.append(sum(1 << voters[k] for k in own if k in voters))
-            found.append(np.array(own, "<u2").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.int64()), pa.array(found, pa.binary())], ["id", "mask", "features"])
-
-
-def _chosen(candidates: list[tuple[str, int]]) -> list[str]:
-    """Voters from the best candidates on, without those that only spell another one longer or shorter."""
-    out: list[tuple[str, int]] = []
-    for f, toxic in candidates:
+            own = np.array(sorted([a for (a, _), c in counts.items() if a is not None] + [b for (_, b), c in counts.items() if b is not None and _dense(c, words)]), "<u2")
+            voting = own[: np.searchsorted(own, len(needs))]
+            votes.append(voting.tobytes())
+            found.append(own.tobytes())
+            need.append(float(needs[voting].max()) if len(voting) else 0.0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.binary()), pa.array(found, pa.binary()), pa.array(need, pa.float64())], ["id", "votes", "features", "need"])
+
+
+def _chosen(candidates: list[tuple[str, int, float]]) -> list[str]:
+    """Voters from the best candidates ``(feature, toxic rows, lift)`` on: all telling ones, and others up to ``VOTERS``.
+    Those that only spell another one longer or shorter are left out, and longer spellings that say no more than a
+    beginning which votes: a document with the one has the other."""
+    taken: list[str] = []
+    same: dict[str, list[int]] = {}  # toxic rows of the voters by spelling, and of the voters that begin with it
+    longer: dict[str, list[int]] = {}
+    roots: dict[str, float] = {}
+    for f, toxic, lift in candidates:
         a = f.rstrip("@ ")
-        if not any((a.startswith(b) or b.startswith(a)) and 0.9 <= toxic / n <= 1.1 for b, n in ((g.rstrip("@ "), n) for g, n in out)):
-            out.append((f, toxic))
-    return [f for f, _ in out[:VOTERS]]
+        begins = [a[:n] for n in range(1, len(a) + 1)]
+        near = [n for b in begins for n in same.get(b, ())] + longer.get(a, [])
+        if any(0.9 <= toxic / n <= 1.1 for n in near) or any(roots.get(b, -np.inf) >= lift for b in begins):
+            continue
+        if len(taken) >= VOTERS and (lift < LIFT or lift * toxic**0.5 < TELLING):
+            continue
+        taken.append(f)
+        same.setdefault(a, []).append(toxic)
+        for b in begins[:-1]:
+            longer.setdefault(b, []).append(toxic)
+        if f == a:
+            roots[a] = lift
+    return taken
 
 
 class LabelModel:
@@ -120,39 +143,85 @@ class LabelModel:
 
     def posterior(self, votes: np.ndarray, gold: np.ndarray) -> np.ndarray:
         """P(toxic) of rows of 0/1 votes; gold is -1 where the label isn't known."""
+        row, col = np.nonzero(votes)
+        return self.of_lists(row, col, gold)
+
+    def of_lists(self, row: np.ndarray, col: np.ndarray, gold: np.ndarray) -> np.ndarray:
+        """P(toxic) of rows given by their firings, voter ``col`` in row ``row``."""
         r = np.clip(self.rates, 1e-6, 1 - 1e-6)
         fired, silent = np.log(r[1] / r[0]), np.log((1 - r[1]) / (1 - r[0]))
-        z = np.log(self.base / (1 - self.base)) + votes @ (self.weights * (fired - silent)) + (self.weights * silent).sum()
+        z = np.log(self.base / (1 - self.base)) + np.bincount(row, (self.weights * (fired - silent))[col], len(gold)) + (self.weights * silent).sum()
         return linear.sigmoid(z + np.select([gold == 1, gold == 0], [1.0, -1.0], 0.0) * np.log(GOLD / (1 - GOLD)))
 
     def update(self, n: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
         """By class: the posterior count, the voters' firings and the pairs' common firings."""
+        a, b = np.divmod(np.arange(second[0].size), second.shape[2])
+        self.refit(n, first, np.bincount(a, shared(n, first, a, b, second.reshape(2, -1)), second.shape[1]))
+
+    def refit(self, n: np.ndarray, first: np.ndarray, extra: np.ndarray) -> None:
+        """By class the posterior count and the voters' firings, and each voter's positive correlations with the others."""
         self.base = float(np.clip(n[1] / n.sum(), 1e-6, 1 - 1e-6)) if n.sum() else 0.5
         self.rates = (first + np.array([[0.1], [0.5]])) / (n[:, None] + 1)
-        extra = np.zeros(second.shape[1:])
-        for y in (0, 1):
-            p = first[y] / max(n[y], 1e-9)
-            spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p))) + 1e-12
-            extra += np.clip((second[y] / max(n[y], 1e-9) - np.outer(p, p)) / spread, 0, 1) / 2
-        np.fill_diagonal(extra, 0)
-        self.weights = 1 / (1 + extra.sum(1))
+        self.weights = 1 / (1 + extra)
 
 
-def _votes(mask: np.ndarray, n: int) -> np.ndarray:
-    return ((mask[:, None] >> np.arange(n)) & 1).astype(np.float64)
+def shared(n: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Positive correlation of the voters a and b within the classes, from their common firings by class. Pairs that never
+    fire together have none."""
+    extra = np.zeros(len(a))
+    for y in (0, 1):
+        p = first[y] / max(n[y], 1e-9)
+        spread = np.sqrt(np.maximum(p[a] * (1 - p[a]) * p[b] * (1 - p[b]), 0)) + 1e-12
+        extra += np.clip((second[y] / max(n[y], 1e-9) - p[a] * p[b]) / spread, 0, 1) / 2
+    return np.where(a == b, 0, extra)
+
+
+def _lists(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of each entry of packed 16-bit lists."""
+    size = np.array([len(x) // 2 for x in packed], np.int64)
+    return np.repeat(np.arange(len(packed)), size), np.frombuffer(b"".join(packed), "<u2").astype(np.int64)
 
 
 def _expect(batches: Iterator[pa.RecordBatch], model: LabelModel) -> Iterator[pa.RecordBatch]:
-    """One task's sums: posterior count, firings and common firings by class."""
+    """One task's sums for voters ``(a, b)`` by class: common firings of a < b, firings (a = b) and the posterior count
+    (-1, -1)."""
     k = len(model.weights)
-    total = np.zeros((2, 1 + k + k * k))
+    keys, sums = np.zeros(0, np.int64), np.zeros((2, 0))
+
+    def out() -> pa.RecordBatch:
+        a, b = np.divmod(keys, k + 1)
+        return pa.RecordBatch.from_arrays([pa.array(a - 1, pa.int32()), pa.array(b - 1, pa.int32()), pa.array(sums[0]), pa.array(sums[1])], ["a", "b", "s0", "s1"])
+
     for batch in batches:
-        mask, gold, n = (batch.column(c).to_numpy() for c in range(3))
-        v = _votes(mask, k)
-        p = model.posterior(v, gold)
+        packed, (gold, n) = batch.column(0).to_pylist(), (batch.column(c).to_numpy() for c in (1, 2))
+        row, col = _lists(packed)
+        p = model.of_lists(row, col, gold)
+        size = np.bincount(row, minlength=len(packed))
+        begin = np.cumsum(size) - size
+        after = (begin + size)[row] - np.arange(len(row))  # a firing meets itself and those behind it
+        one, other = np.repeat(np.arange(len(row)), after), common.spread(np.arange(len(row)), after)
+        pair, at = np.append((col[one] + 1) * (k + 1) + col[other] + 1, 0), np.append(row[one], -1)
+        distinct, where = np.unique(np.concatenate((keys, pair)), return_inverse=True)
+        new = np.zeros((2, len(distinct)))
         for y, weight in ((0, (1 - p) * n), (1, p * n)):
-            total[y] += np.concatenate(([weight.sum()], weight @ v, (v.T @ (v * weight[:, None])).ravel()))
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat((0, 1), total.shape[1]), pa.int32()), pa.array(np.tile(np.arange(total.shape[1]), 2), pa.int32()), pa.array(total.ravel())], ["y", "k", "s"])
+            value = weight[at]
+            value[-1] = weight.sum()
+            new[y] = np.bincount(where, np.concatenate((sums[y], value)), len(distinct))
+        keys, sums = distinct, new
+        if len(keys) > 1_000_000:
+            yield out()
+            keys, sums = np.zeros(0, np.int64), np.zeros((2, 0))
+    yield out()
+
+
+def _shared(batches: Iterator[pa.RecordBatch], n: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One task's sums of correlations by voter, from summed pairs."""
+    extra = np.zeros(first.shape[1])
+    for batch in batches:
+        a, b, s0, s1 = (batch.column(c).to_numpy() for c in range(4))
+        x = shared(n, first, a, b, np.stack((s0, s1)))
+        extra += np.bincount(a, x, len(extra)) + np.bincount(b, x, len(extra))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(extra)), pa.int32()), pa.array(extra)], ["k", "x"])
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> DataFrame:
@@ -168,37 +237,46 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     learn = labels.where(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).withColumn("m", common.crc_mod(id_col, 5)).where("m <> 0")
     known = learn.groupBy(F.col(id_col).alias("id")).agg((F.max(toxic_col) > 0).cast("int").alias("toxic"))
-    sample = materialize(known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE), "sample")
-    small = F.broadcast(sample)  # at most SAMPLE rows of an id and a label
-    counts = rows.join(small, "id").select("text", "toxic").mapInArrow(_mine, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    known = materialize(known, "known")
+    cut = known.select(F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    counts = rows.join(known, "id").select("text", "toxic").mapInArrow(_mine, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = materialize(counts.where(f"clean + toxic >= {LEAST}"), "counts")
     every = counts.where("feature = ''").first()
     n0, n1 = (every["clean"] or 0, every["toxic"] or 0) if every else (0, 0)
     lift = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    ranked = counts.where("feature <> ''").withColumn("z", lift * F.sqrt(F.col("clean") + F.col("toxic")))
-    tried = ranked.where(f"toxic >= {LEAST} and z > 3").orderBy(F.desc(lift * F.sqrt("toxic")), F.length("feature"), "feature").limit(CANDIDATES)
-    voting = _chosen([(r.feature, r.toxic) for r in tried.collect()])
-    features = voting + [r.feature for r in ranked.where(~F.col("feature").isin(voting or [""])).orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES - len(voting)).collect()]
-    voters = {k: k for k in range(len(voting))}
-
-    table = materialize(rows.mapInArrow(lambda it: _match(it, features, voters), f"id {rows.schema['id'].dataType.simpleString()}, mask long, features binary"), "votes")
-    rates = {r.feature: (r.clean, r.toxic) for r in ranked.where(F.col("feature").isin(voting or [""])).collect()}
-    model = LabelModel(np.array([rates[f][0] for f in voting], float), np.array([rates[f][1] for f in voting], float), n0, n1)
-    masks = materialize(table.join(small, "id", "left").groupBy("mask", F.coalesce("toxic", F.lit(-1)).alias("gold")).agg(F.count("*").alias("n")), "masks")
+    ranked = counts.where("feature <> ''").withColumn("lift", lift).withColumn("z", F.col("lift") * F.sqrt(F.col("clean") + F.col("toxic")))
+    tried = ranked.where(f"toxic >= {LEAST} and z > 3").orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), F.length("feature"), "feature").limit(CANDIDATES).collect()
+    voting = _chosen([(r.feature, r.toxic, r.lift) for r in tried])
+    rates = {r.feature: (r.clean, r.toxic) for r in tried}
+    best = ranked.orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES + len(voting)).collect()
+    features = voting + [r.feature for r in best if r.feature not in set(voting)][:FEATURES]
+    clean, toxic = (np.array([rates[f][y] for f in voting], float) for y in (0, 1))
+    needs = OWN_ROWS / np.maximum(clean + toxic, 1)
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    table = materialize(rows.mapInArrow(lambda it: _match(it, features, needs), f"id {id_type}, votes binary, features binary, need double"), "votes")
+    model = LabelModel(clean, toxic, n0, n1)
+    masks = materialize(table.select("id", "votes").join(known, "id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("gold")).agg(F.count("*").alias("n")), "masks")
     for _ in range(ROUNDS if voting else 0):
         now = model
-        sums = masks.select("mask", "gold", "n").mapInArrow(lambda it: _expect(it, now), "y int, k int, s double").groupBy("y", "k").agg(F.sum("s").alias("s")).collect()  # noqa: B023
-        k = len(voting)
-        total = np.zeros((2, 1 + k + k * k))
-        for r in sums:
-            total[r.y, r.k] = r.s
-        model.update(total[:, 0], total[:, 1 : 1 + k], total[:, 1 + k :].reshape(2, k, k))
-
-    fitted = table.join(small, "id").select("id", "mask", "features", "toxic").dropDuplicates(["id"]).orderBy("id").toArrow()
-    found = [np.frombuffer(x, "<u2") for x in fitted.column("features").to_pylist()]
-    row = np.repeat(np.arange(len(found)), [len(x) for x in found]) if found else np.zeros(0, int)
-    col = np.concatenate(found).astype(int) if found else np.zeros(0, int)
-    target = model.posterior(_votes(fitted.column("mask").to_numpy(), len(voting)), fitted.column("toxic").to_numpy()) if found else np.zeros(0)
+        sums = masks.select("votes", "gold", "n").mapInArrow(lambda it: _expect(it, now), "a int, b int, s0 double, s1 double").groupBy("a", "b").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))  # noqa: B023
+        sums = materialize(sums, "sums")
+        n, first = np.zeros(2), np.zeros((2, len(voting)))
+        for r in sums.where("a = b").collect():
+            if r.a < 0:
+                n[:] = r.s0, r.s1
+            else:
+                first[:, r.a] = r.s0, r.s1
+        extra = np.zeros(len(voting))
+        for r in sums.where("a < b").mapInArrow(lambda it: _shared(it, n, first), "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():  # noqa: B023
+            extra[r.k] = r.x
+        model.refit(n, first, extra)
+
+    drawn = (F.xxhash64("id") <= F.lit(cut)) | (F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < F.col("need") * (1 << 30))
+    fitted = table.where(drawn).join(known, "id").select("id", "votes", "features", "toxic").dropDuplicates(["id"]).orderBy("id").toArrow()
+    found = fitted.column("features").to_pylist()
+    row, col = _lists(found)
+    target = model.of_lists(*_lists(fitted.column("votes").to_pylist()), fitted.column("toxic").to_numpy()) if found else np.zeros(0)
     weights, bias = linear.fit(
         lambda w: np.bincount(row, w[col], len(found)), lambda r: np.bincount(col, r[row], len(features)), target, len(features), RIDGE
     )
@@ -208,7 +286,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             z = np.array([weights[np.frombuffer(x, "<u2")].sum() for x in batch.column(1).to_pylist()]) + bias
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(linear.sigmoid(z))], ["id", "score"])
 
-    scored = table.select("id", "features").mapInArrow(apply, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    scored = table.select("id", "features").mapInArrow(apply, f"id {id_type}, score double").withColumnRenamed("id", id_col)
     return scored.select(id_col, F.coalesce(common.crc_mod(id_col, 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

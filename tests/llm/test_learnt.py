@@ -68,6 +68,28 @@ def test_toxicity(rated):
     assert len({r.score for r in op10_toxicity.score(docs, labels.where("false")).collect()}) == 1
 
 
+def test_toxic_words_outside_the_sample(spark, monkeypatch):
+    """Mining sees every labelled row: a word of few rows, hardly any of them in the fitted sample, makes a document toxic."""
+    monkeypatch.setattr(op10_toxicity, "SAMPLE", 150)
+    rng = random.Random(9)
+    clean = [say(rng, "aa", 1) for _ in range(40)]
+    rows = []
+    for k in range(1200):
+        toxic = "grobian" if k % 60 == 7 else "scumbag" if k % 6 == 0 else None
+        rows.append((k, " ".join(rng.choice(clean) for _ in range(30)) + (f" {toxic}" if toxic else ""), int(toxic is not None)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.predicted for r in op10_toxicity.score(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    held = [k for k, _, _ in rows if k % 60 == 7 and zlib.crc32(str(k).encode()) % 5 == 0]
+    assert held and all(got[k] == 1 for k in held)
+    assert sum(got[k] != toxic for k, _, toxic in rows) <= 12
+
+
+def test_every_telling_voter_votes():
+    words = [f"{a}{b}{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    assert len(op10_toxicity._chosen([(w, 100, 5.0) for w in words])) == 100
+    assert op10_toxicity._chosen([("scum", 90, 5.0), ("scumbag ", 40, 4.5)]) == ["scum"]
+
+
 def test_quality(rated):
     docs, labels = rated
     out = op08_quality.score(docs, labels).collect()
