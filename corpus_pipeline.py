@@ -13,15 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from emberline.llm import common, op03_suffix, op04_langid, op05_mix, op06_bpe, op07_minhash
 from emberline.storage import materialize
 
-#: Share of a text's words that must speak one language.
-LEAST_SCORE = 0.4
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; ``und`` and texts of scattered languages go."""
+    """Documents whose language is found: only ``und`` goes, texts of several languages stay."""
     boxed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "lang")  # no column can clash with the new ones
     found = op04_langid.identify(boxed, op04_langid.learn(boxed), ("_row",))
-    return found.where((F.col("lang_pred") != op04_langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+    return found.where(F.col("lang_pred") != op04_langid.UNKNOWN).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,3 +86,17 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path, monkeypatch):
     assert len(left[4][1]) == len(left[3][1])
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.ids_sha256) for r in whole) == sorted((r.doc_id, r.ids_sha256) for r in left[4][1])
+
+
+def test_pipeline_keeps_texts_of_several_languages(spark, monkeypatch):
+    import corpus_pipeline
+    from emberline.llm import op04_langid
+
+    monkeypatch.setattr(op04_langid, "STEPS", 15)
+    rng = random.Random(8)
+    words = {"en": "the thing other nation her this".split(), "de": "schule und einung lichter verein".split(), "es": "qué cióno mentela losado ñezlla".split()}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(k, say(x := ("en", "de", "es")[k % 3], 30), x) for k in range(120)]
+    rows += [(500, " ".join(say(x, 20) for x in words), None), (501, "12 34", None), (502, None, None)]
+    left = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert {r.doc_id for r in left} == {r[0] for r in rows} - {501, 502}
