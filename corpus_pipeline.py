@@ -22,12 +22,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, and of rows that repeat an id the one
-    with the smallest text. Rows without an id can't be named in a link and stay."""
-    kept = op07_minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    one = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit("")))
-    single = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(one.alias("_row")).select("_row.*")
-    return single.unionByName(docs.where("doc_id is null"))
+    """One document of each group of near duplicates: the one with the smallest id, and of equal ids the one whose text
+    begins smallest. Each row is a document of its own by a number in that order, so rows that share an id, or have none,
+    go only if their texts are equal or linked. Texts without words have no links; of those only equal rows of an id go."""
+    text = F.coalesce("text", F.lit(""))
+    # beginnings, so that the bounds of the ranges stay small; the last key deals equal rows to several tasks
+    order = [F.col("doc_id").asc_nulls_last(), F.substring(text, 1, 200), F.xxhash64(text), F.col("_deal")]
+    dealt = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.rand(7).alias("_deal"))
+    sorted_rows = dealt.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order)
+    numbered = materialize(sorted_rows.select(F.monotonically_increasing_id().alias("_n"), "_row"), "numbered")
+    found = op07_minhash.near_duplicates(numbered.select("_n", F.col("_row.text").alias("text")), id_col="_n")
+    kept = numbered.join(found.where("kept").select("_n", "n_shingles"), "_n")
+    alone = (F.col("n_shingles") > 0) | F.col("_row.doc_id").isNull()
+    wordless = kept.where(~alone).groupBy(F.col("_row.doc_id").alias("_d"), F.col("_row.text").alias("_t")).agg(F.min_by("_row", "_n").alias("_row"))
+    return kept.where(alone).select("_row.*").unionByName(wordless.select("_row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

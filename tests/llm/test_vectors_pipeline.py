@@ -100,3 +100,17 @@ def test_pipeline_keeps_texts_of_several_languages(spark, monkeypatch):
     rows += [(500, " ".join(say(x, 20) for x in words), None), (501, "12 34", None), (502, None, None)]
     left = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
     assert {r.doc_id for r in left} == {r[0] for r in rows} - {501, 502}
+
+
+def test_pipeline_rows_of_one_id_with_unlike_texts_stay(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    say = lambda: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(40))
+    a, b, c = say(), say(), say()
+    rows = [(0, a), (0, b), (0, b), (0, say()), (7, a), (8, b + " more"), (9, c), (None, c), (None, say()), (5, ""), (5, ""), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_n", F.lit(1))
+    left = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    assert got == sorted([(0, a), (0, b), (0, rows[3][1]), (9, c), rows[8], (5, ""), (5, None), (6, "")], key=str)
