@@ -7,8 +7,10 @@ of similarity 0.75 share no band once in ten thousand pairs, of 0.8 once in two
 
 Equal sets collapse into a class before anything is paired. First every member of a band bucket is tested against two
 pivots, its smallest member and one drawn by a hash: a few pairs for each member, by which a large group of copies grows
-together. In the buckets that still hold several components all members of different components are tested, tile by
-tile within a task, and only links leave it: no link is skipped, and no list of pairs is made.
+together. In a bucket that still holds several components only the members outside its largest one are open: they are
+held against the bucket within tasks, registers alone, and what comes out is a list of members that may have a link, not
+of pairs. Texts go only to those members, whose pairs are confirmed within tasks; only links leave them. No link is
+skipped, and no list of pairs is made.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from emberline.storage import materialize
 
 REGISTERS, ROWS, MANTISSA = 288, 6, 10
 BANDS = REGISTERS // ROWS
-#: Pivots of each bucket before the rest is tested in full; members of a tile in which it is.
-PIVOTS, TILE = 2, 512
-#: Texts handled in one vector step.
+#: Pivots of each bucket before the rest is tested in full; members of a tile in which it is, by registers and by texts.
+PIVOTS, TILE, TEXT_TILE = 2, 2048, 512
+#: Bytes of text handled in one vector step; longer texts are taken in pieces of that size.
 TILE_BYTES = 1 << 20
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -92,6 +94,31 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return out
 
 
+def whole_set(data: np.ndarray, width: int) -> np.ndarray:
+    """``shingle_sets`` of one text of any length, in pieces that share ``width`` - 1 words."""
+    if len(data) <= 2 * TILE_BYTES:
+        return shingle_sets(data, np.array([0, len(data)]), width)[0]
+    gap = np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))
+    begins = np.append(0, gap + 1)  # of a word, or of nothing between two separators
+    begins = begins[np.append(begins[:-1] != gap, begins[-1] < len(data))]
+    if len(begins) < width:
+        return shingle_sets(data, np.array([0, len(data)]), width)[0]
+    out, at = [], 0
+    while True:
+        k = max(at + width, int(np.searchsorted(begins, begins[at] + TILE_BYTES)))
+        end = int(begins[k]) if k < len(begins) else len(data)
+        part = data[begins[at] : end]
+        out.append(shingle_sets(part, np.array([0, len(part)]), width)[0])
+        if k >= len(begins):
+            return np.unique(np.concatenate(out))
+        at = k - width + 1
+
+
+def text_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
+    """``shingle_sets``, or ``whole_set`` where there is one long text."""
+    return [whole_set(data, width)] if len(offsets) == 2 else shingle_sets(data, offsets, width)
+
+
 _MULTIPLY, _XOR = (x.astype(np.uint32) for x in np.random.default_rng(7).integers(1, 1 << 32, (2, REGISTERS), dtype=np.uint64))
 _MULTIPLY |= np.uint32(1)
 
@@ -124,15 +151,13 @@ _SKETCH = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64(
 
 def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for rows in common.chunked(batches, "text", TILE_BYTES):
-        sets = shingle_sets(*common.utf8(rows.column("text")), width)
+        sets = text_sets(*common.utf8(rows.column("text")), width)
         full = [x for x in sets if len(x)]
         found = iter(registers(full) if full else ())
         yield pa.RecordBatch.from_arrays(
             [
                 rows.column("doc").combine_chunks(),
-                pa.array([len(x) for x in sets], pa.int64()),
-                pa.array([int(x.sum().astype(np.int64)) for x in sets], pa.int64()),
-                pa.array([int(_mix(x).sum().astype(np.int64)) for x in sets], pa.int64()),
+                *_set_names(sets),
                 pa.array([next(found).tobytes() if len(x) else None for x in sets], pa.binary()),
             ],
             schema=_SKETCH,
@@ -161,9 +186,20 @@ def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([u, v], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([common.pack((x or "").encode()) for x in batch.column(1).to_pylist()], pa.binary())], ["doc", "text"])
+def _set_names(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The size and two 64-bit sums that name each set."""
+    return (
+        pa.array([len(x) for x in sets], pa.int64()),
+        pa.array([int(x.sum().astype(np.int64)) for x in sets], pa.int64()),
+        pa.array([int(_mix(x).sum().astype(np.int64)) for x in sets], pa.int64()),
+    )
+
+
+def _packed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for rows in common.chunked(batches, "text", TILE_BYTES):
+        names = _set_names(text_sets(*common.utf8(rows.column("text")), width))
+        packed = pa.array([common.pack((x or "").encode()) for x in rows.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([rows.column("doc").combine_chunks(), *names, packed], ["doc", "n", "set_a", "set_b", "text"])
 
 
 class _Sets:
@@ -176,7 +212,7 @@ class _Sets:
         got = self.known.get(packed)
         if got is None:
             data = np.frombuffer(common.unpack(packed), np.uint8)
-            got = shingle_sets(data, np.array([0, len(data)]), self.width)[0]
+            got = whole_set(data, self.width)
             if self.held + len(got) > REMEMBERED:
                 self.known.clear()
                 self.held = 0
@@ -192,8 +228,9 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _least_estimate(percent: int) -> float:
-    """Five standard errors below the bound: pairs with a lower estimate are ruled out."""
-    return percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+    """Four standard errors below the bound: pairs with a lower estimate are ruled out (of those at the bound one in
+    30,000, a third of what shares no band)."""
+    return percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -205,89 +242,132 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]], np.ndarray]]:
+    """Whole pairs of tiles: their rows, where each begins and ends, and the registers."""
+    for table, starts in common.whole_groups(batches, _TILES):
+        ends = [*starts[1:].tolist(), table.num_rows]
+        yield table, list(zip(starts.tolist(), ends)), np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
+def _met(x: int, b: int, root: np.ndarray, side: np.ndarray, n: np.ndarray, band: np.ndarray, regs: np.ndarray, percent: int) -> np.ndarray:
+    """Rows from x + 1 to b of other components that x may link to, and whose first band in common with x this is.
+    ``root`` and the other arrays are those of the whole table."""
+    other = np.flatnonzero((root[x + 1 : b] != root[x]) & ((side[x] == 2) | (side[x + 1 : b] != side[x]))) + x + 1
+    other = other[100 * np.minimum(n[other], n[x]) >= percent * np.maximum(n[other], n[x])]
+    if len(other) == 0:
+        return other
+    same = regs[other] == regs[x]
+    likely = estimates_of(same) >= _least_estimate(percent)
+    other, same = other[likely], same[likely]
+    return other[same.reshape(len(other), BANDS, ROWS).all(2).argmax(1) == band[x]] if len(other) else other
+
+
+def _live(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Members of pairs of tiles that may have a link to another component, by their registers."""
+    for table, groups, regs in _groups(batches):
+        rep, own, side, n, key, minor = (table.column(c).to_numpy() for c in ("rep", "own", "side", "n", "band", "minor"))
+        band, live = (key & 63).astype(np.int64), np.zeros(len(rep), bool)
+        for a, b in groups:
+            # a pair has a minor member, which comes first: the rows are sorted so
+            for x in range(a, a + int(minor[a:b].sum())):
+                other = _met(x, b, own, side, n, band, regs, percent)
+                live[other] = True
+                live[x] |= len(other) > 0
+        yield pa.RecordBatch.from_arrays([pa.array(key[live], pa.int64()), pa.array(rep[live], pa.int64())], ["band", "rep"])
+
+
 def _across(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links between components within pairs of tiles. A pair of documents is tested in the first band it shares, and no
     longer once its components have been tied there."""
-    sets, bound = _Sets(width), _least_estimate(percent)
-    for table, starts in common.whole_groups(batches, _TILES):
+    sets = _Sets(width)
+    for table, groups, regs in _groups(batches):
         out = []
-        rep, own, side, n = (table.column(c).to_numpy() for c in ("rep", "own", "side", "n"))
-        band = (table.column("band").to_numpy() & 63).astype(np.int64)
-        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        texts = table.column("text").to_pylist()
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
-            root = own[a:b].copy()
+        rep, own, side, n, key = (table.column(c).to_numpy() for c in ("rep", "own", "side", "n", "band"))
+        band, root = (key & 63).astype(np.int64), own.copy()
+        texts = table.column("text")
+        for a, b in groups:
+            here = root[a:b]
             for x in range(a, b - 1):
-                other = np.flatnonzero((root[x + 1 - a :] != root[x - a]) & ((side[x] == 2) | (side[x + 1 : b] != side[x]))) + x + 1
-                if len(other) == 0:
-                    continue
-                other = other[100 * np.minimum(n[other], n[x]) >= percent * np.maximum(n[other], n[x])]
-                same = regs[other] == regs[x]
-                other, same = other[(likely := estimates_of(same) >= bound)], same[likely]
-                first = same.reshape(len(other), BANDS, ROWS).all(2).argmax(1) if len(other) else other
-                for y in other[first == band[x]].tolist():
-                    if root[y - a] != root[x - a] and _similar(sets.of(texts[x]), sets.of(texts[y]), percent):
+                for y in _met(x, b, root, side, n, band, regs, percent).tolist():
+                    if root[y] != root[x] and _similar(sets.of(texts[x].as_py()), sets.of(texts[y].as_py()), percent):
                         out.append((rep[x], rep[y]))
-                        root[root == root[y - a]] = root[x - a]
+                        here[here == root[y]] = root[x]
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
 
 
 _TILES = ("band", "low", "high")
 
 
+def _dealt(placed: DataFrame, tile: int) -> DataFrame:
+    """``placed(band, rep, own)`` of the buckets with several components, dealt into pairs of tiles: ``(band, low, high,
+    side, rep, own, minor)``. A bucket within ``tile`` is one tile; of a larger one the members outside its largest
+    component (``minor``) have tiles of their own, and only pairs of tiles with one of these meet."""
+    sizes = placed.groupBy("band", "own").agg(F.count("*").alias("k")).groupBy("band").agg(F.count("*").alias("parts"), F.max_by("own", F.struct("k", "own")).alias("most"), F.max("k").alias("k"), F.sum("k").alias("all"))
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / tile)).cast("long")
+    sizes = sizes.where("parts > 1").select("band", "most", (F.col("all") <= tile).alias("one"), tiles(F.col("all") - F.col("k")).alias("minors"), tiles(F.col("k")).alias("majors"))
+    minor, number = F.col("own") != F.col("most"), F.xxhash64("rep", F.lit("tile"))
+    own = F.when(F.col("one"), 0).when(minor, F.pmod(number, F.col("minors"))).otherwise(F.col("minors") + F.pmod(number, F.col("majors")))
+    met = F.when(F.col("one"), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.when(minor, F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1))
+    rows = placed.join(sizes, "band").select("band", "rep", "own", minor.alias("minor"), own.alias("tile"), F.explode(met).alias("other"))
+    side = F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1)
+    return rows.select("band", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), side.alias("side"), "rep", "own", "minor")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)``, a row for each input row with an id.
 
     Links join documents whose shingle sets have 100 * intersection >= percent * union; ``component_id`` is the smallest
-    id reachable. Null, empty or word-free texts have no shingles and no links. Rows that repeat an id are one document
-    to whatever links to any of them. Rows with a null id are left out, having no name to link by. Other columns aren't
-    read; an empty table gives an empty result.
+    id reachable. Null, empty or word-free texts have no shingles and no links. Rows that repeat an id are documents of
+    their own: unlike texts of one id link only by their sets. Rows with a null id are left out, having no name to link
+    by. Other columns aren't read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     sketch = materialize(docs.mapInArrow(lambda it: _sketches(it, width), "doc long, n long, set_a long, set_b long, registers binary"), "sketch")
-    whole = sketch.where("n > 0")
-    classes = materialize(whole.groupBy("set_a", "set_b", "n").agg(F.min_by(F.struct("doc", "registers"), "doc").alias("r")).select("set_a", "set_b", "n", "r.*"), "classes")
-    bands = classes.select(F.col("doc").alias("rep"), "registers").mapInArrow(_bands, "rep long, band long")
+    one = ["set_a", "set_b", "n"]
+    classes = sketch.where("n > 0").groupBy(*one).agg(F.min_by(F.struct("doc", "registers"), "doc").alias("r"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), *one, "r.*"), "classes")
+    bands = classes.select("rep", "registers").mapInArrow(_bands, "rep long, band long")
     many = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
     shared = materialize(bands.join(many, "band", "left_semi").distinct(), "shared")
-    ids = materialize(shared.select(F.col("rep").alias("doc")).distinct(), "ids")
-    small = ids.count() <= BROADCAST_IDS
-    picked = docs.join(F.broadcast(ids) if small else ids, "doc", "left_semi")
-    texts = materialize(picked.mapInArrow(_packed, "doc long, text binary"), "texts")
-    marks = materialize(classes.join(ids, "doc", "left_semi").select("doc", "n", "registers"), "marks")
+    ids = materialize(classes.join(shared.select("rep").distinct(), "rep", "left_semi"), "marks")
+    names = ids.select("doc").distinct()
+    picked = docs.join(F.broadcast(names) if ids.count() <= BROADCAST_IDS else names, "doc", "left_semi")
+    packed = picked.mapInArrow(lambda it: _packed(it, width), "doc long, n long, set_a long, set_b long, text binary")
+    texts = materialize(packed.join(ids.select("rep", "doc", *one), ["doc", *one]).groupBy("rep").agg(F.min("text").alias("text")), "texts")
+    marks = ids.select("rep", "n", "registers")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        side = lambda t, x, *names: t.select(F.col("doc").alias(x), *(F.col(a).alias(b) for a, b in names))
+        side = lambda t, x, *names: t.select(F.col("rep").alias(x), *(F.col(a).alias(b) for a, b in names))
         likely = pairs.join(side(marks, "u", ("n", "nu"), ("registers", "ru")), "u").join(side(marks, "v", ("n", "nv"), ("registers", "rv")), "v")
         likely = materialize(likely.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(lambda it: _likely(it, percent), "u long, v long").distinct(), "likely")
         sets = likely.join(side(texts, "u", ("text", "tu")), "u").join(side(texts, "v", ("text", "tv")), "v")
         return materialize(sets.select("u", "v", "tu", "tv").mapInArrow(lambda it: _confirm(it, width, percent), "u long, v long").distinct(), "links")
 
-    def pivots(placed: DataFrame, n: int) -> DataFrame:
-        """``(band, v, v_own)`` of the bands with more than one component."""
-        drawn = [F.struct(F.xxhash64("rep", F.lit(k)) if k else F.lit(0).cast("long"), "rep", "own") for k in range(n)]
-        found = placed.groupBy("band").agg(F.array_distinct(F.array(*map(F.min, drawn))).alias("p"), F.min("own").alias("a"), F.max("own").alias("b"), F.count("*").alias("members"))
-        return found.where("a <> b").select("band", "members", F.explode("p").alias("p")).select("band", "members", F.col("p.rep").alias("v"), F.col("p.own").alias("v_own"))
-
-    first = shared.withColumn("own", F.col("rep"))
-    pairs = materialize(first.join(pivots(first, PIVOTS), "band").where("own <> v_own").select(F.col("rep").alias("u"), "v").distinct(), "pairs")
-    links = linked(pairs)
+    drawn = [F.min("rep"), F.min_by("rep", F.xxhash64("rep", F.lit(1)))][:PIVOTS]
+    pivots = shared.groupBy("band").agg(F.array_distinct(F.array(*drawn)).alias("p")).select("band", F.explode("p").alias("v"))
+    pairs = shared.join(pivots, "band").where("rep <> v").select(F.least("rep", "v").alias("u"), F.greatest("rep", "v").alias("v")).distinct()
+    links = linked(materialize(pairs, "pairs"))
     label = materialize(connected_components(links), "label")
+
     placed = shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("own"))
-    apart = placed.join(pivots(placed, 1).select("band", F.ceil(F.col("members") / TILE).alias("tiles")), "band").withColumn("tile", F.pmod(F.xxhash64("rep", F.lit("tile")), F.col("tiles")))
-    # a tile meets itself, every lower tile and every higher one
-    met = apart.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
-        "band", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
-        F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1).alias("side"), F.col("rep").alias("doc"), "own",
-    )
-    tiles = met.join(marks, "doc").join(texts, "doc").withColumnRenamed("doc", "rep").repartition(common.partitions(spark), *_TILES).sortWithinPartitions(*_TILES)
+    placed = materialize(placed, "placed")
+
+    def in_tiles(rows: DataFrame) -> DataFrame:
+        return rows.repartition(common.partitions(spark), *_TILES).sortWithinPartitions(*_TILES, F.desc("minor"))
+
+    live = in_tiles(_dealt(placed, TILE).join(marks, "rep")).mapInArrow(lambda it: _live(it, percent), "band long, rep long")
+    live = materialize(live.distinct().join(placed, ["band", "rep"]).select("band", "rep", "own"), "live")
+    tiles = in_tiles(_dealt(live, TEXT_TILE).join(marks, "rep").join(texts, "rep"))
     more = materialize(tiles.mapInArrow(lambda it: _across(it, width, percent), "u long, v long"), "links")
     label = materialize(connected_components(links.union(more)), "label")
 
-    member = sketch.select("doc", "n", "set_a", "set_b").join(classes.select("set_a", "set_b", "n", F.col("doc").alias("rep")), ["set_a", "set_b", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
-    member = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component_id"))
+    named = label.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "doc"), "rep")
+    least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    linked_classes = named.join(least, "component").select("rep", "component_id")
+    of_set = classes.select("rep", *one, F.col("doc").alias("least_doc")).join(linked_classes, "rep", "left").select(*one, F.coalesce("component_id", "least_doc").alias("component_id"))
+    member = sketch.select("doc", *one).join(of_set, one, "left").select("doc", "n", F.coalesce("component_id", "doc").alias("component_id"))
     return member.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))
 
 

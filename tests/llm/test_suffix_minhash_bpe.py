@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,39 @@ def test_a_chain_of_links_is_one_component(spark, words):
     assert {r.component_id for r in op07_minhash.near_duplicates(docs).collect()} == {0}
 
 
+def test_near_duplicates_in_small_tiles(spark, words, monkeypatch):
+    """Groups of near copies whose members are partly linked, with buckets of many tiles."""
+    monkeypatch.setattr(op07_minhash, "TILE", 6)
+    monkeypatch.setattr(op07_minhash, "TEXT_TILE", 4)
+    rng = random.Random(8)
+    rows = []
+    for share in (4, 14, 17, 20):
+        base = [rng.choice(words) + str(rng.randrange(99)) for _ in range(200)]
+        for _ in range(30):
+            near = list(base)
+            for k in rng.sample(range(200), rng.randrange(share)):
+                near[k] = rng.choice(words)
+            rows.append((len(rows), " ".join(near)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = set(map(tuple, op07_minhash.near_duplicates(docs).collect()))
+    assert got == brute_components(rows)
+    assert 4 < sum(r[3] for r in got) < 80
+
+
+def test_unlike_texts_of_one_id_stay_apart(spark, words):
+    say = lambda n: " ".join(words[(n * 37 + k * k) % 400] for k in range(60))
+    rows = [(1, say(1)), (1, say(2)), (2, say(2)), (3, say(3)), (0, say(1) + " end"), (1, say(1))]
+    got = sorted(map(tuple, op07_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect()))
+    assert got == [(0, 0, True), (1, 0, False), (1, 0, False), (1, 1, True), (2, 1, False), (3, 3, True)]
+
+
+def test_sets_of_long_texts(words, monkeypatch):
+    monkeypatch.setattr(op07_minhash, "TILE_BYTES", 50)
+    for text in (" ".join(words), "\n " + "  ".join(words[:90]) + " ", "x" * 400, "a b " + "x" * 300 + " c d e f", "", " " * 200):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert op07_minhash.whole_set(data, 5).tolist() == op07_minhash.shingle_sets(data, np.array([0, len(data)]), 5)[0].tolist()
+
+
 def test_near_duplicates_of_an_empty_table(docs):
     assert op07_minhash.near_duplicates(docs.where("false")).collect() == []
 
