@@ -11,12 +11,13 @@ their place from the sampled suffix that induces them.
   the node's windows can repeat. If the node's whole span U occurs twice, all of them repeat. Otherwise the node is
   split into nodes of the next level and the tuples (position, common part, span) are carried on, down to single windows.
   A repeated span whose common part also occurs in other spans goes on too, once, as their possible partner.
-* Out of core. Names are compared in hash buckets by a shuffle: Spark's sort-and-spill takes the place of a disk-backed
-  priority queue, as the tuples of one round are read only in the next. A value is sent once per chunk of documents, so
-  a passage that a third of all documents share is one entry per chunk. Chunks and tuples are tables in the shared folder.
+* Out of core. Names are compared in hash buckets by a sorted shuffle in place of a disk-backed priority queue, as the
+  tuples of one round are read only in the next; their number follows the bytes of text, and a task reads them one after
+  another. A value is sent once per chunk of documents, so a passage that a third of all documents share is one entry
+  per chunk. Chunks and tuples are tables in the shared folder.
 
-Matches never cross documents, and a window may match within its own document. Windows are compared by 64-bit hashes
-seeded twice (I and U use different bases), at the last level over the whole window.
+Matches never cross documents, and a window may match within its own document. Common parts, which only decide what is
+carried on, are named by 64 bits; spans, which decide what is removed, by 128 bits of two independent hashes.
 """
 
 from __future__ import annotations
@@ -35,15 +36,15 @@ from emberline.storage import materialize
 LENGTH, GRAM = 200, 32
 #: Halving steps: nodes of 128, 16 and 1 window starts.
 LEVELS = (7, 4, 0)
-#: Text bytes of a chunk, and of one vector step within it.
-CHUNK_BYTES, TILE_BYTES = 8 << 20, 1 << 20
+#: Text bytes of a chunk, of one vector step within it, and text bytes for each bucket of names.
+CHUNK_BYTES, TILE_BYTES, BUCKET_BYTES = 3 << 20, 1 << 20, 32 << 20
 
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 
 
 class _Text:
-    """Hashes of byte ranges of one text, by two bases."""
+    """Hashes of byte ranges of one text, by each of the bases."""
 
     def __init__(self, data: np.ndarray) -> None:
         self.n = len(data)
@@ -67,12 +68,12 @@ def _split(a: np.ndarray, b: np.ndarray, p: np.ndarray, level: int) -> tuple[np.
     return np.maximum(a, p - ((q << level) + (1 << level) - 1)), np.minimum(b, p - (q << level)), p, q
 
 
-def _names(text: _Text, a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each node the names of its common part and of its whole span."""
+def _names(text: _Text, a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+    """Of each node the name of its common part, and both halves of the name of its whole span."""
     start = p - (q << level)
     common_part = text.hash(0, start, start + LENGTH + 1 - (1 << level)) ^ _mix(q.astype(np.uint64) + np.uint64(level << 20))
-    span = text.hash(1, a, b + LENGTH) ^ _mix(((p - a) * 1024 + (p - b)).astype(np.uint64) + np.uint64((level + 1) << 40))
-    return _mix(common_part), _mix(span)
+    place = _mix(((p - a) * 1024 + (p - b)).astype(np.uint64) + np.uint64((level + 1) << 40))
+    return _mix(common_part), *(_mix(text.hash(k, a, b + LENGTH) ^ place) for k in (1, 2))
 
 
 def _anchors(data: np.ndarray, text: _Text) -> np.ndarray:
@@ -89,27 +90,27 @@ def _anchors(data: np.ndarray, text: _Text) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
-def _tiles(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+def _tiles(offsets: np.ndarray, tile: int) -> Iterator[tuple[int, int]]:
     """Byte ranges of at most about a tile; a longer text is cut into tiles that overlap by a window."""
     ends = offsets[1:].tolist()
     start, done = int(offsets[0]), int(offsets[0])
     for end in ends:
-        if end - start > TILE_BYTES and done > start:
+        if end - start > tile and done > start:
             yield start, done
             start = done
-        while end - start > 2 * TILE_BYTES:
-            yield start, start + TILE_BYTES + LENGTH - 1
-            start += TILE_BYTES
+        while end - start > 2 * tile:
+            yield start, start + tile + LENGTH - 1
+            start += tile
         done = end
     if done > start:
         yield start, done
 
 
-def _roots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def _roots(data: np.ndarray, offsets: np.ndarray, tile_bytes: int) -> tuple[np.ndarray, ...]:
     """The nodes of the first level of a chunk, with their names."""
     doc_end = offsets[1:]
     found = []
-    for start, end in _tiles(offsets):
+    for start, end in _tiles(offsets, tile_bytes):
         if end - start < LENGTH:
             continue
         tile = data[start:end]
@@ -124,11 +125,10 @@ def _roots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         head = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (s[1:] != s[:-1] + 1))))
         tail = np.concatenate((head[1:] - 1, [len(s) - 1]))
         a, b, p, q = _split(s[head], s[tail], anchor[head], LEVELS[0])
-        i, u = _names(text, a, b, p, q, LEVELS[0])
-        found.append((a + start, b + start, p + start, i, u))
+        found.append((a + start, b + start, p + start, *_names(text, a, b, p, q, LEVELS[0])))
     if not found:
         e = np.zeros(0, np.int64)
-        return e, e, e, e.astype(np.uint64), e.astype(np.uint64)
+        return e, e, e, *[e.astype(np.uint64)] * 3
     joined = [np.concatenate(x) for x in zip(*found)]
     order = np.argsort(joined[0], kind="stable")
     return tuple(x[order] for x in joined)
@@ -139,33 +139,43 @@ _ROWS = pa.schema([("kind", pa.int8()), ("bucket", pa.int64()), ("chunk", pa.int
 _DDL = "kind byte, bucket long, chunk long, a binary, b binary, c binary"
 
 
-def _message(chunk: int, names: tuple[np.ndarray, np.ndarray], buckets: int) -> tuple[list[dict], bytes]:
+def _distinct(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of names in one or two halves: where each distinct one is first met, the number of each name among them, and how
+    often each occurs; in the order of the first half."""
+    order = np.lexsort(parts[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order][1:] != x[order][:-1] for x in parts], 0)
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse, np.bincount(inverse, minlength=int(new.sum()))
+
+
+def _message(chunk: int, names: tuple[np.ndarray, ...], buckets: int) -> tuple[list[dict], bytes]:
     """Rows that ask how often each name occurs, a name once per chunk; and what it takes to read the answer.
 
     With a common part goes a digest of a span that has it, and whether spans differ within the chunk."""
     rows: dict[int, list[bytes]] = {}
     keep = []
-    for k in (0, 1):
-        unique, first, inverse, count = np.unique(names[k], return_index=True, return_inverse=True, return_counts=True)
+    for k, own in ((0, names[:1]), (1, names[1:])):
+        first, inverse, count = _distinct(*own)
         if k == 0:
             digest = (names[1] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            differs = np.zeros(len(unique), bool)
-            differs[inverse[names[1] != names[1][first[inverse]]]] = True
-        bucket = (unique >> np.uint64(40)).astype(np.int64) % buckets
+            differs = np.zeros(len(first), bool)
+            differs[inverse[(names[1] != names[1][first[inverse]]) | (names[2] != names[2][first[inverse]])]] = True
+        bucket = (own[0][first] >> np.uint64(32)).astype(np.int64) % buckets
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        for group in np.split(order, cuts) if len(order) else []:
+        present, sizes = np.unique(bucket, return_counts=True)
+        for group in np.split(order, np.cumsum(sizes)[:-1]) if len(order) else []:
             row = rows.setdefault(int(bucket[group[0]]), [b"", b"", b""])
-            row[k] = unique[group].tobytes()
+            row[k] = b"".join(x[first[group]].tobytes() for x in own)
             if k == 0:
                 row[2] = digest[first[group]].tobytes() + np.packbits(differs[group]).tobytes()
-        sizes = np.bincount(bucket, minlength=buckets)
         bits = np.packbits(np.stack((count[order] > 1, differs[order] if k == 0 else np.zeros(len(order), bool))))
         one = np.zeros(len(inverse), bool)
         one[first] = True
-        keep += [common.varint(place[inverse]), bits, common.varint(sizes), np.packbits(one)]
+        keep += [common.varint(place[inverse]), bits, common.varint(np.diff(present, prepend=0)), common.varint(sizes), np.packbits(one)]
     ask = [{"kind": 1, "bucket": b, "chunk": chunk, "a": i, "b": u, "c": d} for b, (i, u, d) in sorted(rows.items())]
     return ask, common.pack_table(pa.record_batch([pa.array([x.tobytes() for x in keep], pa.binary())], ["x"]))
 
@@ -177,26 +187,27 @@ def _answers(key: bytes, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     x = [np.frombuffer(y, np.uint8) for y in common.unpack_table(key).column("x").to_pylist()]
     got = []
     for k, names in ((0, ("a", "c")), (1, ("b", "d"))):
-        place, sizes = common.unvarint(x[4 * k]), common.unvarint(x[4 * k + 2])
+        place, bits, present, sizes, one = x[5 * k : 5 * k + 5]
+        place, present, sizes = common.unvarint(place), np.cumsum(common.unvarint(present)), common.unvarint(sizes)
         total = int(sizes.sum())
-        bits = np.unpackbits(x[4 * k + 1], count=2 * total).astype(bool).reshape(2, total)
+        bits = np.unpackbits(bits, count=2 * total).astype(bool).reshape(2, total)
         start = np.cumsum(sizes) - sizes
         for bucket, *flags in zip(replies.column("bucket").to_pylist(), *(replies.column(n).to_pylist() for n in names)):
-            n = int(sizes[bucket])
-            if n:
+            at = int(np.searchsorted(present, bucket))
+            if at < len(present) and present[at] == bucket:
+                n = int(sizes[at])
                 for j in (0, 1):
-                    bits[j, start[bucket] : start[bucket] + n] |= np.unpackbits(np.frombuffer(flags[j], np.uint8), count=n).astype(bool)
-        one = np.unpackbits(x[4 * k + 3], count=len(place)).astype(bool)
-        got.append((bits[0][place], bits[1][place], one))
+                    bits[j, start[at] : start[at] + n] |= np.unpackbits(np.frombuffer(flags[j], np.uint8), count=n).astype(bool)
+        got.append((bits[0][place], bits[1][place], np.unpackbits(one, count=len(place)).astype(bool)))
     (part, mixed, _), (span, elected, one) = got
     return (part & ~span) | (span & mixed & elected & one), span
 
 
-def _first(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _first(batches: Iterator[pa.RecordBatch], buckets: int, chunk_bytes: int, tile_bytes: int) -> Iterator[pa.RecordBatch]:
     chunk = TaskContext.get().partitionId() << 32
-    for rows in common.chunked(batches, "text", CHUNK_BYTES):
-        a, b, p, i, u = _roots(*common.utf8(rows.column("text")))
-        ask, key = _message(chunk, (i, u), buckets)
+    for rows in common.chunked(batches, "text", chunk_bytes):
+        a, b, p, *names = _roots(*common.utf8(rows.column("text")), tile_bytes)
+        ask, key = _message(chunk, tuple(names), buckets)
         nodes = common.pack(np.concatenate([common.varint(np.diff(a, prepend=0)), common.varint(b - a), common.varint(p - b)]))
         yield pa.RecordBatch.from_pylist([{"kind": 0, "bucket": None, "chunk": chunk, "a": common.pack_table(rows.combine_chunks()), "b": nodes, "c": key}], _ROWS)
         for k in range(0, len(ask), 512):
@@ -204,36 +215,33 @@ def _first(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         chunk += 1
 
 
-def _count(table: pa.Table) -> pa.Table:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and chunk -> the answers, bucket after bucket."""
+    for table, starts in common.whole_groups(batches, ("bucket",)):
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
+            yield from _counted(table.slice(start, end - start)).to_batches()
+
+
+def _counted(table: pa.Table) -> pa.Table:
     """One bucket of names: which occur in two chunks; common parts whose spans differ; the first chunk of a span."""
-    table = table.sort_by("chunk")
 
-    def each(values: list[np.ndarray], f) -> pa.Array:
-        flags = f(np.concatenate(values))
-        ends = np.cumsum([len(x) for x in values])
-        return pa.array([np.packbits(flags[e - len(x) : e]).tobytes() for x, e in zip(values, ends)], pa.binary())
+    def each(sizes: list[int], flags: np.ndarray) -> pa.Array:
+        ends = np.cumsum(sizes).tolist()
+        return pa.array([np.packbits(flags[e - n : e]).tobytes() for n, e in zip(sizes, ends)], pa.binary())
 
     parts = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
-    spans = [np.frombuffer(x, np.uint64) for x in table.column("b").to_pylist()]
+    spans = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table.column("b").to_pylist()]
     notes = table.column("c").to_pylist()
     digest = np.concatenate([np.frombuffer(x, np.uint32, len(p)) for x, p in zip(notes, parts)])
     differs = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=4 * len(p)), count=len(p)).astype(bool) for x, p in zip(notes, parts)])
-
-    def twice(values: np.ndarray) -> np.ndarray:
-        _, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
-        return (count > 1)[inverse]
-
-    def mixed(values: np.ndarray) -> np.ndarray:
-        _, first, inverse = np.unique(values, return_index=True, return_inverse=True)
-        bad = differs | (digest != digest[first[inverse]])
-        return (np.bincount(inverse, bad) > 0)[inverse]
-
-    def leads(values: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(values), bool)
-        out[np.unique(values, return_index=True)[1]] = True
-        return out
-
-    return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "a": each(parts, twice), "b": each(spans, twice), "c": each(parts, mixed), "d": each(spans, leads)})
+    of_part, of_span = [len(x) for x in parts], [x.shape[1] for x in spans]
+    first, part, count = _distinct(np.concatenate(parts))
+    bad = differs | (digest != digest[first[part]])
+    mixed = np.bincount(part, bad, len(first)) > 0
+    lead, span, often = _distinct(*np.concatenate(spans, 1))
+    leads = np.zeros(len(span), bool)
+    leads[lead] = True
+    return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "a": each(of_part, (count > 1)[part]), "b": each(of_span, (often > 1)[span]), "c": each(of_part, mixed[part]), "d": each(of_span, leads)})
 
 
 def _nodes(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,21 +252,30 @@ def _nodes(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, b, b + v[2 * n :]
 
 
-def _carry(chunk: int, a: np.ndarray, b: np.ndarray, p: np.ndarray, cut, level: int, buckets: int) -> list[dict]:
+def _carry(chunk: int, a: np.ndarray, b: np.ndarray, p: np.ndarray, shift: np.ndarray | int, data: np.ndarray, level: int, buckets: int, tile_bytes: int) -> list[dict]:
     """The undecided nodes' next level: their names to ask for, and their bytes to go on with.
 
-    ``cut(a, b)``: the bytes of the nodes' spans, end to end. A carried node's positions are in this text of spans;
-    ``shift`` leads back to the chunk's."""
+    ``data``: the text that the nodes' positions are in, ``shift`` what leads from there to the chunk's. The bytes of
+    the nodes' spans are laid end to end, and a carried node's positions are in this new text."""
     length = b - a + LENGTH
-    begin = np.cumsum(length) - length
-    shift = a - begin
-    data = cut(a, b)
-    text = _Text(data)
-    a, b, p, q = _split(begin, b - shift, p - shift, level)
-    owner = np.searchsorted(begin, a, "right") - 1
-    ask, key = _message(chunk, _names(text, a, b, p, q, level), buckets)
-    kept = pa.record_batch([pa.array([x.tobytes() for x in (a, b, p, shift[owner])] + [data.tobytes()], pa.binary())], ["x"])
-    return [{"kind": 0, "bucket": None, "chunk": chunk, "a": common.pack_table(kept), "b": None, "c": key}, *ask]
+    end = np.cumsum(length)
+    begin = end - length
+    kept, names = [], []
+    pieces = np.unique(np.searchsorted(end, np.arange(0, int(end[-1]), tile_bytes)))
+    for k, m in zip(pieces.tolist(), [*pieces[1:].tolist(), len(a)]):
+        text = _Text(data[common.spread(a[k:m], length[k:m])])
+        back = begin[k:m] - begin[k]
+        moved = a[k:m] - back
+        a2, b2, p2, q2 = _split(back, b[k:m] - moved, p[k:m] - moved, level)
+        names.append(_names(text, a2, b2, p2, q2, level))
+        owner = np.searchsorted(back, a2, "right") - 1
+        to_chunk = (a[k:m] + shift if isinstance(shift, int) else a[k:m] + shift[k:m]) - begin[k:m]
+        kept.append((a2 + begin[k], b2 + begin[k], p2 + begin[k], to_chunk[owner]))
+    ask, key = _message(chunk, tuple(np.concatenate(x) for x in zip(*names)), buckets)
+    spans = data[common.spread(a, length)]
+    node = [np.concatenate(x).tobytes() for x in zip(*kept)]
+    body = common.pack_table(pa.record_batch([pa.array([*node, spans.tobytes()], pa.binary())], ["x"]))
+    return [{"kind": 0, "bucket": None, "chunk": chunk, "a": body, "b": None, "c": key}, *ask]
 
 
 def _ranges(chunk: int, a: np.ndarray, b: np.ndarray) -> dict:
@@ -267,20 +284,20 @@ def _ranges(chunk: int, a: np.ndarray, b: np.ndarray) -> dict:
     return {"kind": 2, "bucket": None, "chunk": chunk, "a": common.pack(np.concatenate([common.varint(np.diff(a, prepend=0)), common.varint(b - a)])), "b": None, "c": None}
 
 
-def _second(left: pa.Table, right: pa.Table, level: int, buckets: int) -> pa.Table:
+def _second(left: pa.Table, right: pa.Table, level: int, buckets: int, tile_bytes: int) -> pa.Table:
     if left.num_rows == 0:
         return _ROWS.empty_table()
     chunk = left.column("chunk")[0].as_py()
     a, b, p = _nodes(left.column("b")[0].as_py())
     open_, span = _answers(left.column("c")[0].as_py(), right)
-    data, _ = common.utf8(common.unpack_table(left.column("a")[0].as_py()).column("text"))
     out = [_ranges(chunk, a[span], b[span])]
     if open_.any():
-        out += _carry(chunk, a[open_], b[open_], p[open_], lambda x, y: data[common.spread(x, y - x + LENGTH)], level, buckets)
+        data, _ = common.utf8(common.unpack_table(left.column("a")[0].as_py()).column("text"))
+        out += _carry(chunk, a[open_], b[open_], p[open_], 0, data, level, buckets, tile_bytes)
     return pa.Table.from_pylist(out, _ROWS)
 
 
-def _further(left: pa.Table, right: pa.Table, level: int | None, buckets: int) -> pa.Table:
+def _further(left: pa.Table, right: pa.Table, level: int | None, buckets: int, tile_bytes: int) -> pa.Table:
     """As ``_second`` from carried nodes; ``level`` None: the nodes were single windows, and all is decided."""
     if left.num_rows == 0:
         return _ROWS.empty_table()
@@ -291,15 +308,7 @@ def _further(left: pa.Table, right: pa.Table, level: int | None, buckets: int) -
     open_, span = _answers(left.column("c")[0].as_py(), right)
     out = [_ranges(chunk, (a + shift)[span], (b + shift)[span])] if span.any() else []
     if level is not None and open_.any():
-        a, b, p, shift = a[open_], b[open_], p[open_], shift[open_]
-        rows = _carry(chunk, a, b, p, lambda s, e: data[common.spread(s, e - s + LENGTH)], level, buckets)
-        kept = common.unpack_table(rows[0]["a"]).column("x").to_pylist()
-        a2, s2 = np.frombuffer(kept[0], np.int64), np.frombuffer(kept[3], np.int64)
-        length = b - a + LENGTH
-        owner = np.searchsorted(np.cumsum(length) - length, a2, "right") - 1
-        kept[3] = (s2 + shift[owner]).tobytes()
-        rows[0]["a"] = common.pack_table(pa.record_batch([pa.array(kept, pa.binary())], ["x"]))
-        out += rows
+        out += _carry(chunk, a[open_], b[open_], p[open_], shift[open_], data, level, buckets, tile_bytes)
     return pa.Table.from_pylist(out, _ROWS)
 
 
@@ -337,33 +346,36 @@ def _cut(left: pa.Table, right: pa.Table, columns: list[str], schema: pa.Schema)
     return pa.table([rows.column(f"c{columns.index(f.name)}") if f.name in columns else made[f.name] for f in schema], schema=schema)
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), chunk_bytes: int = CHUNK_BYTES, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """The columns ``carry`` of every row, with ``n_bytes``, ``n_removed``, ``spans`` (array of start and end, the maximal
     removed runs of UTF-8 bytes) and ``kept`` (binary: the other bytes).
 
     A byte goes if a ``LENGTH``-byte string covers it that also starts anywhere else in any text. Null text: as empty.
     Texts shorter than that lose nothing. Rows with equal ids are rows of their own. An empty table gives an empty
-    result. ``carry`` columns can be of any Arrow-friendly type and must not be named like the new columns.
+    result. Chunks and tiles of other sizes give equal results. ``carry`` columns can be of any Arrow-friendly type and must not be named like the new columns.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
     common.small_batches(spark)
-    buckets = common.partitions(spark)
+    parts = common.partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(parts, -(-size // BUCKET_BYTES))
     columns = list(carry)
     rows = docs.select(F.col(text_col).alias("text"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)))
-    first = materialize(rows.mapInArrow(lambda it: _first(it, buckets), _DDL), "suffix")
+    first = materialize(rows.mapInArrow(lambda it: _first(it, buckets, chunk_bytes, tile_bytes), _DDL), "suffix")
 
     def replies(t: DataFrame) -> DataFrame:
-        return t.where("kind = 1").select("bucket", "chunk", "a", "b", "c").groupBy("bucket").applyInArrow(_count, "bucket long, chunk long, a binary, b binary, c binary, d binary")
+        asked = t.where("kind = 1").select("bucket", "chunk", "a", "b", "c").repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk")
+        return asked.mapInArrow(_count, "bucket long, chunk long, a binary, b binary, c binary, d binary")
 
     def joined(t: DataFrame, f) -> DataFrame:
         return t.where("kind = 0").select("chunk", "a", "b", "c").groupBy("chunk").cogroup(replies(t).groupBy("chunk")).applyInArrow(f, _DDL)
 
     def further(level: int | None):
-        return lambda x, y: _further(x, y, level, buckets)
+        return lambda x, y: _further(x, y, level, buckets, tile_bytes)
 
-    now = materialize(joined(first, lambda x, y: _second(x, y, LEVELS[1], buckets)), "suffix")
+    now = materialize(joined(first, lambda x, y: _second(x, y, LEVELS[1], buckets, tile_bytes)), "suffix")
     found = now.where("kind = 2").select("chunk", "a")
     for level in (*LEVELS[2:], None):
         now = materialize(joined(now, further(level)), "suffix")

@@ -43,6 +43,15 @@ def test_repeats_of_periodic_and_shifted_texts(spark):
     assert [tuple(r)[1:] for r in out.collect()] == brute_repeats(texts)
 
 
+def test_repeats_in_small_chunks_and_tiles(spark, sample, monkeypatch):
+    """Texts of many tiles, tables of many chunks and buckets."""
+    monkeypatch.setattr(op03_suffix, "BUCKET_BYTES", 4000)
+    rows = [(r[0], r[1]) for r in sample] + [(900, "z" + sample[12][1] * 3), (901, (sample[0][1] + sample[-2][1]) * 2)]
+    out = op03_suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), chunk_bytes=3000, tile_bytes=700)
+    expected = sorted((r[0], *b) for r, b in zip(rows, brute_repeats([r[1] for r in rows])))
+    assert sorted(map(tuple, out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long"), F.sha2("kept", 256)).collect())) == expected
+
+
 def test_repeats_of_an_empty_table(docs):
     assert op03_suffix.remove_repeats(docs.where("false")).collect() == []
 
