@@ -4,9 +4,10 @@ Every word of a text gets a language by forward-backward. A word's features are
 as marks (so the first and last ones are its affixes) and the word itself as a lexicon entry, all hashed into one weight
 table for each language; transitions between the languages of neighbouring words are learnt with them. The training
 sequences are documents joined in pairs, so that the model sees switches as well as runs. A text's language is the one
-with the largest share of its words' marginals, and that share is the score.
+with the largest share of its words' marginals, and that share is the score; runs of words of one language are its spans.
 
-The model is fitted on a bounded sample on the driver; scoring reads each text once and shuffles nothing.
+The model is fitted on a bounded sample on the driver; scoring reads each text once and shuffles nothing. Long texts are
+taken in pieces, and the chain of a piece in segments that look beyond their ends.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from emberline.llm import common
 from emberline.llm.op07_minhash import _mix, _powers
 
-#: Documents of each language that the model is fitted on, on average (drawn by a hash of the id), and languages.
-SAMPLE, LANGUAGES = 600, 64
-#: n-gram lengths in bytes, edges included; slots of the weight table for each kind of feature.
-GRAMS, SLOTS = (2, 3, 4), 1 << 16
-#: Steps, documents of a step, learning rate and ridge of the fit.
-STEPS, STEP_DOCS, RATE, RIDGE = 40, 160, 0.2, 1e-4
-TILE_BYTES = 1 << 21
+#: Documents and bytes of text of each language that the model is fitted on, on average (drawn by a hash of id and text).
+SAMPLE, SAMPLE_BYTES = 600, 4 << 20
+#: n-gram lengths in bytes, edges included; slots of a weight table for each kind of feature, and of all tables of a kind
+#: (more languages have smaller tables).
+GRAMS, SLOTS, ALL_SLOTS = (2, 3, 4), 1 << 16, 1 << 20
+#: Steps for every ``STEP_LANGUAGES`` languages, documents of a step, learning rate and ridge of the fit.
+STEPS, STEP_LANGUAGES, STEP_DOCS, RATE, RIDGE = 40, 8, 160, 0.2, 1e-4
+#: Bytes of text taken at once; words of a segment, and words beyond it that its chain looks at.
+TILE_BYTES, SEGMENT, BEYOND = 1 << 21, 2048, 32
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -48,7 +51,12 @@ class Words:
     whole: np.ndarray
 
 
-def words_of(texts: list[str | None]) -> Words:
+def slots_for(languages: int) -> int:
+    """A power of two, so that all languages' tables stay within ``ALL_SLOTS`` for each kind of feature."""
+    return max(1 << 10, min(SLOTS, 1 << (ALL_SLOTS // max(languages, 1)).bit_length() - 1))
+
+
+def words_of(texts: list[str | None], table: int = SLOTS) -> Words:
     parts = [(t or "").lower().encode() for t in texts]
     data = _KEEP[np.frombuffer(b"    " + b"\n".join(parts) + b"    ", np.uint8)]
     inside = data != 32
@@ -63,12 +71,12 @@ def words_of(texts: list[str | None]) -> Words:
         gram = gram[:-1] | (wide[n - 1 :] << np.uint64(8 * (n - 1)))
         if n in GRAMS:
             k = len(slots)
-            slots.append(((((gram + np.uint64(n)) * _ODD) >> np.uint64(48)).astype(np.int64) & (SLOTS - 1)) + k * SLOTS)
+            slots.append(((((gram + np.uint64(n)) * _ODD) >> np.uint64(48)).astype(np.int64) & (table - 1)) + k * table)
             ranges.append((starts - 1, np.maximum(starts - 1, ends - n + 2)))
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(wide * _powers(int(_ODD), len(data)), out=prefix[1:])
     word = _mix((prefix[ends] - prefix[starts]) * _powers(pow(int(_ODD), -1, 1 << 64), len(data) + 1)[starts])
-    return Words(np.append(first, len(starts)).astype(np.int64), slots, ranges, (word >> np.uint64(48)).astype(np.int64) + len(GRAMS) * SLOTS)
+    return Words(np.append(first, len(starts)).astype(np.int64), slots, ranges, ((word >> np.uint64(48)).astype(np.int64) & (table - 1)) + len(GRAMS) * table)
 
 
 def emissions(words: Words, weights: np.ndarray) -> np.ndarray:
@@ -113,24 +121,46 @@ def marginals(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, pai
     return p, (joint / joint.sum((1, 2), keepdims=True)).sum(0)
 
 
+def in_segments(scores: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """``marginals`` with sequences of more than ``SEGMENT`` words cut into segments, each chained with ``BEYOND`` words
+    on both sides (what lies farther off moves a marginal by less than rounding shows)."""
+    size = np.diff(first)
+    if len(size) == 0 or size.max() <= SEGMENT + BEYOND:
+        return marginals(scores, first, transition)[0]
+    n = np.maximum(1, -(-size // SEGMENT))
+    k = common.spread(np.zeros(len(n), np.int64), n)
+    begin, end = np.repeat(first[:-1], n), np.repeat(first[1:], n)
+    low = begin + k * SEGMENT
+    high = np.minimum(low + SEGMENT, end)
+    a, b = np.maximum(begin, low - BEYOND), np.minimum(end, high + BEYOND)
+    p, _ = marginals(scores[common.spread(a, b - a)], np.append(0, np.cumsum(b - a)), transition)
+    at = np.cumsum(b - a) - (b - a)
+    return p[common.spread(at + low - a, high - low)]
+
+
 @dataclass
 class Model:
     languages: list[str]
     weights: np.ndarray
     transition: np.ndarray
 
+    @property
+    def slots(self) -> int:
+        return self.weights.shape[1] // (len(GRAMS) + 1)
+
 
 def fit(texts: list[str | None], langs: list[str]) -> Model:
     """AdaGrad on the conditional likelihood of the word labels, from zero and in a fixed order."""
     languages = sorted(set(langs))
     n = len(languages)
-    weights, transition = np.zeros((n, (len(GRAMS) + 1) * SLOTS)), np.zeros((n, n))
+    table = slots_for(n)
+    weights, transition = np.zeros((n, (len(GRAMS) + 1) * table)), np.zeros((n, n))
     sum_w, sum_t = np.full_like(weights, 1e-2), np.full_like(transition, 1e-2)
     y = np.array([languages.index(x) for x in langs])
     rng = np.random.default_rng(4)
-    for _ in range(STEPS if n > 1 else 0):
+    for _ in range(STEPS * -(-n // STEP_LANGUAGES) if n > 1 else 0):
         pick = rng.permutation(len(texts))[:STEP_DOCS]
-        words = words_of([texts[k] for k in pick.tolist()])
+        words = words_of([texts[k] for k in pick.tolist()], table)
         gold = np.repeat(y[pick], np.diff(words.first))
         if len(gold) == 0:
             continue
@@ -157,51 +187,93 @@ def fit(texts: list[str | None], langs: list[str]) -> Model:
     return Model(languages, weights, transition)
 
 
+def _labelled(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the sums of its words' marginals by language, and where its words begin; of each word its language."""
+    words = words_of(texts, model.slots)
+    p = in_segments(emissions(words, model.weights), words.first, model.transition)
+    total = np.concatenate((np.zeros((1, p.shape[1])), np.cumsum(p, 0)))
+    return np.diff(total[words.first], axis=0), words.first, p.argmax(1).astype(np.int16)
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A long text in parts cut at a space, where there is one."""
+    at = 0
+    while at < len(text):
+        end = at + TILE_BYTES // 4
+        if end < len(text):
+            space = text.find(" ", end, end + TILE_BYTES // 4)
+            end = space if space > 0 else end
+        yield text[at:end]
+        at = end
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     names = model.languages
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
     for rows in common.chunked(batches, "_text", TILE_BYTES):
         texts = rows.column("_text").to_pylist()
-        words = words_of(texts)
-        p, _ = marginals(emissions(words, model.weights), words.first, model.transition) if names else (np.zeros((len(words.whole), 1)), None)
-        best = p.argmax(1)
-        change = np.concatenate(([0], np.cumsum(np.concatenate(([0], best[1:] != best[:-1])))))
-        total = np.concatenate((np.zeros((1, p.shape[1])), np.cumsum(p, 0)))
-        langs, scores, switches = [], [], []
-        for text, a, b in zip(texts, words.first[:-1].tolist(), words.first[1:].tolist()):
-            if not text or b == a or not names or not _LETTER.search(text):
-                langs.append(UNKNOWN), scores.append(0.0), switches.append(0)
-                continue
-            share = (total[b] - total[a]) / (b - a)
-            langs.append(names[int(share.argmax())])
-            scores.append(float(min(1.0, max(0.0, share.max()))))
-            switches.append(int(change[b] - change[a + 1]))
-        keep = [rows.column(c).combine_chunks() for c in rows.schema.names if c != "_text"]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(switches, pa.int64())], [*(c for c in rows.schema.names if c != "_text"), "lang_pred", "score", "n_switches"])
+        if not names:
+            share, first, best = np.zeros((len(texts), 1)), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int16)
+        elif len(texts) == 1 and len(texts[0] or "") > TILE_BYTES:
+            parts = [_labelled([x], model) for x in _pieces(texts[0])]
+            share, best = sum(x[0] for x in parts), np.concatenate([x[2] for x in parts])
+            first = np.array([0, len(best)])
+        else:
+            share, first, best = _labelled(texts, model)
+        n = np.diff(first)
+        good = np.array([bool(t and _LETTER.search(t)) for t in texts]) & (n > 0)
+        share = share / np.maximum(n, 1)[:, None]
+        new = np.ones(len(best), bool)
+        new[1:] = best[1:] != best[:-1]
+        new[first[:-1][n > 0]] = True
+        owner = np.repeat(np.arange(len(texts)), n)
+        new &= good[owner]
+        start = np.flatnonzero(new)
+        runs = np.bincount(owner[start], minlength=len(texts))
+        last = np.append(start[1:], 0)
+        ends = np.append(np.cumsum(runs)[runs > 0] - 1, []).astype(np.int64)
+        last[ends] = first[1:][runs > 0]
+        spans = pa.StructArray.from_arrays(
+            [pa.array(names or [""], pa.string()).take(pa.array(best[start].astype(np.int64))), pa.array(start - first[owner[start]], pa.int64()), pa.array(last - 1 - first[owner[start]], pa.int64())] if len(start) else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64())],
+            ["lang", "first", "last"],
+        )
+        made = {
+            "lang_pred": pa.array([names[k] if ok else UNKNOWN for k, ok in zip(share.argmax(1).tolist(), good.tolist())], pa.string()),
+            "score": pa.array(np.where(good, np.clip(share.max(1), 0, 1), 0.0)),
+            "n_switches": pa.array(np.maximum(runs - 1, 0), pa.int64()),
+            "spans": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(runs)), pa.int32()), spans).cast(kind),
+        }
+        keep = [c for c in rows.schema.names if c != "_text"]
+        yield pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in keep), *made.values()], [*keep, *made])
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """The model of the rows with a language whose crc32 of the id, mod 4, isn't 2. About ``SAMPLE`` whole documents of
-    each language are drawn by a hash of the id; of more than ``LANGUAGES`` languages the most frequent are learnt."""
-    able = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (common.crc_mod(id_col, 4) != 2))
-    counts = able.groupBy(F.col(lang_col).alias("_l")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_l").limit(LANGUAGES).collect()
+    """The model of the rows with a language whose crc32 of the id, mod 4, isn't 2. All their languages are learnt, each
+    from about ``SAMPLE`` whole documents and ``SAMPLE_BYTES`` of text at most (texts longer than that aren't drawn).
+    Rows are drawn by a hash of id and text, and equal rows count once, so reruns give the same model."""
+    able = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.octet_length(text_col).alias("b")).where((common.crc_mod(id_col, 4) != 2) & F.col(lang_col).isNotNull())
+    able = able.where(f"t is not null and b <= {SAMPLE_BYTES}")
+    counts = able.groupBy("l").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()
     if not counts:
         return Model([], np.zeros((0, 0)), np.zeros((0, 0)))
-    share = F.coalesce(*(F.when(F.col(lang_col) == r["_l"], SAMPLE / r["_n"]) for r in counts), F.lit(0.0))
-    drawn = able.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(41)), F.lit(1 << 30)) < share * (1 << 30))
-    rows = drawn.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).limit(4 * SAMPLE * len(counts)).collect()
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["l"], float(min(SAMPLE / r["n"], SAMPLE_BYTES / max(r["b"], 1))))))
+    drawn = able.where(F.pmod(F.xxhash64("i", "t", F.lit(41)), F.lit(1 << 30)) < share[F.col("l")] * (1 << 30))
+    rows = drawn.select("i", "t", "l").distinct().collect()
     rows.sort(key=lambda r: (str(r.i), r.t, r.l))
     return fit([r.t for r in rows], [r.l for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """``carry``, ``lang_pred``, ``score`` and ``n_switches`` (changes of language between neighbouring words), a row
-    for each input row. Null texts and texts without a letter are ``und`` with score 0, and so are all if no language
-    was learnt. A text in a script that wasn't learnt gets the least unlike language. Repeated rows get equal results;
-    other columns aren't read; an empty table gives an empty result. ``carry`` columns must not be named like the new ones
-    (a struct of them can't be)."""
+    """``carry``, ``lang_pred``, ``score``, ``n_switches`` (changes of language between neighbouring words) and ``spans``
+    (array of language, first and last word: the runs of one language, words counted from 0), a row for each input row.
+
+    Null texts and texts without a letter are ``und`` with score 0 and no spans, and so are all if no language was
+    learnt. A text in a script that wasn't learnt gets the least unlike language. Repeated rows get equal results; other
+    columns aren't read; an empty table gives an empty result. Texts of more than ``TILE_BYTES`` characters are chained in
+    parts. ``carry`` columns must not be named like the new ones (a struct of them can't be)."""
     common.small_batches(docs.sparkSession)
     rows = docs.select(*carry, F.col(text_col).alias("_text"))
-    fields = T.StructType([*docs.select(*carry).schema.fields, *T.StructType.fromDDL("lang_pred string, score double, n_switches long").fields])
+    fields = T.StructType([*docs.select(*carry).schema.fields, *T.StructType.fromDDL("lang_pred string, score double, n_switches long, spans array<struct<lang: string, first: long, last: long>>").fields])
     return rows.mapInArrow(lambda it: _predict(it, model), fields)
 
 

@@ -2,11 +2,12 @@
 
 A source's target is a share of the mix in words. The mix is dealt out in equal blocks of words: the blocks go to the
 sources by the highest quotients of their targets, and within a source to its shards by the highest quotients of the
-shards' sizes, so every shard has an integer quota. A shard lays its documents end to end in a seeded order and takes
-the leading blocks of that stream, once round and then a second time, as far as its quota goes.
+shards' sizes, so every shard has an integer quota. A shard lays its documents end to end in a seeded order, so that the
+blocks of its stream are in seeded order too, and takes them from the front, once round and then a second time, as far as
+its quota goes.
 
 Only (key, size) rows are shuffled: per source and shard for the sums, per shard for the running totals. A source that
-holds a third of all rows is cut into as many shards as its size asks for.
+holds a third of all rows is cut into as many shards as its size asks for, in two steps if they are many.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from emberline.llm import common
 from emberline.storage import materialize
 
-#: Words of a block; words of a shard, and the most shards of a source.
-BLOCK, SHARD_WORDS, MOST_SHARDS = 64, 65536, 4096
+#: Words of a block; words of a shard, and the shards of a source that share its quota at first: a source with more has
+#: as many groups of shards, each of which shares its quota among its own.
+BLOCK, SHARD_WORDS, FAN = 64, 65536, 4096
 #: Weights of the sources by their rank, repeating; words of the mix for each word there is; most takes of a word.
 WEIGHTS, SHARE, TIMES = (3, 1, 2), 1.5, 2
 SEED = "mix-1"
@@ -67,28 +69,34 @@ def targets(sources: DataFrame) -> DataFrame:
 def apportion(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The columns ``carry`` of every row with ``size``, ``source_size``, ``target`` and ``taken``.
 
-    Null text: size 0, nothing taken. Null sources are one source, the last. Null ids count as an empty id. Rows that
-    repeat an id are rows of their own and lie next to each other in the seeded order. An empty table gives an empty
-    result. ``carry`` must not hold columns named like the new ones or starting with an underscore.
+    Null text: size 0, nothing taken. Null sources are one source, the last. Rows with a null id have their place by
+    their text. Rows that repeat an id are rows of their own and lie next to each other in the seeded order, by size and
+    text; of equal rows it makes no difference which comes first. An empty table gives an empty result. ``carry`` must
+    not hold columns named like the new ones or starting with an underscore.
     """
-    mark = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    sized = materialize(docs.select(*carry, F.col(source_col).alias("_source"), size_of(F.col(text_col)).alias("size"), mark.alias("_mark")), "sized")
+    tie = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    mark = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(id_col).cast("string"), tie)).cast("binary"))
+    sized = docs.select(*carry, F.col(source_col).alias("_source"), size_of(F.col(text_col)).alias("size"), mark.alias("_mark"), tie.alias("_tie"))
+    sized = materialize(sized, "sized")
     ranked = materialize(targets(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))), "sources")
-    shards = F.least(F.lit(MOST_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)))
-    known = ranked.withColumn("shards", shards).withColumnRenamed("source", "_own")
-    number = F.conv(F.substring("_mark", 1, 8), 16, 10).cast("long")
-    rows = sized.join(known, F.col("_source").eqNullSafe(F.col("_own"))).withColumn("shard", number % F.col("shards"))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS))
+    known = ranked.withColumn("groups", F.least(F.lit(FAN), shards)).withColumn("parts", F.ceil(shards / F.col("groups"))).withColumnRenamed("source", "_own")
+    number = lambda k: F.conv(F.substring("_mark", k, 8), 16, 10).cast("long")
+    rows = sized.join(known, F.col("_source").eqNullSafe(F.col("_own"))).withColumn("group", number(1) % F.col("groups")).withColumn("shard", number(9) % F.col("parts"))
 
     blocks = ranked.withColumn("blocks", F.round(F.sum("target").over(W.partitionBy()) / BLOCK).cast("long"))
     seats = sainte_lague(blocks, [], "rank", "target", "blocks").select("rank", "won")
-    parts = rows.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"))
-    quota = sainte_lague(parts.join(seats.withColumnRenamed("won", "for_source"), "rank"), ["rank"], "shard", "shard_size", "for_source")
+    parts = materialize(rows.groupBy("rank", "group", "shard").agg(F.sum("size").alias("shard_size")), "shards")
+    groups = parts.groupBy("rank", "group").agg(F.sum("shard_size").alias("group_size")).join(seats.withColumnRenamed("won", "for_source"), "rank")
+    groups = sainte_lague(groups, ["rank"], "group", "group_size", "for_source").select("rank", "group", F.col("won").alias("for_group"))
+    quota = sainte_lague(parts.join(groups, ["rank", "group"]), ["rank", "group"], "shard", "shard_size", "for_group")
     words = F.least(F.col("won") * BLOCK, F.col("shard_size") * TIMES)
-    quota = materialize(quota.where("shard_size > 0").select("rank", "shard", F.floor(words / F.col("shard_size")).alias("times"), (words % F.col("shard_size")).alias("rest")), "quota")
+    quota = quota.where("shard_size > 0").select("rank", "group", "shard", F.floor(words / F.col("shard_size")).alias("times"), (words % F.col("shard_size")).alias("rest"))
+    quota = materialize(quota, "quota")
 
-    order = W.partitionBy("rank", "shard").orderBy("_mark", "size")
+    order = W.partitionBy("rank", "group", "shard").orderBy("_mark", "size", "_tie")
     end = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    laid = rows.withColumn("_end", end).join(quota, ["rank", "shard"], "left")
+    laid = rows.withColumn("_end", end).join(quota, ["rank", "group", "shard"], "left")
     taken = F.col("times") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("_end"), F.col("rest")) - (F.col("_end") - F.col("size")))
     return laid.select(*carry, "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
 
@@ -114,9 +122,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportion(common.table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
 
 
+#: As written for sources of up to ``FAN`` shards, where every group has one.
 ORACLE = rf"""
 WITH sized AS (
-  SELECT doc_id, source, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mark,
+  SELECT doc_id, source, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS mark, md5(coalesce(text, '')) AS tie,
     CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
@@ -130,14 +139,14 @@ b AS (SELECT *, CAST(round(sum(target) OVER () / {BLOCK}) AS BIGINT) AS blocks,
 q AS (SELECT rank, target / (2 * n + 1) AS quotient, blocks FROM b, LATERAL (SELECT unnest(range(0, CAST(round(target * (blocks + (SELECT count(*) FROM t)) / total) AS BIGINT) + 2)) AS n) WHERE target > 0),
 g AS (SELECT rank, count(*) AS won FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, rank) AS r FROM q) WHERE r <= blocks GROUP BY rank),
 d AS (SELECT z.*, t.rank, t.source_size, t.target,
-    CAST('0x' || substr(mark, 1, 8) AS BIGINT) % least({MOST_SHARDS}, greatest(1, CAST(ceil(source_size / {SHARD_WORDS}.0) AS BIGINT))) AS shard
+    CAST('0x' || substr(mark, 1, 8) AS BIGINT) % least({FAN}, greatest(1, CAST(ceil(source_size / {SHARD_WORDS}.0) AS BIGINT))) AS shard
   FROM sized z JOIN t ON z.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT rank, shard, CAST(sum(size) AS BIGINT) AS shard_size FROM d GROUP BY ALL),
 e AS (SELECT p.*, coalesce(g.won, 0) AS won, sum(shard_size) OVER (PARTITION BY p.rank) AS total, count(*) OVER (PARTITION BY p.rank) AS parties FROM p LEFT JOIN g USING (rank)),
 f AS (SELECT rank, shard, shard_size::DOUBLE / (2 * n + 1) AS quotient, won FROM e, LATERAL (SELECT unnest(range(0, CAST(round(shard_size * (won + parties) / total) AS BIGINT) + 2)) AS n) WHERE shard_size > 0),
 h AS (SELECT rank, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY quotient DESC, shard) AS r FROM f) WHERE r <= won GROUP BY ALL),
 k AS (SELECT e.rank, e.shard, shard_size, least(coalesce(quota, 0) * {BLOCK}, shard_size * 2) AS words FROM e LEFT JOIN h USING (rank, shard) WHERE shard_size > 0),
-l AS (SELECT d.*, k.shard_size, words, sum(size) OVER (PARTITION BY d.rank, d.shard ORDER BY mark, size ROWS UNBOUNDED PRECEDING) AS fin FROM d LEFT JOIN k USING (rank, shard))
+l AS (SELECT d.*, k.shard_size, words, sum(size) OVER (PARTITION BY d.rank, d.shard ORDER BY mark, size, tie ROWS UNBOUNDED PRECEDING) AS fin FROM d LEFT JOIN k USING (rank, shard))
 SELECT doc_id, size, source_size, round(target, 6) AS target,
   CAST(coalesce((words // shard_size) * size + greatest(0, least(fin, words % shard_size) - (fin - size)), 0) AS BIGINT) AS taken FROM l
 """

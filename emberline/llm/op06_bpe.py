@@ -1,9 +1,13 @@
 """Operator 6: byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
 A text is cut into pre-tokens by the public pattern. A chunk of documents keeps its pre-tokens as positions in the
-chunk's own word list; the words alone are shuffled, dealt out by their hash, so that a word of all chunks is met in one
-place and encoded once; the ids go back to the chunk and are laid out by position. What moves is each word once per
-chunk, never each occurrence: the most frequent word is one entry per chunk, so no word is a hot key.
+chunk's own word list; the words alone are shuffled, dealt out by their hash. The entries of a word from all chunks meet
+in one bucket, where each distinct word is encoded once; the ids go back to the chunks and are laid out by position. What
+moves is each word once per chunk, never each occurrence: the most frequent word is one entry per chunk, so no word is a
+hot key. Buckets are as many as the bytes of text ask for and are read one after another.
+
+Decoding looks the ids up in the table of token bytes, which goes to every task: a join with a table of the
+vocabulary's size.
 
 Words, positions and ids travel in packed blocks (one row per chunk and word bucket). The chunk table is written to the
 shared folder before the shuffle: a lost executor re-reads it, and positions and words always come from the same run.
@@ -23,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from emberline.llm import common
 from emberline.storage import materialize
 
-#: Text bytes of a chunk: bounds the word list and the positions that a task holds.
-CHUNK_BYTES = 12 << 20
-#: Words a task remembers while it encodes; beyond it the memory is emptied and a word may be encoded again.
-REMEMBERED = 200_000
+#: Text bytes of a chunk (bounds the word list and the positions that a task holds), and for each bucket of words.
+CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 64 << 20
+#: Characters from which on a text's words are read one by one.
+LONG = 1 << 20
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -41,16 +45,21 @@ class _Words(dict):
         return n
 
 
-def _split(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     import regex
 
-    find = regex.compile(pattern).findall
+    pattern = regex.compile(pattern)
+
+    def codes_of(text: str) -> np.ndarray:
+        if len(text) > LONG:
+            return np.fromiter((words[m[0]] for m in pattern.finditer(text)), np.uint32)
+        found = pattern.findall(text)
+        return np.fromiter(map(words.__getitem__, found), np.uint32, len(found))
+
     chunk = TaskContext.get().partitionId() << 32
-    for rows in common.chunked(batches, "text", CHUNK_BYTES):
-        words, codes = _Words(), []
-        for text in rows.column("text").to_pylist():
-            found = find(text) if text else []
-            codes.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
+    for rows in common.chunked(batches, "text", chunk_bytes):
+        words = _Words()
+        codes = [codes_of(text or "") for text in rows.column("text").to_pylist()]
         flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
         order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), np.uint32)
@@ -78,28 +87,28 @@ _CHUNKS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("a", pa.bin
 _IDS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.binary()), ("ids", pa.binary())])
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], table: dict[bytes, int], pattern: str) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: a bucket's words are reduced to the distinct ones, and each is encoded once."""
     import tiktoken
 
-    one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})._core_bpe.encode_single_piece
-    known: dict[bytes, list[int]] = {}
-    for batch in batches:
-        out = []
-        for bucket, chunk, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            data, lengths = common.unpack(a), common.unvarint(common.unpack(b, np.uint8))
-            ends = np.cumsum(lengths)
-            sizes, ids = [], []
-            for start, end in zip((ends - lengths).tolist(), ends.tolist()):
-                word = data[start:end]
-                got = known.get(word)
-                if got is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = got = one(word)
-                sizes.append(len(got))
-                ids += got
-            out.append({"bucket": bucket, "chunk": chunk, "n": common.pack(common.varint(np.array(sizes, np.int64))), "ids": common.pack_narrow(np.array(ids, np.uint32))})
-        yield pa.RecordBatch.from_pylist(out, _IDS)
+    one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})._core_bpe.encode_single_piece
+    for rows, starts in common.whole_groups(batches, ("bucket",)):
+        for first, last in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows]):
+            known: dict[bytes, list[int]] = {}
+            out = []
+            for bucket, chunk, a, b in zip(*(rows.column(i).slice(first, last - first).to_pylist() for i in range(4))):
+                data, lengths = common.unpack(a), common.unvarint(common.unpack(b, np.uint8))
+                ends = np.cumsum(lengths)
+                sizes, ids = [], []
+                for start, end in zip((ends - lengths).tolist(), ends.tolist()):
+                    word = data[start:end]
+                    got = known.get(word)
+                    if got is None:
+                        known[word] = got = one(word)
+                    sizes.append(len(got))
+                    ids += got
+                out.append({"bucket": bucket, "chunk": chunk, "n": common.pack(common.varint(np.array(sizes, np.int64))), "ids": common.pack_narrow(np.array(ids, np.uint32))})
+            yield pa.RecordBatch.from_pylist(out, _IDS)
 
 
 def _lay_out(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -130,21 +139,25 @@ def _lay_out(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"doc": head.column("doc"), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(texts, pa.binary())}, schema)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``(id_col, n_tokens, ids)`` for every row: ids are little-endian unsigned 32-bit integers, as the tiktoken
     library's ``encode_ordinary`` gives them. Null text: as empty, no ids. Repeated rows and ids: a row each. Null ids
-    stay null. Other columns aren't read. An empty table gives an empty result.
+    stay null. Other columns aren't read. An empty table gives an empty result. ``path``, the ranks, is read by the
+    driver. Chunks of other sizes give equal results.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    buckets = common.partitions(spark)
+    parts = common.partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(parts, -(-size // BUCKET_BYTES))
+    table = spark.sparkContext.broadcast(ranks(path))  # of the vocabulary's size
     chunks = materialize(
-        docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(lambda it: _split(it, pattern, buckets), "bucket long, chunk long, a binary, b binary, c binary"),
+        docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(lambda it: _split(it, pattern, buckets, chunk_bytes), "bucket long, chunk long, a binary, b binary, c binary"),
         "bpe",
     )
     ids = (
-        chunks.where("bucket is not null").select("bucket", "chunk", "a", "b").repartition(buckets, "bucket")
-        .mapInArrow(lambda it: _encode(it, path, pattern), "bucket long, chunk long, n binary, ids binary")
+        chunks.where("bucket is not null").select("bucket", "chunk", "a", "b").repartition(parts, "bucket").sortWithinPartitions("bucket")
+        .mapInArrow(lambda it: _encode(it, table.value, pattern), "bucket long, chunk long, n binary, ids binary")
     )
     return (
         chunks.where("bucket is null").select("chunk", "a", "b", "c").groupBy("chunk")
@@ -157,15 +170,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with the column ``decoded`` (binary): the bytes of each row's tokens, looked up by rank in the table
     of token bytes, whose size is the vocabulary's. Null ids: null."""
+    by_rank = sorted(ranks(path).items(), key=lambda x: x[1])
+    lengths = np.zeros(by_rank[-1][1] + 1, np.int64)
+    for token, rank in by_rank:
+        lengths[rank] = len(token)
+    table = encoded.sparkSession.sparkContext.broadcast((lengths, b"".join(token for token, _ in by_rank)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_rank = sorted(ranks(path).items(), key=lambda x: x[1])
-        top = by_rank[-1][1] + 1
-        size = np.zeros(top, np.int64)
-        for token, rank in by_rank:
-            size[rank] = len(token)
+        size, flat = table.value[0], np.frombuffer(table.value[1], np.uint8)
         start = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(token for token, _ in by_rank), np.uint8)
         for batch in batches:
             out = []
             for ids in batch.column(batch.schema.get_field_index(ids_col)).to_pylist():

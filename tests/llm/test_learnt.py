@@ -3,6 +3,9 @@
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
+
 import pytest
 
 from emberline.llm import op04_langid, op08_quality, op10_toxicity
@@ -37,6 +40,42 @@ def test_languages(speech, monkeypatch):
     assert {r.lang_pred for r in op04_langid.identify(speech, nothing).collect()} == {"und"}
 
 
+def test_spans_of_a_mixed_text(speech, monkeypatch):
+    monkeypatch.setattr(op04_langid, "STEPS", 15)
+    rows = op04_langid.identify(speech.where("doc_id >= 1000"), op04_langid.learn(speech), ("doc_id", "text")).collect()
+    for r in rows:
+        spans = [(s["lang"], s["first"], s["last"]) for s in r.spans]
+        assert len(spans) == (r.n_switches + 1 if r.lang_pred != "und" else 0)
+        assert all(a[2] + 1 == b[1] and a[0] != b[0] for a, b in zip(spans, spans[1:]))
+        if r.doc_id == 1003:
+            assert spans[0][:2] == ("aa", 0) and spans[-1][::2] == ("bb", 39)
+            assert sum(b - a + 1 for x, a, b in spans if x == "aa") in range(26, 35)
+
+
+def test_long_texts_in_segments_and_parts(speech, monkeypatch):
+    monkeypatch.setattr(op04_langid, "STEPS", 15)
+    model = op04_langid.learn(speech)
+    rng = random.Random(4)
+    texts = [say(rng, "aa", 300) + " " + say(rng, "bb", 200), say(rng, "bb", 7), None, "", say(rng, "cc", 41)]
+    batch = lambda t: pa.RecordBatch.from_pydict({"_text": pa.array(t, pa.string())})
+    whole = pa.Table.from_batches(list(op04_langid._predict(iter([batch(texts)]), model)))
+    monkeypatch.setattr(op04_langid, "SEGMENT", 20)
+    cut = pa.Table.from_batches(list(op04_langid._predict(iter([batch(texts)]), model)))
+    assert cut.column("spans") == whole.column("spans") and cut.column("lang_pred") == whole.column("lang_pred")
+    assert np.allclose(cut.column("score").to_numpy(), whole.column("score").to_numpy(), atol=1e-6)
+    monkeypatch.setattr(op04_langid, "TILE_BYTES", 400)
+    parts = pa.Table.from_batches(list(op04_langid._predict(iter([batch(texts[:1])]), model)))
+    assert parts.column("lang_pred")[0].as_py() == "aa" and abs(parts.column("score")[0].as_py() - whole.column("score")[0].as_py()) < 0.02
+    assert parts.column("spans")[0].as_py()[-1]["last"] == 499
+
+
+def test_every_language_is_learnt():
+    names = [f"l{k:03}" for k in range(80)]
+    texts = [" ".join(f"{a}{k % 9}x" for k, a in enumerate([n] * 12)) for n in names for _ in range(4)]
+    model = op04_langid.fit([t.translate(str.maketrans("0123456789", "abcdefghij")) for t in texts], [n for n in names for _ in range(4)])
+    assert model.languages == names and model.weights.size <= 80 * 4 * op04_langid.slots_for(80) <= 4 * op04_langid.ALL_SLOTS
+
+
 @pytest.fixture(scope="module")
 def rated(spark):
     rng = random.Random(2)
@@ -68,9 +107,8 @@ def test_toxicity(rated):
     assert len({r.score for r in op10_toxicity.score(docs, labels.where("false")).collect()}) == 1
 
 
-def test_toxic_words_outside_the_sample(spark, monkeypatch):
+def test_toxic_words_outside_the_sample(spark):
     """Mining sees every labelled row: a word of few rows, hardly any of them in the fitted sample, makes a document toxic."""
-    monkeypatch.setattr(op10_toxicity, "SAMPLE", 150)
     rng = random.Random(9)
     clean = [say(rng, "aa", 1) for _ in range(40)]
     rows = []
@@ -78,7 +116,7 @@ def test_toxic_words_outside_the_sample(spark, monkeypatch):
         toxic = "grobian" if k % 60 == 7 else "scumbag" if k % 6 == 0 else None
         rows.append((k, " ".join(rng.choice(clean) for _ in range(30)) + (f" {toxic}" if toxic else ""), int(toxic is not None)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    got = {r.doc_id: r.predicted for r in op10_toxicity.score(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    got = {r.doc_id: r.predicted for r in op10_toxicity.score(df.select("doc_id", "text"), df.select("doc_id", "toxic"), sample=150).collect()}
     held = [k for k, _, _ in rows if k % 60 == 7 and zlib.crc32(str(k).encode()) % 5 == 0]
     assert held and all(got[k] == 1 for k in held)
     assert sum(got[k] != toxic for k, _, toxic in rows) <= 12
@@ -102,8 +140,6 @@ def test_quality(rated):
 
 
 def test_correlated_voters_share_their_evidence():
-    import numpy as np
-
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
     a = np.where(rng.random(4000) < 0.8, y, ~y)
@@ -115,3 +151,28 @@ def test_correlated_voters_share_their_evidence():
         w = np.stack((1 - p, p))
         model.update(w.sum(1), w @ votes, np.stack([votes.T @ (votes * x[:, None]) for x in w]))
     assert abs(model.weights[0] - 0.5) < 0.1 and model.weights[2] > 0.75
+
+
+def test_sums_of_the_label_model_match_a_loop():
+    """One task's sums, and the model refitted from them, against loops over rows and voters."""
+    rng = np.random.default_rng(3)
+    votes, gold, n = rng.random((60, 4)) < 0.3, rng.integers(-1, 2, 60), rng.integers(1, 5, 60)
+    model = op10_toxicity.LabelModel(np.array([3.0, 9, 5, 2]), np.array([8.0, 1, 5, 4]), 40, 12)
+    model.none, posterior = np.array([0.9, 0.2]), []
+    for x, g in zip(votes, gold):
+        odds = model.base / (1 - model.base)
+        for k in np.flatnonzero(x):
+            odds *= model.rates[1, k] / model.rates[0, k]
+        odds *= 1 if x.any() else 0.2 / 0.9
+        odds *= {1: 0.9 / 0.02, 0: 0.1 / 0.98, -1: 1}[g]
+        posterior.append(odds / (1 + odds))
+    packed = [np.flatnonzero(x).astype("<u2").tobytes() for x in votes]
+    batch = pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(gold), pa.array(n)], ["votes", "gold", "n"])
+    got = {(r["a"], r["b"]): (r["s0"], r["s1"]) for b in op10_toxicity._expect(iter([batch]), model) for r in b.to_pylist()}
+    for y, p in ((1, np.array(posterior)), (0, 1 - np.array(posterior))):
+        w = p * n
+        assert np.isclose(got[-1, -1][y], w.sum()) and np.isclose(got[-1, 0][y], w[gold >= 0].sum()) and np.isclose(got[-1, 1][y], w[gold == 1].sum())
+        assert np.isclose(got[-1, 2][y], w[~votes.any(1)].sum())
+        for a in range(4):
+            for b in range(a, 4):
+                assert np.isclose(got.get((a, b), (0, 0))[y], w[votes[:, a] & votes[:, b]].sum())
