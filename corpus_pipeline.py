@@ -14,6 +14,10 @@ from emberline.llm import common, op03_suffix, op04_langid, op05_mix, op06_bpe,
 from emberline.storage import materialize
 
 
+#: Text bytes that a task of the last stage holds: less than the operator alone takes, as the stages share executors.
+CHUNK_BYTES = 4 << 20
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found: only ``und`` goes, texts of several languages stay."""
     boxed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "lang")  # no column can clash with the new ones
@@ -57,7 +61,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = op06_bpe.decode(op06_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    out = op06_bpe.decode(op06_bpe.encode(docs, path, public_tokenizers.PATTERN, chunk_bytes=CHUNK_BYTES), path)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
