@@ -103,6 +103,7 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Itera
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+    pa.default_memory_pool().release_unused()  # the worker lives on, beside those of later stages
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -122,6 +123,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> It
             held = held.slice(at[-1])
     if held is not None and held.num_rows:
         yield held, starts(held)
+    pa.default_memory_pool().release_unused()
 
 
 def varint(values: np.ndarray) -> np.ndarray:

@@ -37,7 +37,7 @@ LENGTH, GRAM = 200, 32
 #: Halving steps: nodes of 128, 16 and 1 window starts.
 LEVELS = (7, 4, 0)
 #: Text bytes of a chunk, of one vector step within it, and text bytes for each bucket of names.
-CHUNK_BYTES, TILE_BYTES, BUCKET_BYTES = 3 << 20, 1 << 20, 32 << 20
+CHUNK_BYTES, TILE_BYTES, BUCKET_BYTES = 3 << 20, 1 << 18, 32 << 20
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)

@@ -28,10 +28,11 @@ SAMPLE, SAMPLE_BYTES = 600, 4 << 20
 #: n-gram lengths in bytes, edges included; slots of a weight table for each kind of feature, and of all tables of a kind
 #: (more languages have smaller tables).
 GRAMS, SLOTS, ALL_SLOTS = (2, 3, 4), 1 << 16, 1 << 20
-#: Steps for every ``STEP_LANGUAGES`` languages, documents of a step, learning rate and ridge of the fit.
-STEPS, STEP_LANGUAGES, STEP_DOCS, RATE, RIDGE = 40, 8, 160, 0.2, 1e-4
+#: Steps for every ``STEP_LANGUAGES`` languages, documents of a step and of the parts it is summed from (an even number),
+#: learning rate and ridge of the fit.
+STEPS, STEP_LANGUAGES, STEP_DOCS, STEP_PART, RATE, RIDGE = 40, 8, 160, 16, 0.2, 1e-4
 #: Bytes of text taken at once; words of a segment, and words beyond it that its chain looks at.
-TILE_BYTES, SEGMENT, BEYOND = 1 << 21, 2048, 32
+TILE_BYTES, SEGMENT, BEYOND = 1 << 19, 2048, 32
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -71,7 +72,7 @@ def words_of(texts: list[str | None], table: int = SLOTS) -> Words:
         gram = gram[:-1] | (wide[n - 1 :] << np.uint64(8 * (n - 1)))
         if n in GRAMS:
             k = len(slots)
-            slots.append(((((gram + np.uint64(n)) * _ODD) >> np.uint64(48)).astype(np.int64) & (table - 1)) + k * table)
+            slots.append(((((gram + np.uint64(n)) * _ODD) >> np.uint64(48)).astype(np.int32) & (table - 1)) + k * table)
             ranges.append((starts - 1, np.maximum(starts - 1, ends - n + 2)))
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(wide * _powers(int(_ODD), len(data)), out=prefix[1:])
@@ -160,30 +161,35 @@ def fit(texts: list[str | None], langs: list[str]) -> Model:
     rng = np.random.default_rng(4)
     for _ in range(STEPS * -(-n // STEP_LANGUAGES) if n > 1 else 0):
         pick = rng.permutation(len(texts))[:STEP_DOCS]
-        words = words_of([texts[k] for k in pick.tolist()], table)
-        gold = np.repeat(y[pick], np.diff(words.first))
-        if len(gold) == 0:
+        change_w, change_t, total = np.zeros_like(weights), np.zeros_like(transition), 0
+        for k in range(0, len(pick), STEP_PART):  # a step's gradient is summed over parts, of whole pairs each
+            part = pick[k : k + STEP_PART]
+            words = words_of([texts[j] for j in part.tolist()], table)
+            gold = np.repeat(y[part], np.diff(words.first))
+            if len(gold) == 0:
+                continue
+            joined = np.append(words.first[:-1:2], words.first[-1])
+            p, pair = marginals(emissions(words, weights), joined, transition, True)
+            off = -p
+            off[np.arange(len(gold)), gold] += 1
+            inner = np.ones(len(gold), bool)
+            inner[joined[:-1][np.diff(joined) > 0]] = False
+            at = np.flatnonzero(inner)
+            np.add.at(change_t, (gold[at - 1], gold[at]), 1)
+            change_t -= pair
+            total += len(gold)
+            for j in range(n):
+                change_w[j] += np.bincount(words.whole, off[:, j], weights.shape[1])
+                for slots, (a, b) in zip(words.slots, words.ranges):
+                    change = np.bincount(a, off[:, j], len(slots) + 1) - np.bincount(b, off[:, j], len(slots) + 1)
+                    change_w[j] += np.bincount(slots, np.cumsum(change[:-1]), weights.shape[1])
+        if total == 0:
             continue
-        joined = np.append(words.first[:-1:2], words.first[-1])
-        p, pair = marginals(emissions(words, weights), joined, transition, True)
-        off = -p
-        off[np.arange(len(gold)), gold] += 1
-        inner = np.ones(len(gold), bool)
-        inner[joined[:-1][np.diff(joined) > 0]] = False
-        at = np.flatnonzero(inner)
-        seen = np.zeros((n, n))
-        np.add.at(seen, (gold[at - 1], gold[at]), 1)
-        for j in range(n):
-            g = np.bincount(words.whole, off[:, j], weights.shape[1])
-            for slots, (a, b) in zip(words.slots, words.ranges):
-                change = np.bincount(a, off[:, j], len(slots) + 1) - np.bincount(b, off[:, j], len(slots) + 1)
-                g += np.bincount(slots, np.cumsum(change[:-1]), weights.shape[1])
-            g = g / len(gold) * 100 - RIDGE * weights[j]
-            sum_w[j] += g * g
-            weights[j] += RATE * g / np.sqrt(sum_w[j])
-        g = (seen - pair) / len(gold) * 100 - RIDGE * transition
-        sum_t += g * g
-        transition += RATE * g / np.sqrt(sum_t)
+        for now, g, seen in ((weights, change_w, sum_w), (transition, change_t, sum_t)):
+            for j in range(n):
+                step = g[j] * (100 / total) - RIDGE * now[j]
+                seen[j] += step * step
+                now[j] += RATE * step / np.sqrt(seen[j])
     return Model(languages, weights, transition)
 
 

@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline.llm import common
 from emberline.operators.components import connected_components
-from emberline.storage import materialize
+from emberline.storage import discard, materialize
 
 REGISTERS, ROWS, MANTISSA = 288, 6, 10
 BANDS = REGISTERS // ROWS
 #: Pivots of each bucket before the rest is tested in full; members of a tile in which it is, by registers and by texts.
 PIVOTS, TILE, TEXT_TILE = 2, 2048, 512
 #: Bytes of text handled in one vector step; longer texts are taken in pieces of that size.
-TILE_BYTES = 1 << 20
+TILE_BYTES = 1 << 18
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Hashes of shingle sets that a task remembers while it confirms pairs (8 bytes each).
@@ -96,7 +96,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
 
 def whole_set(data: np.ndarray, width: int) -> np.ndarray:
     """``shingle_sets`` of one text of any length, in pieces that share ``width`` - 1 words."""
-    if len(data) <= 2 * TILE_BYTES:
+    if len(data) <= 4 * TILE_BYTES:
         return shingle_sets(data, np.array([0, len(data)]), width)[0]
     gap = np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))
     begins = np.append(0, gap + 1)  # of a word, or of nothing between two separators
@@ -146,9 +146,6 @@ def estimates_of(same: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (same.mean(1) - chance) / (1 - chance))
 
 
-_SKETCH = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("registers", pa.binary())])
-
-
 def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for rows in common.chunked(batches, "text", TILE_BYTES):
         sets = text_sets(*common.utf8(rows.column("text")), width)
@@ -160,7 +157,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
                 *_set_names(sets),
                 pa.array([next(found).tobytes() if len(x) else None for x in sets], pa.binary()),
             ],
-            schema=_SKETCH,
+            ["doc", "n", "set_a", "set_b", "registers"],
         )
 
 
@@ -314,7 +311,7 @@ def _dealt(placed: DataFrame, tile: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, n_shingles, component_id, kept)``, a row for each input row with an id.
+    """``(id_col, n_shingles, component_id, kept)``, a row for each input row with an id. Ids are of any orderable type.
 
     Links join documents whose shingle sets have 100 * intersection >= percent * union; ``component_id`` is the smallest
     id reachable. Null, empty or word-free texts have no shingles and no links. Rows that repeat an id are documents of
@@ -323,8 +320,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    sketch = materialize(docs.mapInArrow(lambda it: _sketches(it, width), "doc long, n long, set_a long, set_b long, registers binary"), "sketch")
+    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
+    kind = docs.schema["doc"].dataType.simpleString()
+    sketch = materialize(docs.mapInArrow(lambda it: _sketches(it, width), f"doc {kind}, n long, set_a long, set_b long, registers binary"), "sketch")
     one = ["set_a", "set_b", "n"]
     classes = sketch.where("n > 0").groupBy(*one).agg(F.min_by(F.struct("doc", "registers"), "doc").alias("r"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), *one, "r.*"), "classes")
@@ -334,7 +332,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     ids = materialize(classes.join(shared.select("rep").distinct(), "rep", "left_semi"), "marks")
     names = ids.select("doc").distinct()
     picked = docs.join(F.broadcast(names) if ids.count() <= BROADCAST_IDS else names, "doc", "left_semi")
-    packed = picked.mapInArrow(lambda it: _packed(it, width), "doc long, n long, set_a long, set_b long, text binary")
+    packed = picked.mapInArrow(lambda it: _packed(it, width), f"doc {kind}, n long, set_a long, set_b long, text binary")
     texts = materialize(packed.join(ids.select("rep", "doc", *one), ["doc", *one]).groupBy("rep").agg(F.min("text").alias("text")), "texts")
     marks = ids.select("rep", "n", "registers")
 
@@ -343,7 +341,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
         likely = pairs.join(side(marks, "u", ("n", "nu"), ("registers", "ru")), "u").join(side(marks, "v", ("n", "nv"), ("registers", "rv")), "v")
         likely = materialize(likely.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(lambda it: _likely(it, percent), "u long, v long").distinct(), "likely")
         sets = likely.join(side(texts, "u", ("text", "tu")), "u").join(side(texts, "v", ("text", "tv")), "v")
-        return materialize(sets.select("u", "v", "tu", "tv").mapInArrow(lambda it: _confirm(it, width, percent), "u long, v long").distinct(), "links")
+        links = materialize(sets.select("u", "v", "tu", "tv").mapInArrow(lambda it: _confirm(it, width, percent), "u long, v long").distinct(), "links")
+        discard(pairs, likely)
+        return links
 
     drawn = [F.min("rep"), F.min_by("rep", F.xxhash64("rep", F.lit(1)))][:PIVOTS]
     pivots = shared.groupBy("band").agg(F.array_distinct(F.array(*drawn)).alias("p")).select("band", F.explode("p").alias("v"))
@@ -359,8 +359,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
 
     live = in_tiles(_dealt(placed, TILE).join(marks, "rep")).mapInArrow(lambda it: _live(it, percent), "band long, rep long")
     live = materialize(live.distinct().join(placed, ["band", "rep"]).select("band", "rep", "own"), "live")
+    discard(placed, shared)
     tiles = in_tiles(_dealt(live, TEXT_TILE).join(marks, "rep").join(texts, "rep"))
     more = materialize(tiles.mapInArrow(lambda it: _across(it, width, percent), "u long, v long"), "links")
+    discard(live, texts, ids, label)
     label = materialize(connected_components(links.union(more)), "label")
 
     named = label.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "doc"), "rep")
