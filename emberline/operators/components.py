@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from emberline.storage import materialize
+from emberline.storage import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -43,7 +43,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(mark) == before or mark[0] == 0:
             break
         before = tuple(mark)
-        now = materialize(_small_star(_large_star(now)), "cc")
+        last, now = now, materialize(_small_star(_large_star(now)), "cc")
+        discard(last)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
