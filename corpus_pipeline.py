@@ -7,17 +7,41 @@ passages are cut out, the sources are mixed to their targets, and the mix is enc
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline.llm import common, op03_suffix, op04_langid, op05_mix, op06_bpe, op07_minhash
-from emberline.storage import materialize
+from emberline.storage import collected, discard, materialize, remove
 
 
 #: Text bytes that a task of the last stage holds: less than the operator alone takes, as the stages share executors.
 CHUNK_BYTES = 4 << 20
 
 
+#: Tables that the stage before has made on its way.
+_LAST: list[str] = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes the intermediate tables of the stage before: its result has been written since, unless
+    ``docs`` still reads them."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _LAST else []
+        if not any(name in x for x in read for name in {p.rsplit("/", 1)[-1] for p in _LAST}):
+            remove(spark, _LAST)
+            _LAST.clear()
+        with collected() as made:
+            out = f(spark, docs, sf_dir)
+        _LAST.extend(made)
+        return out
+
+    return run
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found: only ``und`` goes, texts of several languages stay."""
     boxed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "lang")  # no column can clash with the new ones
@@ -25,23 +49,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != op04_langid.UNKNOWN).select("_row.*")
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id, and of equal ids the one whose text
-    begins smallest. Each row is a document of its own by a number in that order, so rows that share an id, or have none,
-    go only if their texts are equal or linked. Texts without words have no links; of those only equal rows of an id go."""
+    has the smallest hash. A document is known by id and text, so unlike texts that share an id, or have none, go only if
+    they are linked; rows equal in both are one document. Texts without words have no links."""
     text = F.coalesce("text", F.lit(""))
-    # beginnings, so that the bounds of the ranges stay small; the last key deals equal rows to several tasks
-    order = [F.col("doc_id").asc_nulls_last(), F.substring(text, 1, 200), F.xxhash64(text), F.col("_deal")]
-    dealt = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.rand(7).alias("_deal"))
-    sorted_rows = dealt.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order)
-    numbered = materialize(sorted_rows.select(F.monotonically_increasing_id().alias("_n"), "_row"), "numbered")
-    found = op07_minhash.near_duplicates(numbered.select("_n", F.col("_row.text").alias("text")), id_col="_n")
-    kept = numbered.join(found.where("kept").select("_n", "n_shingles"), "_n")
-    alone = (F.col("n_shingles") > 0) | F.col("_row.doc_id").isNull()
-    wordless = kept.where(~alone).groupBy(F.col("_row.doc_id").alias("_d"), F.col("_row.text").alias("_t")).agg(F.min_by("_row", "_n").alias("_row"))
-    return kept.where(alone).select("_row.*").unionByName(wordless.select("_row.*"))
+    number = F.coalesce(F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 21, "0"), F.lit("~"))
+    key = F.concat_ws("-", number, F.md5(text.cast("binary")), F.when(F.col("text").isNull(), "null"))
+    rest = [F.col(c) for c in docs.columns if c != "text"]
+    keyed = docs.select(key.alias("_key"), F.struct(*docs.columns).alias("_row"), F.to_json(F.struct(*rest)).alias("_rest"), F.col("text").alias("_text"))
+    found = op07_minhash.near_duplicates(keyed, id_col="_key", text_col="_text")
+    kept = found.where("kept").select("_key").distinct()
+    one = keyed.groupBy("_key").agg(F.min_by("_row", "_rest").alias("_row"))  # equal rows meet before they are shuffled
+    return one.join(kept, "_key", "left_semi").select("_row.*")
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the passages that occur twice; what a cut leaves of a character goes with it."""
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
@@ -51,11 +75,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources' words at their targets: documents are repeated, cut or left out as their shard's quota says."""
     return op05_mix.mixed(docs)
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and the digest of what they decode to."""
     import public_tokenizers
@@ -81,7 +107,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn on the table ``documents``, each written and read again before the next."""
     docs = common.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, name)
+            if k:
+                discard(before)
     return docs
