@@ -29,8 +29,8 @@ SAMPLE, SAMPLE_BYTES = 600, 4 << 20
 #: (more languages have smaller tables).
 GRAMS, SLOTS, ALL_SLOTS = (2, 3, 4), 1 << 16, 1 << 20
 #: Steps for every ``STEP_LANGUAGES`` languages, documents of a step and of the parts it is summed from (an even number),
-#: learning rate and ridge of the fit.
-STEPS, STEP_LANGUAGES, STEP_DOCS, STEP_PART, RATE, RIDGE = 40, 8, 160, 16, 0.2, 1e-4
+#: words of a training sequence (longer ones are cut), learning rate and ridge of the fit.
+STEPS, STEP_LANGUAGES, STEP_DOCS, STEP_PART, FIT_WORDS, RATE, RIDGE = 40, 8, 160, 16, 500, 0.2, 1e-4
 #: Bytes of text taken at once; words of a segment, and words beyond it that its chain looks at.
 TILE_BYTES, SEGMENT, BEYOND = 1 << 19, 2048, 32
 UNKNOWN = "und"
@@ -169,6 +169,8 @@ def fit(texts: list[str | None], langs: list[str]) -> Model:
             if len(gold) == 0:
                 continue
             joined = np.append(words.first[:-1:2], words.first[-1])
+            pieces = -(-np.diff(joined) // FIT_WORDS)
+            joined = np.append(np.repeat(joined[:-1], pieces) + common.spread(np.zeros(len(pieces), np.int64), pieces) * FIT_WORDS, joined[-1])
             p, pair = marginals(emissions(words, weights), joined, transition, True)
             off = -p
             off[np.arange(len(gold)), gold] += 1
