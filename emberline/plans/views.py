@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from emberline.config import SEVERITY_LABELS, TACTICS, mapped
 from emberline.functions.values import iso_ms
 from emberline.operators.chains import alert_rank, tactic_names, tactic_rank
-from emberline.operators.evidence import ENCODED, tag_label
+from emberline.operators.evidence import ENCODED, first_by_suffix, flatten_view, tag_label
 
 UNTAGGED = "Untagged"
 
@@ -56,46 +56,69 @@ def entity_pane(placed: DataFrame, bridge: DataFrame) -> DataFrame:
     return bridge.join(placed.select("uid", "chain"), "uid").groupBy("entity_uid").agg(F.countDistinct("uid").alias("alerts"), F.countDistinct("chain").alias("chains"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"))
 
 
-ARTIFACTS = ("src_ip", "dst_ip", "device_ip", "mac", "process_name", "process_guid", "email", "username", "hostname")
+# The kinds of artifacts, and the ends of the record's paths that hold them, best first.
+COMMAND_PATHS = ("process.command_line", "command_line", "cmd_line")
+ARTIFACTS = {
+    "process": ("process.name", "process.executable", "process.parent.name"),
+    "parent_process": ("process.parent.name", "parent.process.name"),
+    "powershell": ("powershell",),
+    "encoded_command": ("encodedcommand", "encoded_command"),
+    "downloaded_file": ("file.name", "file.path", "url.full"),
+    "registry": ("registry.path", "registry.key", "registry.value"),
+    "scheduled_task": ("task.name", "scheduled_task"),
+    "service": ("service.name", "winlog.event_data.servicename"),
+    "network": ("destination.ip", "destination.domain", "source.ip"),
+}
+
+
+def record(alerts: DataFrame) -> Column:
+    """The JSON record that an alert was read from; of alerts without one its own columns."""
+    if "unmapped" in alerts.columns:
+        return F.col("unmapped.raw")
+    return F.col("raw") if "raw" in alerts.columns else F.to_json(F.struct("*"))
 
 
 def event_graph(placed: DataFrame, alerts: DataFrame, bridge: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes ``(chain, id, kind, label)`` and links ``(chain, src, dst, relation)`` of the graph around the alerts: the next
-    alert (then), entities (observed), techniques (uses), command lines (executes; ``encoded`` ones are told apart) and
-    artifacts (contains)."""
-    rows = placed.select("chain", "uid").join(alerts, "uid")
-    event = F.concat(F.lit("event:"), "uid")
-    end = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
-    node = lambda df, kind, i, label: df.select("chain", i.alias("id"), F.lit(kind).alias("kind"), label.alias("label"))
-    technique = rows.select("chain", "uid", F.explode("attacks").alias("a")).where("a.technique.uid is not null")
-    command = rows.where("cmd_line <> ''").withColumn("k", F.when(F.col("cmd_line").rlike(ENCODED), "encoded_command").otherwise("command"))
-    items = rows.select("chain", "uid", F.explode(F.array(*(F.struct(F.lit(a).alias("kind"), F.col(a).alias("value")) for a in ARTIFACTS))).alias("i")).where("i.value <> ''").select("chain", "uid", "i.*")
-    seen = placed.select("chain", "uid").join(bridge, "uid").join(entities.select("entity_uid", "name"), "entity_uid", "left")
-    nodes = [
-        node(rows, "event", event, F.col("title")), node(seen, "entity", end("entity", F.col("entity_uid")), F.coalesce("name", "entity_uid")), node(technique, "technique", end("technique", F.col("a.technique.uid")), tag_label(F.col("a"))),
-        command.select("chain", F.concat_ws(":", "k", F.sha2("cmd_line", 256)).alias("id"), F.col("k").alias("kind"), F.substring("cmd_line", 1, 300).alias("label")), items.select("chain", F.concat_ws(":", "kind", "value").alias("id"), "kind", F.col("value").alias("label")),
-    ]
-    link = lambda df, dst, relation: df.select("chain", event.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"))
-    then = then_links(placed).select("chain", end("event", F.col("src")).alias("src"), end("event", F.col("dst")).alias("dst"), F.lit("then").alias("relation"))
-    links = [
-        then, link(seen, end("entity", F.col("entity_uid")), "observed"), link(technique, end("technique", F.col("a.technique.uid")), "uses"),
-        link(command, F.concat_ws(":", "k", F.sha2("cmd_line", 256)), "executes"), link(items, F.concat_ws(":", "kind", "value"), "contains"),
-    ]
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    return union(nodes).groupBy("chain", "id").agg(F.min("kind").alias("kind"), F.min("label").alias("label")), union(links).distinct()
+    """Nodes ``(chain, id, kind, label)`` and links ``(chain, src, dst, relation, uid)`` of the graph around the alerts: each
+    alert leads to the next (then), to its techniques (uses), its command line (executes) and the artifacts in its record
+    (contains), and its entities lead to it (observed). An id is kind and value; of several labels the first alert's counts."""
+    flat = alerts.select("uid", "title", "attacks", flatten_view(record(alerts)).alias("pairs"))
+    found = F.array(*(F.struct(F.lit(k).alias("kind"), first_by_suffix(F.col("pairs"), list(v)).alias("value")) for k, v in ARTIFACTS.items()))
+    kind = lambda i: F.when((i["kind"] == "process") & F.contains(F.lower(i["value"]), F.lit("powershell")), F.lit("powershell")).otherwise(i["kind"])
+    flat = flat.withColumn("items", F.transform(F.filter(found, lambda i: i["value"] != ""), lambda i: F.struct(kind(i).alias("kind"), i["value"].alias("value"))))
+    rows = placed.select("chain", "uid", "time").join(flat.withColumn("cmd", first_by_suffix(F.col("pairs"), list(COMMAND_PATHS))).drop("pairs"), "uid")
+    seen = placed.select("chain", "uid", "time").join(bridge.select("uid", "entity_uid"), "uid").join(entities.select("entity_uid", "name", "domain"), "entity_uid", "left")
+    seen = seen.select("chain", "uid", "time", F.coalesce("domain", F.lit("entity")).alias("kind"), F.coalesce("name", "entity_uid").alias("value"))
+    seen = seen.distinct().withColumns({"label": F.col("value"), "relation": F.lit("observed")})
+    technique = rows.select("chain", "uid", "time", F.explode("attacks").alias("a")).where("trim(a.technique.uid) <> ''")
+    command = F.when(F.col("cmd").rlike(ENCODED), "encoded_command").otherwise("command")
+    around = (
+        technique.select("chain", "uid", "time", F.lit("technique").alias("kind"), F.trim("a.technique.uid").alias("value"), F.coalesce(F.nullif("a.technique.name", F.lit("")), F.trim("a.technique.uid")).alias("label"), F.lit("uses").alias("relation"))
+        .unionByName(rows.where("cmd <> ''").select("chain", "uid", "time", command.alias("kind"), F.col("cmd").alias("value"), F.col("cmd").alias("label"), F.lit("executes").alias("relation")))
+        .unionByName(rows.select("chain", "uid", "time", F.explode("items").alias("i")).select("chain", "uid", "time", "i.kind", "i.value", F.col("i.value").alias("label"), F.lit("contains").alias("relation")))
+    )
+    events = rows.select("chain", "uid", "time", F.lit("event").alias("kind"), F.col("uid").alias("value"), F.coalesce(F.nullif("title", F.lit("")), "uid").alias("label"), F.lit("").alias("relation"))
+    node, event = F.concat_ws(":", "kind", "value"), F.concat(F.lit("event:"), "uid")
+    nodes = seen.unionByName(around).unionByName(events).groupBy("chain", node.alias("id"), "kind").agg(F.min_by("label", F.struct("time", "uid")).alias("label"))
+    links = (
+        then_links(placed).select("chain", F.concat(F.lit("event:"), "src").alias("src"), F.concat(F.lit("event:"), "dst").alias("dst"), F.lit("then").alias("relation"), F.col("dst").alias("uid"))
+        .unionByName(seen.select("chain", node.alias("src"), event.alias("dst"), "relation", "uid"))
+        .unionByName(around.select("chain", event.alias("src"), node.alias("dst"), "relation", "uid"))
+    )
+    return nodes, links
 
 
 def incident_titles(placed: DataFrame, alerts: DataFrame) -> DataFrame:
-    """``(chain, incident_title)``: the title of the highest severity, then the latest; a chain of encoded PowerShell with
-    credential access or persistence is named for that."""
-    names = F.transform(tactic_names(F.col("attacks")), F.lower)
-    shell = F.lower(F.concat_ws(" ", "title", "process_name", "cmd_line")).contains("powershell")
+    """``(chain, incident_title)``: the title of the highest severity, then the latest, then the smallest id; a chain with
+    the technique PowerShell and credential access or persistence is named for that."""
+    tactics = F.transform(tactic_names(F.col("attacks")), F.lower)
+    shell = F.exists("attacks", lambda a: F.lower(a["technique"]["name"]) == "powershell")
     rows = placed.select("chain", "uid").join(alerts, "uid").groupBy("chain").agg(
-        F.max_by("title", F.struct("severity_id", "time", "uid")).alias("t"), F.max(shell).alias("shell"),
-        F.max(F.array_contains(names, "credential access")).alias("credential"), F.max(F.array_contains(names, "persistence")).alias("persistence"),
+        F.min_by(F.coalesce("title", F.lit("")), F.struct(-F.col("severity_id"), -F.col("time"), "uid")).alias("t"), F.max(shell).alias("shell"),
+        F.max(F.array_contains(tactics, "credential access")).alias("credential"), F.max(F.array_contains(tactics, "persistence")).alias("persistence"),
     )
-    title = F.when(F.col("shell") & F.col("credential"), "PowerShell credential access").when(F.col("shell") & F.col("persistence"), "PowerShell persistence").otherwise(F.col("t"))
-    return rows.select("chain", title.alias("incident_title"))
+    title = F.when(F.col("shell") & F.col("credential"), "PowerShell Credential Theft").when(F.col("shell") & F.col("persistence"), "PowerShell Persistence")
+    return rows.select("chain", title.otherwise(F.coalesce(F.nullif("t", F.lit("")), F.lit("Security Investigation"))).alias("incident_title"))
 
 
 def summaries(chains: DataFrame, placed: DataFrame, alerts: DataFrame, bridge: DataFrame, entities: DataFrame, risk: DataFrame) -> DataFrame:
@@ -150,7 +173,7 @@ def counters(decisions: DataFrame, chains: DataFrame, entities: DataFrame) -> Da
 
 def result_documents(summary: DataFrame, settings_url: str, written_at_ms: int) -> DataFrame:
     """``(cluster_id, document)``: what is written back for a chain, keyed by its id; null fields are left out."""
-    link = F.concat(F.lit(settings_url.rstrip("/") + "/chains/"), "cluster_id") if settings_url else F.lit(None).cast("string")
+    link = F.concat(F.lit(settings_url.rstrip("/") + "/incident/"), "cluster_id") if settings_url else F.lit(None).cast("string")
     chain = F.struct("alert_count", "alerts", "entities", F.col("primary_name").alias("primary_entity"), iso_ms(F.col("first_time")).alias("first_time"), iso_ms(F.col("last_time")).alias("last_time"), "tactic_sequence", "disposition", F.col("risk").alias("risk_score"), "surfaced")
     has = "verdict" in summary.columns
     status = F.when(F.col("verdict").isNotNull(), "triaged").when(F.col("triage_error").isNotNull(), "ai_unavailable").otherwise("pending") if has else F.lit("pending")

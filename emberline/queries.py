@@ -15,15 +15,17 @@ from emberline.config import Prefilter, Settings
 from emberline.operators import entities as E, evidence, prefilter, search
 from emberline.operators.components import connected_components
 from emberline.operators.temporal import as_of, expired, first_arrival, intervals, sessions
+from emberline.functions.mapping import FILE, normalize
 from emberline.plans import views
 from emberline.plans.run import Run, correlate
+from emberline.sources import files
 from emberline.streaming.tables import latest_by_key
 
 SETTINGS = Settings(prefilter=Prefilter(severity_floor="none"))
 RULES = Prefilter("medium", ("10.0.0.0/28", "10.0.0.77"), ("USER3", "user5"), ("host12-1",))
 W_MS = SETTINGS.window_ms
 SEVERITIES = {"error": 5, "purchase": 4, "signup": 3, "view": 2, "click": 1}
-TACTIC_OF = {"signup": ("TA0001", "Initial Access"), "click": ("TA0002", "Execution"), "view": ("TA0007", "Discovery"), "purchase": ("TA0009", "Collection"), "error": ("TA0040", "Impact")}
+TACTIC_OF = {"signup": ("TA0003", "Persistence"), "click": ("TA0002", "Execution"), "view": ("TA0007", "Discovery"), "purchase": ("TA0009", "Collection"), "error": ("TA0040", "Impact")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +42,21 @@ def alert_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda j: F.coalesce(*(F.when(F.col("event_type") == t, F.lit(v[j])) for t, v in TACTIC_OF.items()))
     none = F.lit(None).cast("string")
     tactic = F.struct(pick(1).alias("name"), pick(0).alias("uid"))
+    only = lambda x: F.when(F.col("event_type") == "click", x)
+    technique = F.struct(only(F.lit("PowerShell")).alias("name"), only(F.lit("T1059.001")).alias("uid"))
+    view = F.col("event_type") == "view"
+    process = F.struct(
+        only(F.lit("PowerShell.exe")).when(view, "viewer.exe").alias("executable"),
+        only(F.concat(F.lit("powershell -EncodedCommand $"), k)).when(view, F.concat(F.lit("viewer --page "), k)).alias("command_line"),
+    )
+    raw = F.to_json(F.struct(process.alias("process"), F.struct(F.when(~even | bare, ip).alias("ip")).alias("source")))
     return e.select(
         F.concat(F.lit("evt-"), "event_id").alias("uid"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time"),
         F.coalesce(*(F.when(F.col("event_type") == t, F.lit(v)) for t, v in SEVERITIES.items())).alias("severity_id"),
         F.concat(F.lit("Alert "), "event_type").alias("title"), host.alias("hostname"), F.concat(F.lit("user"), "user_id").alias("username"),
         F.when(even & ~bare, ip).alias("device_ip"), F.when(~even | bare, ip).alias("src_ip"),
         *(none.alias(c) for c in ("desc", "message", "mac", "agent_uid", "email", "process_guid", "process_name", "cmd_line", "dst_ip")),
-        F.array(F.struct(tactic.alias("tactic"), F.struct(none.alias("name"), none.alias("uid")).alias("technique"))).alias("attacks"),
+        F.array(F.struct(tactic.alias("tactic"), technique.alias("technique"))).alias("attacks"), raw.alias("raw"),
     )
 
 
@@ -62,7 +72,7 @@ def run_of(spark: SparkSession, sf_dir: str) -> Run:
 
 
 _SEV = "CASE event_type " + " ".join(f"WHEN '{t}' THEN {v}" for t, v in SEVERITIES.items()) + " END"
-_RANK = "CASE event_type WHEN 'signup' THEN 2 WHEN 'click' THEN 3 WHEN 'view' THEN 8 WHEN 'purchase' THEN 10 WHEN 'error' THEN 13 END"
+_RANK = "CASE event_type WHEN 'signup' THEN 4 WHEN 'click' THEN 3 WHEN 'view' THEN 8 WHEN 'purchase' THEN 10 WHEN 'error' THEN 13 END"
 _TNAME = "CASE event_type " + " ".join(f"WHEN '{t}' THEN '{v[1]}'" for t, v in TACTIC_OF.items()) + " END"
 A = f"""a AS (SELECT 'evt-' || event_id AS uid, event_id, epoch_us(ts) // 1000 AS time, {_SEV} AS severity_id, 'Alert ' || event_type AS title,
   CASE WHEN event_id % 7 <> 0 THEN 'host' || (props->>'$.k') || '-' || (user_id % 10) END AS hostname, 'user' || user_id AS username,
@@ -109,11 +119,34 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("alerts_normalized", f"WITH {A} SELECT uid, time, strftime(make_timestamp(time * 1000), '%Y-%m-%dT%H:%M:%S.') || printf('%03d', time % 1000) || 'Z' AS time_dt, severity_id, hostname, username, device_ip, src_ip FROM a")
-def _(spark, d):
-    from emberline.functions.values import iso_ms
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """JSON records over ``events`` in several spellings: three fields and units of time, nested and flat hosts, severities by
+    name, and a process id that is no number on every eleventh."""
+    e, i = table(spark, d, "events"), F.col("event_id")
+    ms, of = F.unix_millis(F.col("ts").cast("timestamp")), lambda n, c: F.when(i % 3 == n, c)
+    name = F.concat(F.lit("host"), (F.col("user_id") % 50).cast("string"))
+    names = {"error": "critical", "purchase": "HIGH", "signup": "Med", "view": "low", "click": "info"}
+    level = F.coalesce(*(F.when(F.col("event_type") == t, F.lit(v)) for t, v in names.items()))
+    pick = lambda j: F.coalesce(*(F.when(F.col("event_type") == t, F.lit(v[j])) for t, v in TACTIC_OF.items()))
+    one = F.struct(
+        F.concat(F.lit("evt-"), i).alias("id"), of(0, F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("@timestamp"), of(1, ms).alias("timestamp"), of(2, F.floor(ms / 1000)).alias("time"),
+        level.alias("severity"), F.struct(F.concat(F.lit("Alert "), "event_type").alias("name")).alias("rule"), F.when(i % 2 == 0, F.struct(name.alias("name"), F.array(F.concat(F.lit("10.1.0."), i % 9), F.lit("fe80::1")).alias("ip"))).alias("host"), F.when(i % 2 == 1, name).alias("hostname"),
+        F.struct(F.concat(F.lit("user"), "user_id").alias("name")).alias("user"), F.struct(F.when(i % 11 == 0, F.lit("none")).otherwise((i % 500).cast("string")).alias("pid")).alias("process"),
+        F.struct(F.struct(pick(1).alias("name"), F.array(pick(0)).alias("id")).alias("tactic"), F.struct(F.array(F.lit("T1"), F.lit("T2")).alias("id")).alias("technique")).alias("threat"),
+    )
+    return files._raw(e.select(F.to_json(one).alias("raw")), F.parse_json("raw"), "file", 0)
 
-    return alert_view(spark, d).select("uid", "time", iso_ms(F.col("time")).alias("time_dt"), "severity_id", "hostname", "username", "device_ip", "src_ip")
+
+@query("alerts_normalized", f"""WITH r AS (SELECT *, CASE WHEN event_id % 3 = 2 THEN epoch_us(ts) // 1000000 * 1000 ELSE epoch_us(ts) // 1000 END AS t FROM events)
+SELECT 'evt-' || event_id AS uid, t AS time, strftime(make_timestamp(t * 1000), '%Y-%m-%dT%H:%M:%S.') || printf('%03d', t % 1000) || 'Z' AS time_dt, {_SEV} AS severity_id, 'Alert ' || event_type AS title, 'host' || (user_id % 50) AS hostname,
+  CASE WHEN event_id % 2 = 0 THEN '10.1.0.' || (event_id % 9) END AS device_ip, 'user' || user_id AS username, CASE WHEN event_id % 11 <> 0 THEN event_id % 500 END AS pid, event_id % 11 = 0 AS flagged,
+  CASE WHEN event_id % 11 = 0 THEN '"none"' END AS kept_pid, {_TNAME} || '/T1,' || {_TNAME} || '/T2' AS attacks, 'file' AS vendor_name FROM r""")
+def _(spark, d):
+    shown = F.array_join(F.transform("attacks", lambda a: F.concat_ws("/", a["tactic"]["name"], a["technique"]["uid"])), ",")
+    return normalize(records(spark, d), FILE).select(
+        "uid", "time", "time_dt", "severity_id", "title", "hostname", "device_ip", "username", "pid", F.array_contains("labels", "parse_error").alias("flagged"),
+        F.try_element_at("unmapped.fields", F.lit("actor.process.pid")).alias("kept_pid"), shown.alias("attacks"), "vendor_name",
+    )
 
 
 _TR = lambda c: f"({c} IS NOT NULL AND (CAST(split_part({c}, '.', 4) AS INT) <= 15 OR {c} = '10.0.0.77'))"
@@ -213,7 +246,7 @@ def _(spark, d):
     return run_of(spark, d).chains.where("surfaced").select("chain", "risk")
 
 
-@query("incident_title", f"{ALL} SELECT chain, arg_max(title, row(severity_id, p.time, uid)) AS incident_title FROM placed p JOIN a USING (uid) GROUP BY chain")
+@query("incident_title", f"{ALL} SELECT chain, CASE WHEN bool_or(rank = 3) AND bool_or(rank = 4) THEN 'PowerShell Persistence' ELSE arg_min(title, row(-severity_id, -p.time, uid)) END AS incident_title FROM placed p JOIN a USING (uid) GROUP BY chain")
 def _(spark, d):
     r = run_of(spark, d)
     return views.incident_titles(r.placed, r.alerts)
@@ -268,12 +301,29 @@ def _(spark, d):
     return views.result_documents(run_of(spark, d).summaries(), "https://soc.example", 0)
 
 
-@query("event_graph_nodes")
+_AROUND = """k AS (SELECT uid, props->>'$.k' AS k, event_type, src_ip AS ip FROM a JOIN events USING (event_id)),
+i AS (SELECT uid, 1 AS pos, 'technique' AS kind, 'T1059.001' AS value, 'PowerShell' AS label, 'uses' AS relation FROM k WHERE event_type = 'click'
+  UNION ALL SELECT uid, 2, CASE event_type WHEN 'click' THEN 'encoded_command' ELSE 'command' END, v, v, 'executes' FROM (SELECT *, CASE event_type WHEN 'click' THEN 'powershell -EncodedCommand $' || k WHEN 'view' THEN 'viewer --page ' || k END AS v FROM k) WHERE v IS NOT NULL
+  UNION ALL SELECT uid, 3, CASE event_type WHEN 'click' THEN 'powershell' ELSE 'process' END, v, v, 'contains' FROM (SELECT *, CASE event_type WHEN 'click' THEN 'PowerShell.exe' WHEN 'view' THEN 'viewer.exe' END AS v FROM k) WHERE v IS NOT NULL
+  UNION ALL SELECT uid, 4, 'network', ip, ip, 'contains' FROM k WHERE ip IS NOT NULL
+  UNION ALL SELECT DISTINCT uid, 0, split_part(entity_uid, '|', 1), split_part(entity_uid, '|', 3), split_part(entity_uid, '|', 3), 'observed' FROM bridge
+  UNION ALL SELECT uid, 5, 'event', uid, title, '' FROM a)"""
+
+
+@query("event_graph_nodes", f"{ALL}, {_AROUND} SELECT DISTINCT chain, kind || ':' || value AS id, kind, label FROM i JOIN placed USING (uid)")
 def _(spark, d):
     r = run_of(spark, d)
     return views.event_graph(r.placed, r.alerts, r.bridge, r.entities)[0]
 
 
+@query("event_graph_links", f"""{ALL}, {_AROUND}, t AS (SELECT chain, lag(uid) OVER (PARTITION BY chain ORDER BY time, uid) AS p, uid FROM placed)
+SELECT chain, 'event:' || p AS src, 'event:' || uid AS dst, 'then' AS relation, uid FROM t WHERE p IS NOT NULL
+UNION ALL SELECT chain, CASE pos WHEN 0 THEN kind || ':' || value ELSE 'event:' || uid END, CASE pos WHEN 0 THEN 'event:' || uid ELSE kind || ':' || value END, relation, uid FROM i JOIN placed USING (uid) WHERE pos < 5""")
+def _(spark, d):
+    r = run_of(spark, d)
+    return views.event_graph(r.placed, r.alerts, r.bridge, r.entities)[1]
+
+
 @query("run_counters", f"{ALL} SELECT (SELECT count(*) FROM a) AS normalized, 0::BIGINT AS parse_flagged, 0::BIGINT AS suppressed, (SELECT count(*) FROM a) AS correlated, count(*) AS chains, count(*) FILTER (WHERE surfaced) AS surfaced, (SELECT count(*) FROM seen) AS entities FROM chains")
 def _(spark, d):
     return run_of(spark, d).counters()

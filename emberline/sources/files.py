@@ -62,8 +62,8 @@ def hits(pages: DataFrame, received_ms: int | None = None) -> DataFrame:
 
 # The name patterns that are tried on a catalogue, best first.
 PATTERNS = (
-    ".alerts-security.alerts-*", ".internal.alerts-security.alerts-*", ".siem-signals-*", "logs-*", "filebeat-*",
-    "winlogbeat-*", "auditbeat-*", "*alert*",
+    ".alerts-security*", ".internal.alerts-*", ".siem-signals-*", "wazuh-alerts-*", "logs-*", "filebeat-*", "winlogbeat-*",
+    "auditbeat-*",
 )
 
 

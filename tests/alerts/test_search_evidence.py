@@ -14,10 +14,10 @@ BUNDLE = {
     "type": "bundle",
     "objects": [
         {"type": "x-mitre-collection", "x_mitre_version": "17.0"},
-        technique("T1110", "Brute Force", description="repeated failed logins to guess a password"),
+        technique("T1110", "Brute Force", description="many wrong passwords tried at one door"),
         technique("T1003", "OS Credential Dumping", description="dump credentials from memory"),
         technique("T1021", "Remote Services", phase="lateral-movement", description="log into remote services"),
-        technique("T1059.001", "PowerShell", phase="execution", description="powershell encoded command execution", x_mitre_is_subtechnique=True),
+        technique("T1059.001", "PowerShell", phase="execution", description="scripts handed to the windows shell", x_mitre_is_subtechnique=True),
         technique("T9999", "Revoked", revoked=True),
         technique("T9998", "Old", x_mitre_deprecated=True),
         technique("X1", "Bad id"),
@@ -31,7 +31,7 @@ def test_bundle_and_ranking(spark):
     rows = {r.uid: r for r in kb.collect()}
     assert sorted(rows) == ["T1003", "T1021", "T1059.001", "T1110"]
     assert rows["T1021"].tactics == ["lateral movement"] and rows["T1110"].version == "17.0"
-    queries = spark.createDataFrame([(1, "repeated failed logins brute force password"), (2, "powershell encoded command execution"), (3, "")], "query int, text string")
+    queries = spark.createDataFrame([(1, "who tried so many wrong passwords"), (2, "a script for the shell of windows"), (3, "")], "query int, text string")
     best = {r.query: r.uid for r in search.bm25(queries, search.technique_documents(kb), 1).collect()}
     assert best == {1: "T1110", 2: "T1059.001"}
     assert search.bm25(queries, search.technique_documents(kb), 0).count() == 0
@@ -73,21 +73,27 @@ def test_payload_is_bounded_and_escaped(spark):
 
 
 def test_redaction_round_trip(spark):
-    text = "from 203.0.113.9 via 192.168.1.50 and 192.168.1.50 to 10.0.0.7, 999.1.1.1 by jdoe@corp.example on web-01 as jdoe"
-    df = spark.createDataFrame([(text, {"jdoe": "USER", "web-01": "HOST", "-": "USER"}), (None, None), ("", {})], "t string, e map<string,string>")
+    text = "from 203.0.113.9 via 192.168.1.50 and 192.168.1.50 to 10.0.0.7, 999.1.1.1 by ann@corp.example on web-01 as ann, CORP\\ann_admin; EMAIL_1"
+    df = spark.createDataFrame([(text, {"ann": "USER", "web-01": "HOST", "-": "USER"}), (None, None), ("", {})], "t string, e map<string,string>")
     out = evidence.redact(df, "t", "e").select("redacted", "tokens", evidence.restore(F.col("redacted"), F.col("tokens")).alias("back")).collect()
-    assert out[0].redacted == "from EXTERNAL_1 via INTERNAL_1 and INTERNAL_1 to INTERNAL_2, 999.1.1.1 by EMAIL_1 on HOST_1 as USER_1"
+    assert out[0].redacted == "from [IP_EXTERNAL_1] via [IP_INTERNAL_1] and [IP_INTERNAL_1] to [IP_INTERNAL_2], 999.1.1.1 by [EMAIL_1] on [HOST_1] as [USER_1], CORP\\[USER_1]_admin; EMAIL_1"
     assert out[0].back == text and out[1].redacted is None and out[2].redacted == ""
 
 
 def test_distinct_texts_and_encoded_commands(spark):
     df = spark.createDataFrame([(["A", "a", "", "b", "B "],)], "x array<string>")
     assert df.select(evidence.distinct_texts(F.col("x")).alias("d")).first().d == ["A", "b", "B "]
-    c = spark.createDataFrame([("powershell -enc SQBFAFgAKAA=",), ("x [Convert]::FromBase64String($a)",), ("powershell -File a.ps1",)], "c string")
-    assert [r[0] for r in c.select(F.col("c").rlike(evidence.ENCODED)).collect()] == [True, True, False]
+    c = spark.createDataFrame([("powershell -enc SQBFAFgAKAA=",), ("x [Convert]::FromBase64String($a)",), ("powershell -File a.ps1",), ("powershell -EncodedCommand $x",), ("x -encrypt y",)], "c string")
+    assert [r[0] for r in c.select(F.col("c").rlike(evidence.ENCODED)).collect()] == [True, True, False, True, False]
 
 
 def test_a_verdict_function_is_plugged_in(spark):
     df = spark.createDataFrame([("C1",), ("C2",)], "cluster_id string")
     out = evidence.triage(df, lambda pdf: pdf.assign(confidence=len(pdf)), "cluster_id string, confidence long").collect()
     assert sorted(r.cluster_id for r in out) == ["C1", "C2"]
+
+
+def test_names_to_redact(spark):
+    pairs = [("User.Name", "ann"), ("host.name", "web-01"), ("account", "x9"), ("a.hostname", "-"), ("computer_name", "ann"), ("user.name", " n ")]
+    df = spark.createDataFrame([(pairs,)], "p array<struct<key:string,value:string>>")
+    assert df.select(evidence.seeds(F.col("p")).alias("s")).first().s == {"ann": "HOST", "web-01": "HOST"}
