@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from emberline.llm import common
 from emberline.llm.op07_minhash import _mix, _powers
-from emberline.storage import materialize
+from emberline.storage import discard, materialize
 
 LENGTH, GRAM = 200, 32
 #: Halving steps: nodes of 128, 16 and 1 window starts.
@@ -376,10 +376,12 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", carry: tuple[str, ..
         return lambda x, y: _further(x, y, level, buckets, tile_bytes)
 
     now = materialize(joined(first, lambda x, y: _second(x, y, LEVELS[1], buckets, tile_bytes)), "suffix")
-    found = now.where("kind = 2").select("chunk", "a")
+    found = materialize(now.where("kind = 2").select("chunk", "a"), "ranges")
     for level in (*LEVELS[2:], None):
-        now = materialize(joined(now, further(level)), "suffix")
-        found = found.union(now.where("kind = 2").select("chunk", "a"))
+        last, now = now, materialize(joined(now, further(level)), "suffix")
+        discard(last)  # what it has found lies in a small table of its own
+        found = found.union(materialize(now.where("kind = 2").select("chunk", "a"), "ranges"))
+    discard(now)
     out = T.StructType([*docs.select(*columns).schema.fields, *T.StructType.fromDDL("n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary").fields])
     schema = to_arrow_schema(out)
     return first.where("kind = 0").select("chunk", "a").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lambda x, y: _cut(x, y, columns, schema), out)
