@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from emberline.config import Prefilter, Settings
@@ -18,6 +19,7 @@ from emberline.operators.temporal import as_of, expired, first_arrival, interval
 from emberline.functions.mapping import FILE, normalize
 from emberline.plans import views
 from emberline.plans.run import Run, correlate
+from emberline.plans.triage import triage
 from emberline.sources import files
 from emberline.streaming.tables import latest_by_key
 
@@ -324,6 +326,26 @@ def _(spark, d):
     return views.event_graph(r.placed, r.alerts, r.bridge, r.entities)[1]
 
 
+def _stub(frame: pd.DataFrame) -> pd.DataFrame:
+    """A verdict function without a model: every candidate, one technique that is none, and a field that isn't there."""
+    more = {"verdict": "suspicious", "confidence": 90, "techniques": [[*sorted(c), "T0000"] for c in frame["candidates"]], "cited": [[*e, "nowhere"] for e in frame["evidence"]], "text": "", "error": None}
+    return frame[["cluster_id"]].assign(**more)
+
+
+@query("chain_triage", f"""{ALL}, held AS (SELECT chain, bool_or(event_type = 'click') AS c, bool_or(event_type = 'signup') AS s, bool_or(event_type IN ('click', 'view')) AS p, bool_or(src_ip IS NOT NULL) AS i FROM placed JOIN a USING (uid) JOIN events USING (event_id) GROUP BY chain)
+SELECT cluster_id, CASE WHEN surfaced THEN 'triaged' ELSE 'pending' END AS triage_status, CASE WHEN surfaced THEN concat_ws(',', CASE WHEN c THEN 'T1059.001' END, CASE WHEN s THEN 'T1136' END) END AS accepted,
+  CASE WHEN surfaced THEN 'T0000' END AS rejected, CASE WHEN surfaced THEN 'nowhere' END AS unverified, CASE WHEN surfaced THEN 40 END AS confidence,
+  CASE WHEN surfaced THEN concat_ws(',', CASE WHEN p THEN 'process.command_line,process.executable' END, CASE WHEN i THEN 'source.ip' END) END AS evidence FROM chains JOIN held USING (chain)""")
+def _(spark, d):
+    kb = spark.createDataFrame(
+        [("T1059.001", "PowerShell", [], "scripts", "", []), ("T1136", "Create Account", ["persistence"], "new accounts", "", []), ("T1566", "Phishing", [], "mail", "", [])],
+        "uid string, name string, tactics array<string>, description string, detection string, platforms array<string>",
+    )
+    out = triage(run_of(spark, d), kb, _stub, SETTINGS)
+    listed = lambda c: F.array_join(c, ",")
+    return out.select("cluster_id", "triage_status", *(listed(c).alias(c) for c in ("accepted", "rejected", "unverified", "evidence")), "confidence")
+
+
 @query("run_counters", f"{ALL} SELECT (SELECT count(*) FROM a) AS normalized, 0::BIGINT AS parse_flagged, 0::BIGINT AS suppressed, (SELECT count(*) FROM a) AS correlated, count(*) AS chains, count(*) FILTER (WHERE surfaced) AS surfaced, (SELECT count(*) FROM seen) AS entities FROM chains")
 def _(spark, d):
     return run_of(spark, d).counters()
