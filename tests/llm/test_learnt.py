@@ -129,16 +129,74 @@ def test_every_telling_voter_votes():
 
 
 def test_quality(rated):
+    """Held-out rows, odd ones, and no table at all."""
     docs, labels = rated
     out = op08_quality.score(docs, labels).collect()
     truth = {r.doc_id: r.quality for r in labels.collect()}
-    own = [r for r in out if r.doc_id in truth and r.doc_id < 900]
-    assert len(out) == docs.count() and sum(r.kept == bool(truth[r.doc_id]) for r in own) >= 0.98 * len(own)
+    own = [r for r in out if r.doc_id in truth and r.doc_id < 900 and r.held_out]
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
+    assert len(out) == docs.count() and len(own) > 40 and sum(r.kept == bool(truth[r.doc_id]) for r in own) >= 0.98 * len(own)
     assert all(0 <= r.path_score <= 1 and 0 <= r.host_score <= 1 for r in out)
     assert op08_quality.score(docs.where("false"), labels).collect() == []
     assert len(op08_quality.score(docs, labels.where("false")).collect()) == docs.count()
 
 
+ADDRESSES = {
+    "https://Blog.Example.com/en/7": (7, "blog.example.com", "/en"),
+    "http://u:p@example.org:8080/en/a/8.html?x=/1#y": (8, "example.org", "/en"),
+    "https://[2001:db8::1]:80/fr/9/": (9, "[2001:db8::1]", "/fr"),
+    "ftp://example.net/10": (10, "example.net", ""),
+    "https://example.org/en/about": None,
+    "/en/11": None,
+    "https:///en/12": None,
+    "https://example.org/en/99999999999999999999": None,
+    "": None,
+    None: None,
+}
+
+
+def test_places_of_addresses(spark):
+    pages = spark.createDataFrame([(u, "x") for u in ADDRESSES] + [("https://zzz.example/en/7", "later")], "url string, number string")
+    assert sorted(tuple(r) for r in op08_quality.places(pages).collect()) == sorted(x for x in ADDRESSES.values() if x)
+    assert op08_quality.places(pages.where("false")).collect() == []
+
+
+def test_posteriors_match_a_loop(rated, spark):
+    """Posteriors of hosts and paths from the documents' own evidence, summed by a loop; sparse hosts go to the mean."""
+    docs, labels = rated
+    pages = spark.createDataFrame([(f"https://h{k % 7 if k % 50 else k}.example/{'ab'[k % 2]}/{k}",) for k in range(0, 900, 2)] + [(None,)], "url string")
+    at = {r.number: (r.host, r.path) for r in op08_quality.places(pages).collect()}
+    got = op08_quality.score(docs, labels, pages).collect()
+    place = {}
+    for r in docs.collect():
+        place.setdefault((r.doc_id, r.text), at.get(r.doc_id, (r.source, r.lang)))
+    of = {k: v for (k, _), v in place.items()}
+    assert len(got) == docs.count() and len({h for h, _ in of.values()}) > 10
+    groups, hosts = {}, {}
+    for r in got:
+        for key, sums in ((of[r.doc_id], groups), (of[r.doc_id][0], hosts)):
+            n, good = sums.get(key, (0, 0.0))
+            sums[key] = (n + 1, good + r.doc_score)
+    mean = sum(g for _, g in hosts.values()) / len(got)
+
+    def strength(rows):
+        rows = [(n, g, m) for n, g, m in rows if n > 1]
+        seen = sum(n * (g / n - m) ** 2 for n, g, m in rows) - sum(m * (1 - m) for _, _, m in rows)
+        share = max(seen, 0) / sum(n * m * (1 - m) for n, _, m in rows)
+        return min(op08_quality.MOST_STRENGTH, max(op08_quality.LEAST_STRENGTH, 1 / share - 1 if share > 0 else op08_quality.MOST_STRENGTH))
+
+    s = strength([(n, g, mean) for n, g in hosts.values()])
+    prior = {h: (g + s * mean) / (n + s) for h, (n, g) in hosts.items()}
+    t = strength([(n, g, prior[h]) for (h, _), (n, g) in groups.items()])
+    for r in got:
+        key = of[r.doc_id]
+        n, good = groups[key]
+        assert abs(r.host_score - prior[key[0]]) < 1e-4
+        assert abs(r.path_score - (good - r.doc_score + t * prior[key[0]]) / (n - 1 + t)) < 1e-4
+    alone = [prior[h] for h, (n, g) in hosts.items() if n == 1]
+    assert alone and all(abs(x - mean) <= max(abs(g / n - mean) for n, g in hosts.values()) for x in alone)
+
+
 def test_correlated_voters_share_their_evidence():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
