@@ -17,6 +17,7 @@ from emberline.llm import (
     op08_quality,
     op09_crosspolytope,
     op10_toxicity,
+    op11_runs,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op08_quality.query,
     "op9_crosspolytope": op09_crosspolytope.query,
     "op10_toxicity": op10_toxicity.query,
+    "op11_runs": op11_runs.query,
 }
 ORACLES: dict[str, str] = {
     "op1_divergence": op01_divergence.ORACLE,
