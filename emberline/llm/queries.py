@@ -18,6 +18,8 @@ from emberline.llm import (
     op09_crosspolytope,
     op10_toxicity,
     op11_runs,
+    op12_search,
+    op13_lloyd,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,9 +34,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_crosspolytope": op09_crosspolytope.query,
     "op10_toxicity": op10_toxicity.query,
     "op11_runs": op11_runs.query,
+    "op12_search": op12_search.query,
+    "op13_lloyd": op13_lloyd.query,
 }
 ORACLES: dict[str, str] = {
     "op1_divergence": op01_divergence.ORACLE,
     "op2_perspectives": op02_chat.ORACLE,
     "op5_mix": op05_mix.ORACLE,
+    "op13_lloyd": op13_lloyd.ORACLE,
 }
