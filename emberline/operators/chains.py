@@ -76,12 +76,13 @@ def primary_entities(placed: DataFrame, primary: DataFrame, entities: DataFrame)
     return best.groupBy("chain").agg(F.min_by(F.struct("entity_uid", "name"), F.struct(-F.col("n"), "first_seen", "entity_uid")).alias("e")).select("chain", F.col("e.entity_uid").alias("primary_entity"), F.col("e.name").alias("primary_name"))
 
 
-def build(alerts: DataFrame, bridge: DataFrame, primary: DataFrame, entities: DataFrame, settings: Settings, placed: DataFrame | None = None) -> DataFrame:
-    """A row for each chain: times, counts, main entity, cluster id, disposition, risk and whether it surfaces."""
+def build(alerts: DataFrame, bridge: DataFrame, primary: DataFrame, entities: DataFrame, settings: Settings, placed: DataFrame | None = None, risk: DataFrame | None = None) -> DataFrame:
+    """A row for each chain: times, counts, main entity, cluster id, disposition, risk and whether it surfaces. ``risk`` of
+    the entities is summed over ``alerts`` where it isn't given."""
     placed = members(bridge, settings.window_ms) if placed is None else placed
     ranked = placed.join(alerts.select("uid", "severity_id", alert_rank(F.col("attacks")).alias("rank")), "uid")
     sums = ranked.groupBy("chain").agg(F.count("*").alias("alert_count"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.min_by("uid", F.struct("time", "uid")).alias("first_uid"), F.max("severity_id").alias("max_severity"))
-    risk = entity_risk(alerts, bridge, settings.weights)
+    risk = entity_risk(alerts, bridge, settings.weights) if risk is None else risk
     touched = bridge.join(placed.select("uid", "chain"), "uid").select("chain", "entity_uid").distinct().join(risk, "entity_uid", "left")
     by_chain = touched.groupBy("chain").agg(F.max("risk").alias("raw_risk"), F.count("*").alias("entity_count"))
     out = sums.join(by_chain, "chain", "left").join(dispositions(ranked), "chain").join(primary_entities(placed, primary, entities), "chain", "left")

@@ -1,5 +1,24 @@
+import json
+from pathlib import Path
+
 HITS = [{"_id": f"h{k}", "_source": {"@timestamp": t, "host": {"name": "A"}, "event": {"severity": "high"}}} for k, t in enumerate([5000] * 5 + [6000])]
 
 
 def fetch(since, until, size, seen):
     return [h for h in HITS if since <= h["_source"]["@timestamp"] < until and h["_id"] not in seen][:size]
+
+
+def stored(source, since, until, size, seen):
+    """An index in a file: a hit for each line."""
+    hits = sorted((json.loads(x) for x in Path(source).read_text().splitlines()[1:]), key=lambda h: h["_source"]["@timestamp"])
+    return [h for h in hits if since <= h["_source"]["@timestamp"] < until and h["_id"] not in seen][:size]
+
+
+def clock(source):
+    """The time of the index: the file's first line."""
+    return int(Path(source).read_text().splitlines()[0])
+
+
+def told(source, cursor):
+    with Path(source + ".cursor").open("a") as f:
+        f.write(f"{cursor}\n")
