@@ -19,26 +19,28 @@ from emberline.storage import collected, discard, materialize, remove
 CHUNK_BYTES = 4 << 20
 
 
-#: Tables that the stage before has made on its way.
-_LAST: list[str] = []
+#: Tables that the stage before has made on its way, where stages are called one by one: for each folder of input.
+_LAST: dict[str, list[str]] = {}
 
 
 def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that first deletes the intermediate tables of the stage before: its result has been written since, unless
-    ``docs`` still reads them."""
+    """A stage that first deletes the intermediate tables of the stage before it on the same folder: its result has been
+    written since, unless ``docs`` still reads them. ``run`` calls the bare stage and keeps its own account."""
 
     @wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _LAST else []
-        if not any(name in x for x in read for name in {p.rsplit("/", 1)[-1] for p in _LAST}):
-            remove(spark, _LAST)
-            _LAST.clear()
+    def one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        last = _LAST.pop(sf_dir, [])
+        read = docs.inputFiles() if last else []
+        if any(name in x for x in read for name in {p.rsplit("/", 1)[-1] for p in last}):
+            _LAST[sf_dir] = last
+        else:
+            remove(spark, last)
         with collected() as made:
             out = f(spark, docs, sf_dir)
-        _LAST.extend(made)
+        _LAST.setdefault(sf_dir, []).extend(made)
         return out
 
-    return run
+    return one
 
 
 @_stage
@@ -104,12 +106,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn on the table ``documents``, each written and read again before the next."""
+    """All stages in turn on the table ``documents``, each written and read again before the next; what a stage has made on
+    its way is deleted once its result is written."""
     docs = common.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
+        with collected() as made:
+            before, docs = docs, stage.__wrapped__(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs = materialize(docs, name)
         if k + 1 < len(STAGES):
-            docs = materialize(docs, name)
+            remove(spark, [p for p in made if p != docs._table])
             if k:
                 discard(before)
     return docs
