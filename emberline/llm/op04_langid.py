@@ -18,13 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from emberline.llm import common
 from emberline.llm.op07_minhash import _mix, _powers
+from emberline.storage import discard, materialize
 
-#: Documents and bytes of text of each language that the model is fitted on, on average (drawn by a hash of id and text).
-SAMPLE, SAMPLE_BYTES = 600, 4 << 20
+#: Documents that the model is fitted on at most: of each language, their text's bytes in all, and characters of one of
+#: them (a longer text counts with its first whole words). Drawn by a hash of id and text.
+SAMPLE, SAMPLE_BYTES, SAMPLE_CHARS = 600, 16 << 20, 1 << 16
 #: n-gram lengths in bytes, edges included; slots of a weight table for each kind of feature, and of all tables of a kind
 #: (more languages have smaller tables).
 GRAMS, SLOTS, ALL_SLOTS = (2, 3, 4), 1 << 16, 1 << 20
@@ -36,6 +38,8 @@ TILE_BYTES, SEGMENT, BEYOND = 1 << 19, 2048, 32
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
+#: What ends a word: any character of ASCII but its letters.
+_BREAK = re.compile(r"[\x00-@\[-`{-\x7f]")
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
@@ -204,13 +208,11 @@ def _labelled(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.nda
 
 
 def _pieces(text: str) -> Iterator[str]:
-    """A long text in parts cut at a space, where there is one."""
+    """A long text in parts, cut between words."""
     at = 0
     while at < len(text):
-        end = at + TILE_BYTES // 4
-        if end < len(text):
-            space = text.find(" ", end, end + TILE_BYTES // 4)
-            end = space if space > 0 else end
+        found = _BREAK.search(text, at + TILE_BYTES // 4)
+        end = found.start() if found else len(text)
         yield text[at:end]
         at = end
 
@@ -257,18 +259,23 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model of the rows with a language whose crc32 of the id, mod 4, isn't 2. All their languages are learnt, each
-    from about ``SAMPLE`` whole documents and ``SAMPLE_BYTES`` of text at most (texts longer than that aren't drawn).
-    Rows are drawn by a hash of id and text, and equal rows count once, so reruns give the same model."""
-    able = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.octet_length(text_col).alias("b")).where((common.crc_mod(id_col, 4) != 2) & F.col(lang_col).isNotNull())
-    able = able.where(f"t is not null and b <= {SAMPLE_BYTES}")
-    counts = able.groupBy("l").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()
-    if not counts:
+    from the ``SAMPLE`` documents with the smallest hashes of id and text, or the first of them that together hold its part
+    of ``SAMPLE_BYTES``, and from one at least. Equal rows count once, so reruns give the same model."""
+    able = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    able = able.where((common.crc_mod("i", 4) != 2) & F.col("l").isNotNull() & F.col("t").isNotNull())
+    able = able.withColumn("h", F.xxhash64("i", "t", F.lit(41)))
+    place = F.row_number().over(W.partitionBy("l").orderBy("h"))
+    first = materialize(able.select("l", "h").distinct().withColumn("k", place).where(F.col("k") <= SAMPLE), "sample")
+    languages = first.select("l").distinct().count()
+    piece = F.when(F.length("t") <= SAMPLE_CHARS, F.col("t")).otherwise(F.coalesce(F.nullif(F.regexp_extract("t", rf"(?s)^.{{1,{SAMPLE_CHARS}}}(?=[\x00-@\[-`{{-\x7f])", 0), F.lit("")), F.substring("t", 1, SAMPLE_CHARS)))
+    rows = able.join(first, ["l", "h"]).select("i", piece.alias("t"), "l", "k").distinct()
+    before = F.sum(F.octet_length("t")).over(W.partitionBy("l").orderBy("k", "i", "t").rowsBetween(W.unboundedPreceding, -1))
+    drawn = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SAMPLE_BYTES // max(languages, 1)).select("i", "t", "l").collect()
+    discard(first)
+    if not drawn:
         return Model([], np.zeros((0, 0)), np.zeros((0, 0)))
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["l"], float(min(SAMPLE / r["n"], SAMPLE_BYTES / max(r["b"], 1))))))
-    drawn = able.where(F.pmod(F.xxhash64("i", "t", F.lit(41)), F.lit(1 << 30)) < share[F.col("l")] * (1 << 30))
-    rows = drawn.select("i", "t", "l").distinct().collect()
-    rows.sort(key=lambda r: (str(r.i), r.t, r.l))
-    return fit([r.t for r in rows], [r.l for r in rows])
+    drawn.sort(key=lambda r: (str(r.i), r.t, r.l))
+    return fit([r.t for r in drawn], [r.l for r in drawn])
 
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

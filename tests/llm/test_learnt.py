@@ -1,5 +1,6 @@
 """Operators with learnt models: planted differences must be found on held-out rows."""
 
+import itertools
 import random
 import zlib
 
@@ -69,6 +70,45 @@ def test_long_texts_in_segments_and_parts(speech, monkeypatch):
     assert parts.column("spans")[0].as_py()[-1]["last"] == 499
 
 
+def test_a_language_of_long_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(op04_langid, "STEPS", 8)
+    monkeypatch.setattr(op04_langid, "SAMPLE_BYTES", 1 << 17)
+    rng = random.Random(4)
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(k, say("the thing other nation her this".split(), 60), "en") for k in range(60)]
+    rows += [(100 + k, say("schule und einung lichter verein".split(), 40_000).replace(" ", "\n"), "de") for k in range(3)]
+    model = op04_langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en"]
+    asked = spark.createDataFrame([(1, "verein und schule"), (2, "other nation")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in op04_langid.identify(asked, model).collect()} == {1: "de", 2: "en"}
+
+
+def test_words_of_a_long_text_stay_whole(spark):
+    model = op04_langid.fit(["the thing"] * 4 + ["und lichter"] * 4, ["en"] * 4 + ["de"] * 4)
+    rows = [(k, text) for k, text in enumerate(("lichter\n" * 200_000, "the1thing," * 80_000, "x" * 700_000))]
+    got = op04_langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert sorted((r.doc_id, [(x.first, x.last) for x in r.spans][-1][1]) for r in got) == [(0, 199_999), (1, 159_999), (2, 0)]
+    assert [len(x.spans) for x in got if x.doc_id == 0] == [1]
+
+
+def test_marginals_match_a_sum_over_all_paths():
+    rng = np.random.default_rng(9)
+    sizes = [1, 5, 0, 4, 2]
+    first = np.cumsum([0, *sizes])
+    scores, transition = rng.normal(size=(sum(sizes), 3)) * 2, rng.normal(size=(3, 3))
+    p, pairs = op04_langid.marginals(scores, first, transition, True)
+    expected, joint = np.zeros_like(p), np.zeros((3, 3))
+    for a, n in zip(first, sizes):
+        paths = list(itertools.product(range(3), repeat=n))
+        weight = [np.exp(sum(scores[a + k, y] for k, y in enumerate(path)) + sum(transition[x, y] for x, y in zip(path, path[1:]))) for path in paths]
+        for path, w in zip(paths, np.array(weight) / sum(weight)):
+            for k, y in enumerate(path):
+                expected[a + k, y] += w
+            for x, y in zip(path, path[1:]):
+                joint[x, y] += w
+    assert np.allclose(p, expected, atol=1e-12) and np.allclose(pairs, joint, atol=1e-12)
+
+
 def test_every_language_is_learnt():
     names = [f"l{k:03}" for k in range(80)]
     texts = [" ".join(f"{a}{k % 9}x" for k, a in enumerate([n] * 12)) for n in names for _ in range(4)]

@@ -84,7 +84,9 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path, monkeypatch):
     assert ids[1] == ids[0] - {100, 101} and len(left[1][1]) == len(ids[1])
     assert not any(passage in r.text for r in left[2][1]) and ids[2] == ids[1]
     assert len(left[4][1]) == len(left[3][1])
-    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    one, two = corpus_pipeline.run(spark, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))
+    whole = one.collect()  # read after a second run in the same driver
+    assert two.count() == len(whole)
     known = lambda x: sorted((r.doc_id is not None, r.doc_id or 0, r.ids_sha256) for r in x)
     assert known(whole) == known(left[4][1])
 
