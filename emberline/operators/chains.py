@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from emberline.config import TACTICS, Settings, mapped
 from emberline.operators.components import connected_components
-from emberline.operators.temporal import sessions
+from emberline.operators.temporal import ordered, sessions
 
 UIDS, NAMES = {u.lower(): k for k, (u, _) in enumerate(TACTICS)}, {n: k for k, (_, n) in enumerate(TACTICS)}
 
@@ -38,8 +38,7 @@ def members(bridge: DataFrame, window_ms: int) -> DataFrame:
 def dispositions(placed: DataFrame) -> DataFrame:
     """``placed(chain, time, uid, rank)`` -> ``(chain, disposition)``: unknown with fewer than two ranked alerts, reversed if
     there are more steps back than forward, progressing with any step forward, else flat."""
-    w = W.partitionBy("chain").orderBy("time", "uid")
-    steps = placed.where("rank is not null").withColumn("p", F.lag("rank").over(w))
+    steps = ordered(placed.where("rank is not null").select("chain", "time", "uid", "rank"), "chain", "time", "uid", ("rank",)).withColumnRenamed("previous_rank", "p")
     sums = steps.groupBy("chain").agg(F.count("*").alias("n"), F.count_if(F.col("rank") > F.col("p")).alias("up"), F.count_if(F.col("rank") < F.col("p")).alias("down"))
     kind = F.when(F.coalesce("n", F.lit(0)) < 2, "unknown").when(F.col("down") > F.col("up"), "reversed").when(F.col("up") > 0, "progressing").otherwise("flat")
     return placed.select("chain").distinct().join(sums, "chain", "left").select("chain", kind.alias("disposition"))

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-#: Width of a time bucket.
-BUCKET_MS = 86_400_000
+#: Width of a time bucket; a chain or a name can have a third of all rows, so its order is cut finer.
+BUCKET_MS, ORDER_MS = 86_400_000, 300_000
 
 
 def _carried(marks: DataFrame, key: str, value: str) -> DataFrame:
@@ -32,11 +32,35 @@ def as_of(rows: DataFrame, marks: DataFrame, key: str, time: str, value: str, bu
     return joined.withColumn(value, F.coalesce("_v", "_before")).select(*rows.columns, value)
 
 
-def intervals(marks: DataFrame, key: str, time: str, value: str) -> DataFrame:
+def ordered(rows: DataFrame, key: str, time: str, tie: str, previous: tuple[str, ...] = (), following: tuple[str, ...] = (), bucket_ms: int = ORDER_MS) -> DataFrame:
+    """``rows`` with ``seq``, the row's place among those of its key by time and ``tie`` (from 1, nulls first), and
+    ``previous_<c>`` and ``following_<c>``, the columns' values in the row before and after (null: none).
+
+    Rows are numbered within (key, time bucket). The buckets' sizes, first and last rows, reduced before they are shuffled,
+    are summed up and carried along the key, so a key with a third of all rows is as many tasks as it has buckets.
+    """
+    order = F.struct(time, tie)
+    b = rows.withColumn("_b", F.coalesce(F.floor(F.col(time) / bucket_ms), F.lit(-(1 << 62))))
+    seen = lambda cs: F.struct(F.lit(1).alias("_is"), *cs)
+    ends = b.groupBy(key, "_b").agg(F.count("*").alias("_n"), F.max_by(seen(previous), order).alias("_last"), F.min_by(seen(following), order).alias("_first"))
+    w = W.partitionBy(key).orderBy("_b")
+    ends = ends.select(
+        F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.lag("_last").over(w).alias("_prior"), F.lead("_first").over(w).alias("_next"),
+    )
+    near = W.partitionBy(key, "_b").orderBy(time, tie)
+    numbered = b.withColumns({"_seq": F.row_number().over(near), "_p": F.lag(seen(previous)).over(near), "_f": F.lead(seen(following)).over(near)})
+    joined = numbered.join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb")))
+    around = [F.coalesce("_p", "_prior").getField(c).alias(f"previous_{c}") for c in previous] + [F.coalesce("_f", "_next").getField(c).alias(f"following_{c}") for c in following]
+    return joined.select(*rows.columns, (F.col("_seq") + F.col("_before")).alias("seq"), *around)
+
+
+def intervals(marks: DataFrame, key: str, time: str, value: str, bucket_ms: int = ORDER_MS) -> DataFrame:
     """``(key, start, end, value)``: a row wherever the owner of a key changes; ``end`` is the next start (null: open)."""
-    w = W.partitionBy(key).orderBy(time, value)
-    changed = marks.where(F.col(key).isNotNull() & F.col(value).isNotNull()).withColumn("_p", F.lag(value).over(w)).where(F.col("_p").isNull() | (F.col("_p") != F.col(value)))
-    return changed.select(key, F.col(time).alias("start"), F.lead(time).over(w).alias("end"), value)
+    some = ordered(marks.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, time, value), key, time, value, (value,), bucket_ms=bucket_ms)
+    before = F.col(f"previous_{value}")
+    changed = some.where(before.isNull() | (before != F.col(value))).select(key, time, value)
+    return ordered(changed, key, time, value, following=(time,), bucket_ms=bucket_ms).select(key, F.col(time).alias("start"), F.col(f"following_{time}").alias("end"), value)
 
 
 def sessions(rows: DataFrame, key: str, time: str, gap_ms: int, bucket_ms: int = BUCKET_MS) -> DataFrame:

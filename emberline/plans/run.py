@@ -10,7 +10,7 @@ from emberline.config import Settings
 from emberline.functions.mapping import FILE, INDEX, normalize
 from emberline.operators import chains as C, entities as E, prefilter
 from emberline.operators.temporal import first_arrival
-from emberline.plans import views
+from emberline.plans import documents, views
 from emberline.sources import files
 from emberline.storage import materialize
 
@@ -31,11 +31,23 @@ class Run:
     def summaries(self) -> DataFrame:
         return views.summaries(self.chains, self.placed, self.alerts, self.bridge, self.entities, self.risk)
 
-    def briefs(self) -> DataFrame:
-        return views.briefs(self.summaries(), views.incident_titles(self.placed, self.alerts))
+    def items(self) -> DataFrame:
+        return documents.alert_items(self.placed, self.alerts, self.bridge, self.entities)
 
-    def reports(self) -> DataFrame:
-        return views.reports(self.summaries(), views.incident_titles(self.placed, self.alerts))
+    def members(self) -> DataFrame:
+        return documents.chain_entities(self.placed, self.bridge, self.entities, self.risk)
+
+    def titles(self) -> DataFrame:
+        return views.incident_titles(self.placed, self.alerts)
+
+    def briefs(self, triage: DataFrame | None = None) -> DataFrame:
+        return documents.briefs(self.chains, self.items(), self.titles(), triage)
+
+    def reports(self, triage: DataFrame | None = None, url: str = "", size: int = documents.BLOCK) -> DataFrame:
+        return documents.reports(self.chains, self.items(), self.members(), self.titles(), triage, url, size)
+
+    def documents(self, triage: DataFrame | None = None, url: str = "", written_at_ms: int = 0, size: int = documents.BLOCK) -> DataFrame:
+        return documents.documents(self.chains, self.items(), self.members(), triage, url, written_at_ms, size)
 
     def counters(self) -> DataFrame:
         return views.counters(self.decisions, self.chains, self.entities)

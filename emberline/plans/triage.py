@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from emberline.config import Settings
 from emberline.operators import evidence, search
+from emberline.operators.temporal import ordered
 from emberline.plans.run import Run
 from emberline.plans.views import record
 from emberline.storage import materialize
@@ -45,8 +46,8 @@ def indicators(rows: DataFrame) -> DataFrame:
 def cases(scope: DataFrame, placed: DataFrame, alerts: DataFrame, kb: DataFrame, settings: Settings, redacted: bool = True) -> DataFrame:
     """``scope(chain, cluster_id, fingerprint)`` with ``prompt`` (the evidence, names and addresses as tokens), ``tokens``,
     ``truncated``, ``evidence`` (fields that may be cited) and ``candidates`` (technique ids, best first)."""
-    seq = F.row_number().over(W.partitionBy("chain").orderBy("time", "uid"))
-    rows = placed.join(scope.select("chain", "cluster_id"), "chain").select("cluster_id", "uid", seq.alias("seq")).join(alerts.withColumn("pairs", fields(alerts)), "uid")
+    numbered = ordered(placed.join(scope.select("chain", "cluster_id"), "chain"), "chain", "time", "uid")
+    rows = numbered.select("cluster_id", "uid", "seq").join(alerts.withColumn("pairs", fields(alerts)), "uid")
     rows = materialize(rows.select("cluster_id", "seq", "uid", "title", "desc", "message", "attacks", "process_name", "cmd_line", "pairs"), "evidence")
     visible = rows.where(F.col("seq") <= settings.max_evidence_chars // ALERT_CHARS + 1)
     shown = visible.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("seq", "uid", "title", "pairs"))).alias("alerts"))
@@ -62,14 +63,20 @@ def cases(scope: DataFrame, placed: DataFrame, alerts: DataFrame, kb: DataFrame,
 
 
 def _answered(verdict_fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A failing function leaves its chains without a verdict, with the first line of what went wrong."""
+    """A failing function is asked again chain by chain, and leaves those that fail without a verdict, with the first line
+    of what went wrong."""
     names = [c.split()[0] for c in ANSWER.split(", ")]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def asked(frame: pd.DataFrame) -> pd.DataFrame:
         try:
-            out = verdict_fn(frame)
+            return verdict_fn(frame)
         except Exception as e:
-            out = frame[["cluster_id"]].assign(error=(str(e) or type(e).__name__).split("\n")[0][:500])
+            if len(frame) > 1:
+                return pd.concat([asked(frame.iloc[[k]]) for k in range(len(frame))])
+            return frame[["cluster_id"]].assign(error=(str(e) or type(e).__name__).split("\n")[0][:500])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = asked(frame)
         out = out.reindex(columns=names).astype(object)
         return out.where(out.notna(), None)
 
@@ -77,10 +84,11 @@ def _answered(verdict_fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[p
 
 
 def triage(run: Run, kb: DataFrame, verdict_fn: Callable[[pd.DataFrame], pd.DataFrame], settings: Settings, previous: DataFrame | None = None, everything: bool = False, model: str = "", redacted: bool = True) -> DataFrame:
-    """``(cluster_id, fingerprint, triage_status, verdict, confidence, text, accepted, rejected, unverified, named, evidence,
+    """``(cluster_id, fingerprint, triage_status, verdict, confidence, text, accepted, rejected, unverified, cited, named, evidence,
     candidates, triage_error)``, a row for each chain.
 
-    ``verdict_fn`` gets frames of ``cluster_id, prompt, candidates, evidence`` and returns ``ANSWER``. Surfaced chains are
+    ``verdict_fn`` gets frames of ``cluster_id, prompt, candidates, evidence`` and returns ``ANSWER``; it may be asked again
+    about a chain whose task is run again, so answers that cost much should be kept by the prompt. Surfaced chains are
     asked about (``everything``: all); others are ``pending``. Rows of ``previous`` (an earlier result) with an equal
     fingerprint that were triaged are taken over and not asked again; failed ones are ``ai_unavailable`` and asked again.
     ``named`` are the accepted techniques with their names.
@@ -101,7 +109,7 @@ def triage(run: Run, kb: DataFrame, verdict_fn: Callable[[pd.DataFrame], pd.Data
     failed = F.col("error").isNotNull() | F.col("verdict").isNull()
     result = checked.join(names, "cluster_id", "left").select(
         "cluster_id", "fingerprint", F.when(failed, "ai_unavailable").otherwise("triaged").alias("triage_status"), "verdict", "confidence", "text", "accepted", "rejected", "unverified",
-        F.coalesce("named", F.array().cast("array<string>")).alias("named"), "evidence", "candidates", F.when(failed, F.coalesce("error", F.lit("no verdict"))).alias("triage_error"),
+        F.array_except("cited", "unverified").alias("cited"), F.coalesce("named", F.array().cast("array<string>")).alias("named"), "evidence", "candidates", F.when(failed, F.coalesce("error", F.lit("no verdict"))).alias("triage_error"),
     )
     if kept is not None:
         result = result.unionByName(kept.select(result.columns))

@@ -1,13 +1,14 @@
-"""Read-side plans: summaries, briefs, lists, timelines, graphs, result documents and reports of chains."""
+"""Read-side plans: summaries, timelines, graphs and counters of chains."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from emberline.config import SEVERITY_LABELS, TACTICS, mapped
 from emberline.functions.values import iso_ms
 from emberline.operators.chains import alert_rank, tactic_names, tactic_rank
 from emberline.operators.evidence import ENCODED, first_by_suffix, flatten_view, tag_label
+from emberline.operators.temporal import ordered
 
 UNTAGGED = "Untagged"
 
@@ -27,14 +28,13 @@ def timeline(placed: DataFrame, alerts: DataFrame) -> DataFrame:
     rows = placed.join(alerts.select("uid", "title", "severity_id", lane(F.col("attacks")).alias("lane"), F.coalesce(alert_rank(F.col("attacks")), F.lit(len(TACTICS))).alias("rank")), "uid")
     # the chain's ranks come to 15 at most, so their set is a bounded array
     sets = rows.groupBy("chain").agg(F.array_sort(F.collect_set("rank")).alias("ranks"))
-    seq = F.row_number().over(W.partitionBy("chain").orderBy("time", "uid"))
-    return rows.join(sets, "chain").withColumn("seq", seq).withColumn("lane_index", F.array_position("ranks", F.col("rank")) - 1).select("chain", "seq", "uid", "time", "title", "severity_id", "lane", F.col("lane_index").cast("long").alias("lane_index"))
+    return ordered(rows, "chain", "time", "uid").join(sets, "chain").withColumn("lane_index", F.array_position("ranks", F.col("rank")) - 1).select("chain", "seq", "uid", "time", "title", "severity_id", "lane", F.col("lane_index").cast("long").alias("lane_index"))
 
 
 def then_links(placed: DataFrame) -> DataFrame:
     """Consecutive alerts of a chain."""
-    w = W.partitionBy("chain").orderBy("time", "uid")
-    return placed.select("chain", F.lag("uid").over(w).alias("src"), F.col("uid").alias("dst")).where("src is not null")
+    rows = ordered(placed.select("chain", "time", "uid"), "chain", "time", "uid", ("uid",))
+    return rows.select("chain", F.col("previous_uid").alias("src"), F.col("uid").alias("dst")).where("src is not null")
 
 
 def entity_links(bridge: DataFrame, entities: DataFrame) -> DataFrame:
@@ -122,7 +122,8 @@ def incident_titles(placed: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def summaries(chains: DataFrame, placed: DataFrame, alerts: DataFrame, bridge: DataFrame, entities: DataFrame, risk: DataFrame) -> DataFrame:
-    """``chains`` with the nested lists of a chain document: alerts in order, entities, and the tactic sequence."""
+    """``chains`` with nested lists: alerts in order, entities, and the tactic sequence. A row holds a whole chain: where
+    chains are large, ``documents`` has the same in blocks."""
     touched = bridge.join(entities.select("entity_uid", "name"), "entity_uid", "left").groupBy("uid").agg(F.array_sort(F.collect_set("name")).alias("entities"))
     c = F.col
     one = F.struct(
@@ -136,32 +137,6 @@ def summaries(chains: DataFrame, placed: DataFrame, alerts: DataFrame, bridge: D
     return chains.join(listed, "chain").join(named, "chain", "left").withColumn("tactic_sequence", sequence)
 
 
-def search_text(title: Column, alerts: Column) -> Column:
-    parts = F.flatten(F.transform(alerts, lambda a: F.array(a["title"], a["desc"], a["message"], a["host"], a["user"], a["process_name"], a["cmd_line"], a["source_ip"], a["destination_ip"])))
-    return F.lower(F.concat_ws(" ", title, F.concat_ws(" ", F.filter(parts, lambda x: x != ""))))
-
-
-def briefs(summary: DataFrame, titles: DataFrame) -> DataFrame:
-    """List rows: what a chain list shows and searches."""
-    tactics = F.array_distinct("tactic_sequence")
-    techniques = F.array_distinct(F.array_compact(F.flatten(F.transform("alerts", lambda a: F.transform(a["attacks"], lambda t: t["technique"]["uid"])))))
-    return summary.join(titles, "chain").select(
-        "cluster_id", "incident_title", F.col("primary_name").alias("primary_entity"), severity_label(F.col("max_severity")).alias("severity"), "max_severity", "alert_count", "first_time", "last_time", "risk", "surfaced", "disposition",
-        tactics.alias("tactics"), techniques.alias("techniques"), F.transform("entities", lambda e: e["name"]).alias("entities"), search_text(F.col("incident_title"), F.col("alerts")).alias("search_text"),
-    )
-
-
-def chain_list(brief: DataFrame, surfaced_only: bool = False, min_severity: int = 0, since_ms: int | None = None, text: str = "", entity: str = "", limit: int = 200) -> DataFrame:
-    """Newest chains first, after the filters; a negative limit is none."""
-    rows = brief.where(F.col("max_severity") >= min_severity)
-    rows = rows.where("surfaced") if surfaced_only else rows
-    rows = rows.where(F.col("last_time") >= since_ms) if since_ms is not None else rows
-    everything = F.lower(F.concat_ws(" ", "cluster_id", "primary_entity", "incident_title", "search_text", "tactics", "techniques"))
-    rows = rows.where(everything.contains(text.lower())) if text else rows
-    rows = rows.where(F.array_contains("entities", entity)) if entity else rows
-    return rows.orderBy(F.desc("last_time"), F.desc("cluster_id")).limit(max(0, limit))
-
-
 def counters(decisions: DataFrame, chains: DataFrame, entities: DataFrame) -> DataFrame:
     """One row: what a run read, flagged, suppressed, correlated and surfaced."""
     one = lambda df, *aggs: df.agg(*aggs).withColumn("_one", F.lit(1))
@@ -171,38 +146,14 @@ def counters(decisions: DataFrame, chains: DataFrame, entities: DataFrame) -> Da
     return a.join(b, "_one").join(one(entities, F.count("*").alias("entities")), "_one").drop("_one")
 
 
-def result_documents(summary: DataFrame, settings_url: str, written_at_ms: int) -> DataFrame:
-    """``(cluster_id, document)``: what is written back for a chain, keyed by its id; null fields are left out."""
-    link = F.concat(F.lit(settings_url.rstrip("/") + "/incident/"), "cluster_id") if settings_url else F.lit(None).cast("string")
-    chain = F.struct("alert_count", "alerts", "entities", F.col("primary_name").alias("primary_entity"), iso_ms(F.col("first_time")).alias("first_time"), iso_ms(F.col("last_time")).alias("last_time"), "tactic_sequence", "disposition", F.col("risk").alias("risk_score"), "surfaced")
-    has = "verdict" in summary.columns
-    status = F.when(F.col("verdict").isNotNull(), "triaged").when(F.col("triage_error").isNotNull(), "ai_unavailable").otherwise("pending") if has else F.lit("pending")
-    extra = [F.col("verdict").alias("triage"), F.col("triage_error"), F.col("report_markdown")] if has else []
-    doc = F.struct(iso_ms(F.col("last_time")).alias("@timestamp"), F.col("cluster_id"), link.alias("dashboard_url"), F.lit("emberline").alias("source"), F.lit(written_at_ms).alias("written_at"), chain.alias("chain"), status.alias("triage_status"), *extra)
-    return summary.select("cluster_id", F.to_json(doc).alias("document"))
-
-
 def markdown(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"([\\`*_{}\[\]<>|#])", r"\\$1")
 
 
-def reports(summary: DataFrame, titles: DataFrame) -> DataFrame:
-    """``(cluster_id, report)``: a chain as Markdown, with its timeline and entities."""
-    line = lambda a: F.concat(F.lit("- "), a["time_dt"], F.lit(" **"), markdown(a["title"]), F.lit("** "), a["severity"], F.lit(" "), markdown(F.concat_ws(", ", F.transform(a["attacks"], tag_label))))
-    who = lambda e: F.concat(F.lit("- "), markdown(e["name"]), F.lit(" ("), F.coalesce(e["domain"], F.lit("unknown")), F.lit("), risk "), F.format_number(e["risk_score"], 1))
-    seconds = F.floor((F.col("last_time") - F.col("first_time")) / 1000)
-    span = F.when(seconds < 60, F.concat(seconds, F.lit("s"))).when(seconds < 3600, F.concat(F.round(seconds / 60).cast("long"), F.lit("m"))).otherwise(F.concat(F.round(seconds / 3600, 1), F.lit("h")))
-    text = F.concat_ws(
-        "\n", F.concat(F.lit("# "), markdown(F.col("incident_title"))), F.concat(F.lit("Chain "), "cluster_id", F.lit(", "), "disposition", F.lit(", risk "), F.format_number("risk", 1), F.lit(", over "), span),
-        F.lit("## Timeline"), F.array_join(F.transform("alerts", line), "\n"), F.lit("## Entities"), F.array_join(F.transform("entities", who), "\n"),
-    )
-    return summary.join(titles, "chain").select("cluster_id", text.alias("report"))
-
-
 def lookup(local: DataFrame, written: DataFrame, cluster_id: str) -> DataFrame:
-    """The document of a chain: the local one, else the written one; no row if there is neither."""
-    rows = local.select("cluster_id", "document", F.lit(0).alias("p")).unionByName(written.select("cluster_id", "document", F.lit(1).alias("p")))
-    return rows.where(F.col("cluster_id") == cluster_id).orderBy("p").limit(1).drop("p")
+    """The rows of a chain's document: the local ones, else the written ones; none if there are neither."""
+    of = lambda df: df.where(F.col("cluster_id") == cluster_id)
+    return of(local).unionByName(of(written).join(of(local).select("cluster_id").distinct(), "cluster_id", "left_anti"))
 
 
 def latest(documents: DataFrame, keep: int = 500, by: str = "written_at") -> DataFrame:

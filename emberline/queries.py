@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from emberline.config import Prefilter, Settings
 from emberline.operators import entities as E, evidence, prefilter, search
 from emberline.operators.components import connected_components
-from emberline.operators.temporal import as_of, expired, first_arrival, intervals, sessions
+from emberline.operators.temporal import as_of, expired, first_arrival, intervals, ordered, sessions
 from emberline.functions.mapping import FILE, normalize
-from emberline.plans import views
+from emberline.plans import documents, views
 from emberline.plans.run import Run, correlate
 from emberline.plans.triage import triage
 from emberline.sources import files
@@ -166,10 +166,18 @@ def _(spark, d):
     return prefilter.decide(alert_view(spark, d), RULES).groupBy(F.coalesce("rule", F.lit("kept")).alias("rule")).agg(F.count("*").alias("alerts"))
 
 
-@query("trusted_cidr_join", f"WITH {A}, n AS (SELECT * FROM (VALUES ('10.0.0.0/28', 0, 15), ('10.0.0.0/26', 0, 63), ('10.0.0.80/29', 80, 87)) t(network, lo, hi)), i AS (SELECT uid, coalesce(src_ip, device_ip) AS ip FROM a) SELECT uid, ip, (SELECT arg_min(network, row(hi - lo, network)) FROM n WHERE CAST(split_part(ip, '.', 4) AS INT) BETWEEN lo AND hi) AS network FROM i")
+_NETS = ("10.0.0.0/28", "10.0.0.0/26", "10.0.0.80/29", "fd00::40/122", "fd00::/16", "fd00::55", "0.0.0.0/33", "nothing")
+
+
+@query("trusted_cidr_join", f"""WITH {A}, i AS (SELECT uid, CAST(split_part(coalesce(src_ip, device_ip), '.', 4) AS INT) AS n, event_id % 3 = 0 AS six FROM a)
+SELECT uid, CASE WHEN six THEN printf('fd00::%x', n) ELSE '10.0.0.' || n END AS ip, CASE WHEN NOT six AND n <= 15 THEN '10.0.0.0/28' WHEN NOT six AND n <= 63 THEN '10.0.0.0/26' WHEN NOT six AND n BETWEEN 80 AND 87 THEN '10.0.0.80/29'
+  WHEN six AND n = 85 THEN 'fd00::55' WHEN six AND n BETWEEN 64 AND 127 THEN 'fd00::40/122' WHEN six THEN 'fd00::/16' END AS network FROM i""")
 def _(spark, d):
-    nets = spark.createDataFrame([("10.0.0.0/28",), ("10.0.0.0/26",), ("10.0.0.80/29",)], "network string")
-    return prefilter.trusted_join(alert_view(spark, d).select("uid", F.coalesce("src_ip", "device_ip").alias("ip")), nets)
+    nets = spark.createDataFrame([(n,) for n in _NETS], "network string")
+    n = F.substring_index(F.coalesce("src_ip", "device_ip"), ".", -1).cast("long")
+    six = F.substring("uid", 5, 20).cast("long") % 3 == 0
+    ip = F.when(six & n.isNotNull(), F.concat(F.lit("fd00::"), F.lower(F.hex(n)))).otherwise(F.concat(F.lit("10.0.0."), n))
+    return prefilter.trusted_join(alert_view(spark, d).select("uid", ip.alias("ip")), nets)
 
 
 @query("dedup_first_arrival", "SELECT event_id, arrival FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY arrival) AS n FROM (SELECT event_id, epoch_us(ts) // 1000 + 1 AS arrival FROM events UNION ALL SELECT event_id, epoch_us(ts) // 1000 - event_id AS arrival FROM events WHERE event_id % 3 = 0)) WHERE n = 1")
@@ -181,8 +189,8 @@ def _(spark, d):
 
 @query("entity_timeline_gaps", f"WITH {A} SELECT uid, username, time, time - lag(time) OVER (PARTITION BY username ORDER BY time, uid) AS gap FROM a")
 def _(spark, d):
-    w = W.partitionBy("username").orderBy("time", "uid")
-    return alert_view(spark, d).select("uid", "username", "time", (F.col("time") - F.lag("time").over(w)).alias("gap"))
+    rows = ordered(alert_view(spark, d).select("uid", "username", "time"), "username", "time", "uid", ("time",))
+    return rows.select("uid", "username", "time", (F.col("time") - F.col("previous_time")).alias("gap"))
 
 
 @query("entity_sessions", f"WITH {A}, {LEASE}, {BRIDGE}, {SESSIONS} SELECT uid, entity_uid, session FROM sess")
@@ -227,10 +235,11 @@ def _(spark, d):
     return intervals(alert_view(spark, d).where("device_ip is not null").select(F.col("device_ip").alias("ip"), "time", "hostname"), "ip", "time", "hostname")
 
 
-@query("identifier_components", "WITH RECURSIVE e AS (SELECT DISTINCT 'h' || (event_id // 3) AS u, 'm' || (event_id // 5) % 997 AS v FROM events WHERE event_id % 2 = 0), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u, v FROM b UNION SELECT r.u, b.v FROM r JOIN b ON r.v = b.u) SELECT u AS node, least(u, min(v)) AS component FROM r GROUP BY u")
+@query("identifier_components", "WITH RECURSIVE e AS (SELECT DISTINCT 'h' || (event_id // 3) AS u, 'm' || (event_id // 60) || '-' || (event_id % 60 // 5) AS v FROM events), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u, v FROM b UNION SELECT r.u, b.v FROM r JOIN b ON r.v = b.u) SELECT u AS node, least(u, min(v)) AS component FROM r GROUP BY u")
 def _(spark, d):
-    e = table(spark, d, "events").where("event_id % 2 = 0")
-    return connected_components(e.select(F.concat(F.lit("h"), F.floor(F.col("event_id") / 3)).alias("u"), F.concat(F.lit("m"), F.floor(F.col("event_id") / 5) % 997).alias("v")))
+    i = F.col("event_id")
+    m = F.concat(F.lit("m"), F.floor(i / 60), F.lit("-"), F.floor(i % 60 / 5))
+    return connected_components(table(spark, d, "events").select(F.concat(F.lit("h"), F.floor(i / 3)).alias("u"), m.alias("v")))
 
 
 @query("tactic_disposition", f"{ALL} SELECT chain, disposition FROM disp")
@@ -285,22 +294,66 @@ def _(spark, d):
 
 @query("chain_list_topn", f"{ALL} SELECT cluster_id, alert_count, last_time FROM chains WHERE max_severity >= 4 ORDER BY last_time DESC, cluster_id DESC LIMIT 200")
 def _(spark, d):
-    return views.chain_list(run_of(spark, d).briefs(), min_severity=4).select("cluster_id", "alert_count", "last_time")
+    return documents.chain_list(run_of(spark, d).briefs(), min_severity=4).select("cluster_id", "alert_count", "last_time")
+
+
+_ISO = lambda c: f"(strftime(make_timestamp({c} * 1000), '%Y-%m-%dT%H:%M:%S.') || printf('%03d', {c} % 1000) || 'Z')"
+_LABEL = "CASE {} WHEN 5 THEN 'Critical' WHEN 4 THEN 'High' WHEN 3 THEN 'Medium' WHEN 2 THEN 'Low' ELSE 'Informational' END"
+_TITLE = "titles AS (SELECT chain, CASE WHEN bool_or(rank = 3) AND bool_or(rank = 4) THEN 'PowerShell Persistence' ELSE arg_min(title, row(-severity_id, -p.time, uid)) END AS incident_title FROM placed p JOIN a USING (uid) GROUP BY chain)"
+_ITEMS = f"""named AS (SELECT uid, list_sort(list(DISTINCT split_part(entity_uid, '|', 3))) AS entities, arg_min(split_part(entity_uid, '|', 3), row(pos, entity_uid)) FILTER (WHERE entity_uid LIKE 'host|%') AS host,
+  arg_min(split_part(entity_uid, '|', 3), row(pos, entity_uid)) FILTER (WHERE entity_uid LIKE 'ip|%') AS ip FROM bridge GROUP BY uid),
+items AS (SELECT chain, row_number() OVER (PARTITION BY chain ORDER BY p.time, uid) AS seq, uid, severity_id, {{'uid': uid, 'time': p.time, 'time_dt': {_ISO("p.time")}, 'title': title, 'description': '', 'rule': title, 'severity': {_LABEL.format("severity_id")},
+  'host': coalesce(hostname, host, ''), 'user': username, 'process': '', 'command': '', 'source_ip': coalesce(src_ip, ip, ''), 'destination_ip': '', 'entities': entities, 'tactics': [tactic],
+  'techniques': CASE WHEN rank = 3 THEN [{{'uid': 'T1059.001', 'name': 'PowerShell'}}] ELSE [] END}} AS item FROM placed p JOIN a USING (uid) JOIN named USING (uid)),
+idents AS (SELECT DISTINCT * FROM (SELECT 'host|hostname|' || hostname AS entity_uid, 'hostname' AS kind, hostname AS value FROM a WHERE hostname IS NOT NULL UNION ALL SELECT 'host|hostname|' || hostname, 'ip', device_ip FROM a WHERE hostname IS NOT NULL AND device_ip IS NOT NULL
+  UNION ALL SELECT entity_uid, split_part(entity_uid, '|', 2), split_part(entity_uid, '|', 3) FROM bridge WHERE entity_uid NOT LIKE 'host|%')),
+who AS (SELECT chain, row_number() OVER (PARTITION BY chain ORDER BY entity_uid) AS seq, {{'name': split_part(entity_uid, '|', 3), 'domain': split_part(entity_uid, '|', 1), 'risk_score': risk, 'identifiers': ids}} AS entity
+  FROM (SELECT DISTINCT chain, entity_uid FROM bridge JOIN placed USING (uid)) JOIN risk USING (entity_uid) JOIN (SELECT entity_uid, list({{'kind': kind, 'value': value}} ORDER BY kind, value) AS ids FROM idents GROUP BY entity_uid) USING (entity_uid))"""
+_PARTS = f"{ALL}, {_TITLE}, {_ITEMS}"
+
+
+@query("chain_briefs", f"""{_PARTS}, s AS (SELECT chain, array_to_string(list_sort(list(DISTINCT item.tactics[1])), ',') AS tactics, CASE WHEN bool_or(len(item.techniques) > 0) THEN 'T1059.001' ELSE '' END AS techniques FROM items GROUP BY chain)
+SELECT cluster_id, incident_title, primary_name AS primary_entity, {_LABEL.format("max_severity")} AS severity, alert_count, first_time, last_time, risk, surfaced, disposition, tactics, techniques, 'pending' AS triage_status FROM chains JOIN titles USING (chain) JOIN s USING (chain)""")
+def _(spark, d):
+    listed = lambda c: F.array_join(c, ",").alias(c)
+    return run_of(spark, d).briefs().select(
+        "cluster_id", "incident_title", "primary_entity", "severity", "alert_count", "first_time", "last_time", "risk", "surfaced", "disposition", listed("tactics"), listed("techniques"), "triage_status",
+    )
+
+
+@query("chain_reports", f"""{_PARTS}, t AS (SELECT chain, seq, '- ' || item.time_dt || ' **' || item.title || '** ' || item.severity || ': ' || array_to_string(item.entities, ', ') || ' (' || item.tactics[1] || ')' AS line FROM items),
+w AS (SELECT chain, seq, CASE WHEN seq = 1 THEN '## Entities' || chr(10) ELSE '' END || '- ' || entity.name || ' (' || entity.domain || '), risk ' || format('{{:,.1f}}', entity.risk_score) AS line FROM who),
+x AS (SELECT chain, 0 AS part, 0 AS b, '# ' || incident_title || chr(10) || 'Chain ' || cluster_id || chr(10) || '**Verdict:** pending' || chr(10) || '**Disposition:** ' || disposition || chr(10) || '**Risk:** ' || format('{{:,.1f}}', risk)
+    || CASE WHEN surfaced THEN ' (surfaced)' ELSE ' (below the threshold)' END || chr(10) || '**Time:** ' || {_ISO("first_time")} || ' to ' || {_ISO("last_time")} || ', '
+    || CASE WHEN n < 60 THEN n || 's' WHEN n < 3600 THEN CAST(round(n / 60) AS BIGINT) || 'm' ELSE round(n / 3600, 1) || 'h' END || chr(10) || '**Main entity:** ' || primary_name || chr(10) || '[Open](https://soc.example/incident/' || cluster_id || ')' || chr(10) || '## Timeline' AS report
+    FROM (SELECT *, (last_time - first_time) // 1000 AS n FROM chains) JOIN titles USING (chain)
+  UNION ALL SELECT chain, 1, (seq - 1) // 4, string_agg(line, chr(10) ORDER BY seq) FROM t GROUP BY ALL UNION ALL SELECT chain, 2, (seq - 1) // 4, string_agg(line, chr(10) ORDER BY seq) FROM w GROUP BY ALL)
+SELECT cluster_id, row_number() OVER (PARTITION BY chain ORDER BY part, b) - 1 AS block, report FROM x JOIN chains USING (chain)""")
+def _(spark, d):
+    return run_of(spark, d).reports(url="https://soc.example", size=4)
 
 
-@query("chain_briefs")
+@query("result_documents", f"""{_PARTS}, n AS (SELECT chain, ceil(count(*) / 4)::BIGINT AS n FROM items GROUP BY chain), m AS (SELECT chain, ceil(count(*) / 4)::BIGINT AS m FROM who GROUP BY chain),
+x AS (SELECT cluster_id, 'chain' AS part, 0 AS block, to_json({{'@timestamp': {_ISO("last_time")}, 'cluster_id': cluster_id, 'dashboard_url': 'https://soc.example/incident/' || cluster_id, 'source': 'emberline', 'written_at': 0,
+    'chain': {{'alert_count': alert_count, 'primary_entity': primary_name, 'first_time': {_ISO("first_time")}, 'last_time': {_ISO("last_time")}, 'disposition': disposition, 'risk_score': risk, 'surfaced': surfaced}},
+    'alert_blocks': n, 'entity_blocks': m, 'triage_status': 'pending'}}) AS document FROM chains JOIN n USING (chain) JOIN m USING (chain)
+  UNION ALL SELECT cluster_id, 'alerts', (seq - 1) // 4, to_json({{'cluster_id': cluster_id, 'alerts': list(item ORDER BY seq)}}) FROM items JOIN chains USING (chain) GROUP BY cluster_id, (seq - 1) // 4
+  UNION ALL SELECT cluster_id, 'entities', (seq - 1) // 4, to_json({{'cluster_id': cluster_id, 'entities': list(entity ORDER BY seq)}}) FROM who JOIN chains USING (chain) GROUP BY cluster_id, (seq - 1) // 4)
+SELECT cluster_id, part, block, CAST(document AS VARCHAR) AS document FROM x""")
 def _(spark, d):
-    return run_of(spark, d).briefs()
+    return run_of(spark, d).documents(url="https://soc.example", size=4)
 
 
-@query("chain_reports")
+@query("event_list", f"{_PARTS} SELECT chain, seq, uid, item.host AS host, item.user AS user, item.source_ip AS source_ip FROM items WHERE severity_id = 5 AND contains(array_to_string(item.entities, ' ') || ' ' || uid || ' ' || item.source_ip, 'host1')")
 def _(spark, d):
-    return run_of(spark, d).reports()
+    found = documents.event_list(run_of(spark, d).items(), "Alert ERROR", "host1")
+    return found.select("chain", "seq", "uid", "item.host", "item.user", "item.source_ip")
 
 
-@query("result_documents")
+@query("nav_counts", f"{ALL} SELECT count(*) AS total, count(*) FILTER (WHERE surfaced) AS surfaced, count(*) FILTER (WHERE surfaced) AS triaged FROM chains")
 def _(spark, d):
-    return views.result_documents(run_of(spark, d).summaries(), "https://soc.example", 0)
+    r = run_of(spark, d)
+    return documents.nav_counts(r.briefs(triage(r, _kb(spark), _stub, SETTINGS)))
 
 
 _AROUND = """k AS (SELECT uid, props->>'$.k' AS k, event_type, src_ip AS ip FROM a JOIN events USING (event_id)),
@@ -332,16 +385,19 @@ def _stub(frame: pd.DataFrame) -> pd.DataFrame:
     return frame[["cluster_id"]].assign(**more)
 
 
+def _kb(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [("T1059.001", "PowerShell", [], "scripts", "", []), ("T1136", "Create Account", ["persistence"], "new accounts", "", []), ("T1566", "Phishing", [], "mail", "", [])],
+        "uid string, name string, tactics array<string>, description string, detection string, platforms array<string>",
+    )
+
+
 @query("chain_triage", f"""{ALL}, held AS (SELECT chain, bool_or(event_type = 'click') AS c, bool_or(event_type = 'signup') AS s, bool_or(event_type IN ('click', 'view')) AS p, bool_or(src_ip IS NOT NULL) AS i FROM placed JOIN a USING (uid) JOIN events USING (event_id) GROUP BY chain)
 SELECT cluster_id, CASE WHEN surfaced THEN 'triaged' ELSE 'pending' END AS triage_status, CASE WHEN surfaced THEN concat_ws(',', CASE WHEN c THEN 'T1059.001' END, CASE WHEN s THEN 'T1136' END) END AS accepted,
   CASE WHEN surfaced THEN 'T0000' END AS rejected, CASE WHEN surfaced THEN 'nowhere' END AS unverified, CASE WHEN surfaced THEN 40 END AS confidence,
   CASE WHEN surfaced THEN concat_ws(',', CASE WHEN p THEN 'process.command_line,process.executable' END, CASE WHEN i THEN 'source.ip' END) END AS evidence FROM chains JOIN held USING (chain)""")
 def _(spark, d):
-    kb = spark.createDataFrame(
-        [("T1059.001", "PowerShell", [], "scripts", "", []), ("T1136", "Create Account", ["persistence"], "new accounts", "", []), ("T1566", "Phishing", [], "mail", "", [])],
-        "uid string, name string, tactics array<string>, description string, detection string, platforms array<string>",
-    )
-    out = triage(run_of(spark, d), kb, _stub, SETTINGS)
+    out = triage(run_of(spark, d), _kb(spark), _stub, SETTINGS)
     listed = lambda c: F.array_join(c, ",")
     return out.select("cluster_id", "triage_status", *(listed(c).alias(c) for c in ("accepted", "rejected", "unverified", "evidence")), "confidence")
 
@@ -386,9 +442,15 @@ def _(spark, d):
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("redact_documents")
+_FOUND = "array_to_string(list_sort(list_distinct({})), ',')"
+
+
+@query("redact_documents", f"""SELECT doc_id, {_FOUND.format(f"regexp_extract_all(coalesce(text, ''), '{evidence.MAIL}')")} AS mails,
+{_FOUND.format(f"list_filter([trim(x, '.') FOR x IN regexp_split_to_array(coalesce(text, ''), '[^0-9.]+|[.][.]+')], lambda x: regexp_full_match(x, '{evidence._OCTET}([.]{evidence._OCTET}){{3}}'))")} AS addresses FROM documents""")
 def _(spark, d):
-    return evidence.redact(table(spark, d, "documents").select("doc_id", "text"), "text")
+    out = evidence.redact(table(spark, d, "documents").select("doc_id", "text"), "text")
+    of = lambda kind: F.array_join(F.array_sort(F.map_values(F.map_filter("tokens", lambda k, v: F.startswith(k, F.lit(f"[{kind}_"))))), ",")
+    return out.select("doc_id", F.coalesce(of("EMAIL"), F.lit("")).alias("mails"), F.coalesce(of("IP"), F.lit("")).alias("addresses"))
 
 
 @query("restored_documents", "SELECT doc_id, text FROM documents")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from emberline.config import Prefilter, Settings
 from emberline.functions.mapping import FILE, INDEX, finding, normalize
 from emberline.operators import prefilter
-from emberline.plans import views
+from emberline.plans import documents, views
 from emberline.plans.run import correlate, run_files
 from emberline.sources import files
 
@@ -66,15 +66,23 @@ def test_views_of_a_run(run):
     assert links == {("mkoch", "ws-ada", "m1"), ("198.51.100.23", "mkoch", "m3"), ("198.51.100.23", "srv-mail", "m3"), ("mkoch", "srv-mail", "m3")}
     assert {(r.src, r.dst) for r in views.then_links(run.placed).collect()} == {("m1", "m2"), ("m2", "m3")}
     brief = run.briefs()
-    assert [r.cluster_id for r in views.chain_list(brief).collect()] == ["CHAIN-2026-03-02-ws-eli-001", "CHAIN-2026-03-02-ws-ada-001"]
-    assert views.chain_list(brief, surfaced_only=True, text="PACKER", entity="srv-mail", min_severity=4).count() == 1
-    assert views.chain_list(brief, limit=-1).count() == 0
-    docs = views.result_documents(run.summaries(), "https://soc/", 5)
-    first = json.loads(docs.orderBy("cluster_id").first().document)
+    assert [r.cluster_id for r in documents.chain_list(brief).collect()] == ["CHAIN-2026-03-02-ws-eli-001", "CHAIN-2026-03-02-ws-ada-001"]
+    listed = lambda **kw: [r.cluster_id[17:23] for r in documents.chain_list(brief, run.items(), **kw).collect()]
+    assert listed(surfaced_only=True, text="PACKER", entity="srv-mail", min_severity=4) == ["ws-ada"] and listed(limit=-1) == []
+    assert listed(mode="active") == ["ws-ada"] and listed(mode="triaged") == [] and listed(verdict="pending", text=" disk ") == ["ws-eli"] and listed(text="T1560") == ["ws-ada"] and listed(text="nowhere") == []
+    docs = run.documents(url="https://soc/", written_at_ms=5, size=2)
+    parts = {(r.part, r.block): json.loads(r.document) for r in docs.where("cluster_id like '%ada%'").collect()}
+    first = parts["chain", 0]
+    assert (first["alert_blocks"], first["entity_blocks"], set(parts)) == (2, 2, {("chain", 0), ("alerts", 0), ("alerts", 1), ("entities", 0), ("entities", 1)})
+    assert [a["uid"] for b in (0, 1) for a in parts["alerts", b]["alerts"]] == ["m1", "m2", "m3"] and parts["alerts", 0]["alerts"][1]["command"] == "packer a x.zip"
+    assert sum(len(parts["entities", b]["entities"]) for b in (0, 1)) == 4 and parts["alerts", 1]["alerts"][0]["techniques"] == [{"uid": "T1567", "name": "Web Service"}]
     assert first["@timestamp"] == "2026-03-02T09:05:00.000Z" and first["triage_status"] == "pending" and first["chain"]["alert_count"] == 3
     assert first["dashboard_url"] == "https://soc/incident/CHAIN-2026-03-02-ws-ada-001"
-    assert "# " in run.reports().first().report
-    assert views.lookup(docs, docs.where("false"), "CHAIN-2026-03-02-ws-ada-001").count() == 1
+    report = "\n".join(r.report for r in run.reports(size=2).where("cluster_id like '%ada%'").orderBy("block").collect())
+    assert report.startswith("# Upload to a new domain\n") and report.count("\n- ") == 7 and "**Verdict:** pending" in report and "Archive staged** Medium: ws-ada" in report.replace("\\", "")
+    assert views.lookup(docs, docs.where("false"), "CHAIN-2026-03-02-ws-ada-001").count() == 5 and views.lookup(docs.where("false"), docs, "CHAIN-2026-03-02-ws-ada-001").count() == 5
+    events = documents.event_list(run.items(), "web SERVICE", "203.0.113").count(), documents.event_list(run.items(), "p-5f").count(), documents.event_list(run.items()).count()
+    assert events == (0, 1, 4)
     nodes = {r.name: (r.domain, r.alert_count) for r in views.entity_nodes(run.bridge, run.entities, run.risk).collect()}
     assert nodes["mkoch"] == ("user", 2)
     pane = {r.entity_uid: (r.alerts, r.chains) for r in views.entity_pane(run.placed, run.bridge).collect()}
@@ -175,6 +183,102 @@ def test_prefilter_rules(spark):
     assert {r.ip: r.network for r in got.collect()} == {"10.10.3.4": "10.10.0.0/16", "10.9.0.1": "10.0.0.0/8", "11.0.0.1": None, None: None}
 
 
+def test_networks_of_all_lengths_match_brute_force(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(2)
+    v4 = lambda: f"10.{rng.randint(0, 3)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}"
+    v6 = lambda: str(ipaddress.ip_address((0xFD << 120) | rng.getrandbits(20) << 100 | rng.getrandbits(8)))
+    nets = [f"{v4()}/{rng.randint(0, 32)}" for _ in range(40)] + [f"{v6()}/{rng.randint(0, 128)}" for _ in range(40)] + ["10.0.0.1", "fd00::1", "10.0.0.0/33", "x/8", "10.0.0.0/y", None]
+    ips = [v4() for _ in range(150)] + [v6() for _ in range(150)] + ["10.0.0.1", "FD00::1", "::ffff:10.0.0.1", "nothing", None, "10.0.0.1"]
+    known = []
+    for n in nets:
+        try:
+            known.append((ipaddress.ip_network(n, strict=False), n))
+        except (ValueError, AttributeError):
+            pass
+
+    def narrowest(ip):
+        try:
+            a = ipaddress.ip_address(ip)
+        except ValueError:
+            return None
+        return min(((-n.prefixlen, name) for n, name in known if n.version == a.version and a in n), default=(0, None))[1]
+
+    rows = spark.createDataFrame([(k, ip) for k, ip in enumerate(ips)], "k int, ip string")
+    got = prefilter.trusted_join(rows, spark.createDataFrame([(n,) for n in nets], "network string"))
+    assert got.columns == ["k", "ip", "network"]
+    assert {r.k: r.network for r in got.collect()} == {k: narrowest(ip) if ip and "ffff" not in ip else None for k, ip in enumerate(ips)}
+
+
+def test_triage_redacts_restores_skips_and_fails(spark, run):
+    from emberline.plans import triage as T
+
+    kb = spark.createDataFrame([("T1560", "Archive Collected Data", ["collection"], "archive packer data staged", "", []), ("T1137", "Office Startup", ["persistence"], "mail rule office startup", "", [])], "uid string, name string, tactics array<string>, description string, detection string, platforms array<string>")
+    asked = []
+
+    def verdict(frame):
+        rows = []
+        for r in frame.itertuples():
+            if "ws-eli" in r.prompt or "New disk" in r.prompt:
+                raise RuntimeError("no answer\nat all")
+            token = next(w for w in ("[HOST_1]", "[HOST_2]") if w in r.prompt)
+            leaked = [w for w in ("ws-ada", "mkoch", "198.51.100.23", "10.4.1.9") if w in r.prompt]
+            rows.append((r.cluster_id, "True Positive", 85, ["t1560", "T9999"], ["host.name", "made.up"], f"{token} was used; leaked {len(leaked)}", None))
+        import pandas as pd
+
+        return pd.DataFrame(rows, columns=["cluster_id", "verdict", "confidence", "techniques", "cited", "text", "error"])
+
+    result = T.triage(run, kb, verdict, SETTINGS, everything=True)
+    got = {r.cluster_id[17:23]: r for r in result.collect()}
+    ada, eli = got["ws-ada"], got["ws-eli"]
+    assert (ada.triage_status, ada.verdict, ada.confidence, ada.accepted, ada.rejected, ada.unverified, ada.cited) == ("triaged", "True Positive", 40, ["T1560"], ["T9999"], ["made.up"], ["host.name"])
+    assert ada.text in ("ws-ada was used; leaked 0", "srv-mail was used; leaked 0") and ada.named == ["T1560 Archive Collected Data"]
+    assert (eli.triage_status, eli.verdict, eli.triage_error) == ("ai_unavailable", None, "no answer")
+    brief = run.briefs(result)
+    assert [r.cluster_id[17:23] for r in documents.chain_list(brief, mode="triaged", verdict="True Positive").collect()] == ["ws-ada"]
+    assert documents.nav_counts(brief).first().asDict() == {"total": 2, "surfaced": 1, "triaged": 1}
+    doc = json.loads(run.documents(result).where("part = 'chain' and cluster_id like '%ada%'").first().document)
+    assert doc["triage"]["mitre_attack_techniques"] == ["T1560"] and doc["triage"]["confidence_score"] == 40 and doc["triage_status"] == "triaged"
+    report = "\n".join(r.report for r in run.reports(result).where("cluster_id like '%ada%'").orderBy("block").collect())
+    assert "**Verdict:** True Positive, confidence 40/100" in report and "- T1560 Archive Collected Data" in report and "> Cited, but not in the records: made.up" in report and "T9999" in report
+    failed = "\n".join(r.report for r in run.reports(result).where("cluster_id like '%eli%'").orderBy("block").collect())
+    assert "**Verdict:** none: no answer" in failed and "## Analysis" not in failed
+
+    def again(frame):
+        asked.extend(frame["cluster_id"])
+        return frame[["cluster_id"]].assign(verdict="False Positive", confidence=5, text="x")
+
+    second = {r.cluster_id[17:23]: r.verdict for r in T.triage(run, kb, again, SETTINGS, previous=result, everything=True).collect()}
+    assert second == {"ws-ada": "True Positive", "ws-eli": "False Positive"}  # what was triaged isn't asked again
+
+
+def test_candidates_and_messages(spark):
+    kb = spark.createDataFrame([("T1", "A & B", ["x", "y"], " one\ntwo ", "", []), ("T2", None, None, "d" * 700, "", [])], "uid string, name string, tactics array<string>, description string, detection string, platforms array<string>")
+    cases = spark.createDataFrame([("C1", ["T2", "T1", "T0"], "<chain/>"), ("C2", [], "p")], "cluster_id string, candidates array<string>, prompt string")
+    one, two = documents.messages(documents.candidate_text(cases, kb), "You review.", "Decide.").orderBy("cluster_id").collect()
+    assert one.candidate_xml == '<candidates>\n<technique id="T2" name="" tactics="">' + "d" * 600 + '…</technique>\n<technique id="T1" name="A &amp; B" tactics="x, y">one two</technique>\n</candidates>'
+    assert [m.role for m in one.messages] == ["system", "user"] and one.messages[1].content == "<chain/>\n\n" + one.candidate_xml + "\n\nDecide." and "none were found" in two.candidate_xml
+
+
+def test_order_over_buckets_equals_a_window(spark):
+    import random
+
+    from pyspark.sql import Window as W
+
+    from emberline.operators.temporal import ordered
+
+    rng = random.Random(3)
+    rows = [(rng.choice(("a", "b", None)), rng.choice((None, *range(0, 90, 3))), f"u{k:03}", rng.choice((None, k))) for k in range(200)]
+    df = spark.createDataFrame(rows, "key string, time long, uid string, v int")
+    w = W.partitionBy("key").orderBy("time", "uid")
+    plain = df.select("key", "time", "uid", F.row_number().over(w).alias("seq"), F.lag("v").over(w).alias("previous_v"), F.lead("uid").over(w).alias("following_uid"))
+    for width in (1, 10, 10**6):
+        got = ordered(df, "key", "time", "uid", ("v",), ("uid",), bucket_ms=width).select(*plain.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
 def normal(spark, records, mapping=FILE):
     rows = spark.createDataFrame([(json.dumps(r), k) for k, r in enumerate(records)], "raw string, k int")
     raw = files._raw(rows, F.parse_json("raw"), "file", T0) if mapping is FILE else files.hits(rows.withColumnRenamed("raw", "hit"), T0)

@@ -1,3 +1,4 @@
+import random
 import json
 import math
 
@@ -80,6 +81,32 @@ def test_redaction_round_trip(spark):
     assert out[0].back == text and out[1].redacted is None and out[2].redacted == ""
 
 
+def test_redaction_matches_one_value_after_another():
+    """Names that overlap and contain each other, against replacing them in turn by marks that nothing can match."""
+    rng = random.Random(1)
+    for _ in range(300):
+        names = {"".join(rng.choice("ab") for _ in range(rng.randint(2, 4))): rng.choice(("USER", "HOST")) for _ in range(rng.randint(0, 5))}
+        text = "".join(rng.choice("aabb c.") for _ in range(40))
+        redacted, tokens = evidence.redact_text(text, names)
+        plain = text
+        for k, name in enumerate(sorted(names, key=lambda v: (-len(v), v))):
+            plain = plain.replace(name, chr(1000 + k))
+        for k, name in enumerate(sorted(names, key=lambda v: (-len(v), v))):
+            plain = plain.replace(chr(1000 + k), tokens.get(name, "?"))
+        assert redacted == plain
+
+
+def test_redaction_of_texts_with_tokens_and_full_stops(spark):
+    cases = {
+        "[EMAIL_1] wrote to bob@x.org, see [EMAIL_2].": "[EMAIL_1] wrote to [EMAIL_3], see [EMAIL_2].",
+        "see 10.0.0.5.": "see [IP_INTERNAL_1].", "v1.2.3.4.5 and 1.2.3.4.5": "v1.2.3.4.5 and 1.2.3.4.5", "x=1.2.3.4;256.1.1.1": "x=[IP_EXTERNAL_1];256.1.1.1",
+        "USER and srv": "USER and [HOST_1]", "a.b-c@d-e.co.uk.": "[EMAIL_1].", "no@mail, @x.org": "no@mail, @x.org",
+    }
+    df = spark.createDataFrame([(t, {"srv": "HOST"}) for t in cases], "t string, e map<string,string>")
+    for r in evidence.redact(df, "t", "e").select("t", "redacted", evidence.restore(F.col("redacted"), F.col("tokens")).alias("back")).collect():
+        assert (r.redacted, r.back) == (cases[r.t], r.t)
+
+
 def test_distinct_texts_and_encoded_commands(spark):
     df = spark.createDataFrame([(["A", "a", "", "b", "B "],)], "x array<string>")
     assert df.select(evidence.distinct_texts(F.col("x")).alias("d")).first().d == ["A", "b", "B "]
