@@ -481,6 +481,14 @@ def _(spark, d):
     return latest_by_key(o, "o_custkey", F.struct("o_orderdate", "o_orderkey")).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("table_catalogue", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in _TABLES))
+def _(spark, d):
+    return files.catalogue(spark, d).where(F.col("name").isin(*_TABLES)).select("name", "rows")
+
+
 @query("conversation_threads", "SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles, count(*) FILTER (WHERE role = p) AS same_speaker FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) GROUP BY conv_id")
 def _(spark, d):
     w = W.partitionBy("conv_id").orderBy("turn")

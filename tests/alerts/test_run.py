@@ -312,6 +312,35 @@ def test_search_hits(spark):
     assert json.loads(finding(normal(spark, [hit], INDEX)).select(F.to_json(F.struct("*")).alias("j")).first().j)["class_uid"] == 2004
 
 
+def test_csv_rows_over_lines_and_splits(spark, tmp_path):
+    import csv
+    import random
+
+    rng = random.Random(1)
+    cell = lambda: rng.choice(("x", "", 'say "hi"', "two\nlines", "a,b", '"', "\n\n", "host", "é"))
+    rows = [["host", "rule", "id"]] + [[cell(), cell(), f"i{k}"] for k in range(300)] + [["host", "rule", "id"]]
+    with open(tmp_path / "a.csv", "w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows(rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(str(tmp_path / "a.csv")).rdd.getNumPartitions() > 5
+        got = files.read_csv(spark, str(tmp_path / "a.csv"), T0).select("raw", F.to_json("payload").alias("j")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    cells = lambda d: (d["host"], d["rule"], d["id"])
+    assert sorted(cells(json.loads(r.j)) for r in got) == sorted(map(tuple, rows[1:]))
+    assert all(next(csv.reader([*r.raw.splitlines(keepends=True)]))[2] == json.loads(r.j)["id"] for r in got)
+
+
+def test_a_catalogue_counts_without_data(spark, tmp_path):
+    spark.range(30).repartition(3).write.parquet(str(tmp_path / "top" / "b"))
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "top" / ".hidden.parquet"))
+    got = files.catalogue(spark, str(tmp_path / "top")).collect()
+    assert [(r.name, r.files, r.rows) for r in got if r.name == "b"] == [("b", 3, 30)] and all(r.bytes > 0 for r in got)
+
+
 def test_json_arrays_and_csv(spark, tmp_path):
     (tmp_path / "a.json").write_text(' [{"id": "1", "host": "h"}, 3, {"id": "2"}]')
     assert sorted(r.uid for r in normalize(files.read_records(spark, str(tmp_path / "a.json"), T0), FILE).collect()) == ["1", "2"]
