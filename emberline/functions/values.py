@@ -157,3 +157,14 @@ def ipv6_text(text: Column) -> Column:
     full = F.when(F.size(halves) == 2, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)).otherwise(left)
     valid = t.contains(":") & t.rlike(r"^[0-9a-f:]+$") & (F.size(halves) <= 2) & (F.size(full) == 8) & ~F.exists(full, lambda g: F.length(g) > 4) & ((F.size(halves) == 1) | (missing >= 1))
     return F.when(valid, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def address(text: Column) -> Column:
+    """An address as it is compared: without spaces, in lower case, and of IPv6 the short form, the first of the longest rows
+    of two or more zero groups as ``::`` (empty: null). What is no address stays as it is."""
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731: a value that is used often is made once
+    row = lambda n: "(^|:)0" + ":0" * (n - 1) + "(:|$)"
+    joined = lambda digits: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.regexp_replace(F.substring(digits, k * 4 + 1, F.lit(4)), "^0{1,3}", "")), ":")
+    cut = lambda g: F.coalesce(*(F.when(g.rlike(row(n)), F.regexp_replace(g, "^(.*?)" + row(n), "$1::")) for n in range(8, 1, -1)), g)
+    six = lambda t: once(ipv6_text(t), lambda digits: F.when(digits.isNotNull(), once(joined(digits), cut)))
+    return once(F.nullif(F.lower(F.trim(text)), F.lit("")), lambda t: F.when(t.contains(":"), F.coalesce(six(t), t)).otherwise(t))

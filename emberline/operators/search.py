@@ -37,7 +37,7 @@ def compile_bundle(bundles: DataFrame) -> DataFrame:
         technique_id(reference["external_id"]).alias("uid"), "name", F.coalesce(phases, F.array().cast("array<string>")).alias("tactics"), F.coalesce("description", F.lit("")).alias("description"),
         F.coalesce("x_mitre_detection", F.lit("")).alias("detection"), F.coalesce("x_mitre_platforms", F.array().cast("array<string>")).alias("platforms"), reference["url"].alias("url"), F.coalesce("x_mitre_is_subtechnique", F.lit(False)).alias("is_subtechnique"),
     ).where("uid is not null").dropDuplicates(["uid"])
-    return rows.withColumn("_one", F.lit(1)).join(version.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return rows.withColumn("version", version.scalar())
 
 
 def technique_documents(kb: DataFrame) -> DataFrame:
@@ -54,9 +54,9 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     tf = words.groupBy("uid", "t").agg(F.sum("w").alias("tf"))
     asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("t")).groupBy("query", "t").agg(F.least(F.count("*"), F.lit(QUERY_CAP)).alias("n"))
     lengths = tf.groupBy("uid").agg(F.sum("tf").alias("length"))
-    whole = docs.agg(F.count("*").alias("docs")).withColumn("_one", F.lit(1)).join(lengths.agg(F.avg("length").alias("mean")).withColumn("_one", F.lit(1)), "_one")
+    whole = {"docs": docs.agg(F.count("*")).scalar(), "mean": lengths.agg(F.avg("length")).scalar()}
     hit = tf.join(asked.select("t").distinct(), "t", "left_semi")
-    df = hit.groupBy("t").agg(F.count("*").alias("df")).withColumn("_one", F.lit(1)).join(whole, "_one")
+    df = hit.groupBy("t").agg(F.count("*").alias("df")).withColumns(whole)
     idf = df.select("t", "mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))
     weighed = hit.join(idf, "t").join(lengths, "uid").select("uid", "t", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("s"))
@@ -77,9 +77,11 @@ def normalized(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double") / F.when(size == 0, F.lit(1.0)).otherwise(size))
 
 
-def cosine(queries: DataFrame, vectors: DataFrame, k: int, blocks: int = 16) -> DataFrame:
+def cosine(queries: DataFrame, vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """``queries(query, vector)`` against ``vectors(uid, vector)`` -> ``(query, rank, uid, score)``. The stated queries meet
-    all rows in blocks, by an equal key: each query is copied to every block, each row lies in one."""
+    all rows in blocks (as many as shuffles have partitions), by an equal key: each query is copied to every block, each row
+    lies in one. A task keeps its best ``k`` of each query (the limit of the window), so no more are shuffled."""
+    blocks = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = queries.select("query", normalized(F.col("vector")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     d = vectors.select("uid", normalized(F.col("vector")).alias("d"), F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int").alias("block"))
     score = F.aggregate(F.zip_with("q", "d", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from emberline.config import Settings
+from emberline.functions.values import address
 from emberline.operators import chains as C, entities as E, prefilter
 from emberline.operators.components import connected_components
 from emberline.operators.temporal import as_of, first_arrival
@@ -127,8 +128,7 @@ class AlertStream:
         """Writes the addresses of new alerts and returns what changes in the bridge, ``(uid, pos, time, node)``: the places
         of new alerts, and those of older ones whose address turns out to have had another holder."""
         node_of = lambda d: ids.where(F.col("domain") == d).groupBy("uid").agg(F.min("node").alias(f"{d}_node"))
-        ip = lambda c: F.when(F.trim(c) != "", F.lower(F.trim(c)))
-        base = arrived.select("uid", "time", ip("device_ip").alias("device_ip"), ip("src_ip").alias("src_ip")).join(node_of("host"), "uid", "left").join(node_of("user"), "uid", "left")
+        base = arrived.select("uid", "time", address(F.col("device_ip")).alias("device_ip"), address(F.col("src_ip")).alias("src_ip")).join(node_of("host"), "uid", "left").join(node_of("user"), "uid", "left")
         base = materialize(base, "base")
         at = lambda pos, c, node, rows: rows.select(F.col(c).alias("ip"), "uid", F.lit(pos).alias("pos"), "time", node.alias("node"))
         none = F.lit(None).cast("string")
@@ -206,8 +206,7 @@ class AlertStream:
         named = self._entity(ids, n, 1).select("domain", "kind", "value", "display", "time", F.col("entity").alias("entity_uid"))
         own = F.substring_index("entity", "|", -1)
         address = located.where("entity like 'ip|%'").select(F.lit("ip").alias("domain"), F.lit("ip").alias("kind"), own.alias("value"), own.alias("display"), "time", F.col("entity").alias("entity_uid"))
-        ip = F.lower(F.trim("device_ip"))
-        hosts = located.where("pos = 1").join(rows.where("trim(device_ip) <> ''").select("uid", ip.alias("ip")), "uid")
+        hosts = located.where("pos = 1").join(rows.select("uid", address(F.col("device_ip")).alias("ip")).where("ip is not null"), "uid")
         leased = hosts.select(F.lit("host").alias("domain"), F.lit("ip").alias("kind"), F.col("ip").alias("value"), F.col("ip").alias("display"), "time", F.col("entity").alias("entity_uid"))
         only = concerned.select(F.col("entity").alias("entity_uid"))
         of = lambda df: df.join(only, "entity_uid", "left_semi")
@@ -251,9 +250,8 @@ class AlertStream:
         gone = materialize(self.members.lookup(ended, n, 1), "gone")
         lying = materialize(self.bridge.lookup(gone.select("uid"), n, 1), "lying")
         left = materialize(self._entity(lying, n, 1).select("entity", "uid").distinct(), "left")
-        ip = lambda c: F.lower(F.trim(c))
         rows = self.alerts.lookup(gone.select("uid"), n, 1)
-        at = rows.select("uid", F.explode(F.array_distinct(F.array_compact(F.array(ip("device_ip"), ip("src_ip"))))).alias("ip"))
+        at = rows.select("uid", F.explode(F.array_distinct(F.array_compact(F.array(*(address(F.col(c)) for c in ("device_ip", "src_ip")))))).alias("ip"))
         addresses = self.addresses.lookup(at.select("ip"), n, 1).join(gone.select("uid"), "uid", "left_semi")
         nodes = materialize(self.nodes.lookup(stale, n, 1), "nodes") if stale is not None else None
         for table, keys in ((self.addresses, addresses), (self.chains, ended), (self.members, gone), (self.placed, gone), (self.bridge, lying), (self.touches, left)):

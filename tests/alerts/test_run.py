@@ -165,6 +165,21 @@ def test_addresses_follow_their_leases_and_identifiers_bridge(small):
     assert [owner[f"{n:02}-{k:02}"] for k in range(4)] == [f"A-{n}", f"A-{n}", f"B-{n}", f"A-{n}"]
 
 
+def test_forms_of_one_address_meet(spark):
+    import ipaddress
+    import random
+
+    from emberline.functions.values import address
+
+    rng = random.Random(5)
+    whole = [":".join(f"{rng.choice((0, 0, 0, 1, 0xAB, 0xFFFF)):x}" for _ in range(8)) for _ in range(300)] + ["0:0:0:0:0:0:0:0", "1:0:0:0:0:0:0:0", "0:0:0:0:0:0:0:1"]
+    forms = [(x, str(ipaddress.ip_address(x))) for x in whole if not x.startswith("0:0:0:0:0:ffff:")] + [(" FE80::0:1 ", "fe80::1"), ("10.0.0.1 ", "10.0.0.1"), ("junk", "junk"), (" ", None), (None, None), ("ABCD:EF01:2345:6789:ABCD:EF01:2345:6789", "abcd:ef01:2345:6789:abcd:ef01:2345:6789")]
+    df = spark.createDataFrame(forms, "x string, want string")
+    assert [(r.x, r.want, r.got) for r in df.select("x", "want", address(F.col("x")).alias("got")).collect() if r.want != r.got] == []
+    rows = [{"uid": "a", "t": 0, "hostname": "H", "device_ip": "fe80:0:0:0::1"}, {"uid": "b", "t": 5, "src_ip": "FE80::0001"}]
+    assert [c.alert_count for c in correlate(alerts(spark, rows)).chains.collect()] == [2]
+
+
 def test_a_uid_counts_once_and_the_order_of_rows_does_not_matter(spark):
     rows = [{"uid": "x", "t": 0, "hostname": "A"}, {"uid": "x", "t": 5, "hostname": "A"}, {"uid": "y", "t": 7, "hostname": "A"}, {"uid": "z", "t": 90, "hostname": "A"}]
     a, b = (correlate(alerts(spark, r)).chains.orderBy("cluster_id").collect() for r in (rows[1:] + rows[:1], rows[::-1]))
