@@ -22,6 +22,8 @@ from emberline.functions.values import address
 from emberline.operators import chains as C, entities as E, prefilter
 from emberline.operators.components import connected_components
 from emberline.operators.temporal import as_of, first_arrival
+from emberline.plans import documents
+from emberline.sources.sink import Results
 from emberline.storage import collected, materialize, remove
 from emberline.streaming.tables import BUCKETS, Keyed, Versioned
 
@@ -40,9 +42,10 @@ def _schema(text: str) -> T.StructType:
 
 class AlertStream:
     """State under the folder ``state``, shared by all executors: ``buckets`` is fixed when the state is made, and should
-    grow with the alerts that are retained."""
+    grow with the alerts that are retained. ``results``: where the documents of surfaced chains are written as they change."""
 
-    def __init__(self, spark: SparkSession, state: str, settings: Settings | None = None, buckets: int = BUCKETS) -> None:
+    def __init__(self, spark: SparkSession, state: str, settings: Settings | None = None, buckets: int = BUCKETS, results: Results | None = None) -> None:
+        self.results = results
         self.spark, self.settings, self.path = spark, settings or Settings(), state.rstrip("/")
         keyed = lambda name, by, key, schema: Keyed(spark, f"{self.path}/{name}", by, key, _schema(schema) if schema else None, buckets)
         self.alerts = keyed("alerts", "uid", ("uid",), None)
@@ -198,6 +201,12 @@ class AlertStream:
         self._expire(horizon, n)
         seen = prior.select("cluster_id", F.col("fingerprint").alias("f"), F.col("surfaced").alias("was")).dropDuplicates(["cluster_id"])
         live = named.where(F.col("last_time") >= horizon).join(seen, "cluster_id", "left").where("f is null or f <> fingerprint")
+        if self.results is not None:
+            shown = materialize(live.where("surfaced").drop("f", "was"), "shown")
+            of = placed.join(shown.select("chain"), "chain", "left_semi")
+            items, who = documents.alert_items(of, rows, bridge, entities), documents.chain_entities(of, bridge, entities.drop("risk"), risk)
+            ended = prior.select("cluster_id").join(named.select("cluster_id"), "cluster_id", "left_anti")
+            self.results.write(documents.documents(shown, items, who, url=s.dashboard_url), n, ended)
         return live.withColumn("is_new", F.col("surfaced") & ~F.coalesce("was", F.lit(False))).drop("f", "was")
 
     def _entities(self, rows: DataFrame, bridge: DataFrame, located: DataFrame, concerned: DataFrame, n: int) -> DataFrame:
@@ -205,12 +214,12 @@ class AlertStream:
         ids = E.identifiers(rows).withColumn("node", F.concat_ws("|", "domain", "kind", "value"))
         named = self._entity(ids, n, 1).select("domain", "kind", "value", "display", "time", F.col("entity").alias("entity_uid"))
         own = F.substring_index("entity", "|", -1)
-        address = located.where("entity like 'ip|%'").select(F.lit("ip").alias("domain"), F.lit("ip").alias("kind"), own.alias("value"), own.alias("display"), "time", F.col("entity").alias("entity_uid"))
+        lone = located.where("entity like 'ip|%'").select(F.lit("ip").alias("domain"), F.lit("ip").alias("kind"), own.alias("value"), own.alias("display"), "time", F.col("entity").alias("entity_uid"))
         hosts = located.where("pos = 1").join(rows.select("uid", address(F.col("device_ip")).alias("ip")).where("ip is not null"), "uid")
         leased = hosts.select(F.lit("host").alias("domain"), F.lit("ip").alias("kind"), F.col("ip").alias("value"), F.col("ip").alias("display"), "time", F.col("entity").alias("entity_uid"))
         only = concerned.select(F.col("entity").alias("entity_uid"))
         of = lambda df: df.join(only, "entity_uid", "left_semi")
-        table = E.entity_table(of(bridge), of(named.unionByName(address).unionByName(leased)))
+        table = E.entity_table(of(bridge), of(named.unionByName(lone).unionByName(leased)))
         table = materialize(table.join(C.entity_risk(rows, of(bridge), self.settings.weights), "entity_uid", "left"), "entities")
         self.entities.write(table, only.join(table, "entity_uid", "left_anti"), n)
         other = bridge.select("entity_uid").distinct().join(only, "entity_uid", "left_anti")

@@ -22,3 +22,34 @@ def clock(source):
 def told(source, cursor):
     with Path(source + ".cursor").open("a") as f:
         f.write(f"{cursor}\n")
+
+
+def stage(source, token, documents):
+    """A store in a folder: a file of staged documents for each task, and one of all that are published."""
+    rows = list(documents)
+    Path(source, f"staged-{token}").write_text(json.dumps(rows))
+    if any("poison" in (r["document"] or "") for r in rows):
+        raise RuntimeError("the store is down")
+
+
+def publish(source, tokens):
+    now = published(source)
+    for token in tokens:
+        for r in json.loads(Path(source, f"staged-{token}").read_text()):
+            now.pop(r["id"], None)
+            if r["document"] is not None:
+                now[r["id"]] = r["document"]
+            with Path(source, "log").open("a") as f:
+                f.write(r["id"] + "\n")
+    Path(source, "published").write_text(json.dumps(now))
+    discard(source, tokens)
+
+
+def discard(source, tokens):
+    for token in tokens:
+        Path(source, f"staged-{token}").unlink(missing_ok=True)
+
+
+def published(source):
+    p = Path(source, "published")
+    return json.loads(p.read_text()) if p.exists() else {}

@@ -14,6 +14,7 @@ from emberline.config import Settings  # noqa: E402
 from emberline.sources.paged import PagedIndex, distinct_hits, pages  # noqa: E402
 from emberline.streaming.engine import AlertStream  # noqa: E402
 from emberline.plans.run import correlate  # noqa: E402
+from emberline.sources.sink import Results  # noqa: E402
 from emberline.streaming.tables import Keyed, Versioned  # noqa: E402
 
 
@@ -172,6 +173,46 @@ def test_a_cycle_touches_only_its_components(spark, tmp_path):
     assert sorted(c.alert_count for c in stream.chains.read().collect())[-1] == 8 and stream.merged.read().count() == 1
 
 
+STORE = {f: f"tests.alerts.fake_index:{f}" for f in ("stage", "publish", "discard")}
+
+
+def test_results_are_written_once_and_whole(spark, tmp_path):
+    store = tmp_path / "store"
+    store.mkdir()
+    results = Results(spark, str(tmp_path / "state"), STORE | {"source": str(store)}, buckets=2)
+    rows = lambda *r: spark.createDataFrame(r, "cluster_id string, part string, block long, document string").repartition(3)
+    log = lambda: (store / "log").read_text().split()
+    first = rows(("C1", "chain", 0, '{"written_at":1,"n":1}'), ("C1", "alerts", 0, "[1]"), ("C1", "alerts", 1, "[2]"), ("C2", "chain", 0, "{}"))
+    results.write(first, 0)
+    before = fake_index.published(store)
+    assert set(before) == {"C1#chain#0", "C1#alerts#0", "C1#alerts#1", "C2#chain#0"}
+    results.write(first, 0)  # the batch again
+    assert fake_index.published(store) == before
+    done = len(log())
+    results.write(rows(("C1", "chain", 0, '{"written_at":2,"n":1}'), ("C1", "alerts", 0, "[3]")), 1, spark.createDataFrame([("C2",)], "cluster_id string"))
+    assert fake_index.published(store) == {"C1#chain#0": '{"written_at":1,"n":1}', "C1#alerts#0": "[3]"}
+    assert sorted(log()[done:]) == ["C1#alerts#0", "C1#alerts#1", "C2#chain#0"]  # one changed, two went
+    held = fake_index.published(store)
+    with pytest.raises(Exception, match="the store is down"):
+        results.write(rows(("C3", "chain", 0, "{}"), ("C4", "chain", 0, "poison"), ("C5", "chain", 0, "{}")), 2)
+    assert fake_index.published(store) == held and "poison" not in "".join(p.read_text() for p in store.glob("staged-*"))
+    results.write(rows(("C3", "chain", 0, "{}")), 2)
+    assert set(fake_index.published(store)) == {*held, "C3#chain#0"}
+
+
+def test_a_stream_writes_surfaced_chains(spark, tmp_path):
+    store = tmp_path / "store"
+    store.mkdir()
+    results = Results(spark, str(tmp_path / "state"), STORE | {"source": str(store)}, buckets=2)
+    stream = AlertStream(spark, str(tmp_path / "state"), Settings(dashboard_url="https://soc"), buckets=2, results=results)
+    rows = [{"uid": "a1", "t": 0, "hostname": "A", "severity_id": 5}, {"uid": "a2", "t": 1, "hostname": "A"}, {"uid": "b1", "t": 2, "hostname": "B", "severity_id": 1}]
+    stream.cycle(alerts(spark, rows), 0, flush=True)
+    got = {k: json.loads(v) for k, v in fake_index.published(store).items()}
+    name = "CHAIN-2026-07-11-A-001"
+    assert set(got) == {f"{name}#chain#0", f"{name}#alerts#0", f"{name}#entities#0"} and got[f"{name}#chain#0"]["chain"]["risk_score"] == 20.0
+    assert [a["uid"] for a in got[f"{name}#alerts#0"]["alerts"]] == ["a1", "a2"] and got[f"{name}#chain#0"]["dashboard_url"] == f"https://soc/incident/{name}"
+
+
 def test_keyed_tables_merge_and_replay(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(r, "k string, n int, v string")
     t = Keyed(spark, str(tmp_path / "t"), "k", ("k", "n"), rows(("", 0, "")).schema, buckets=3)
