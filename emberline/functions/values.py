@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import UTC, datetime
 from itertools import combinations
 
@@ -159,10 +160,14 @@ def ipv6_text(text: Column) -> Column:
     return F.when(valid, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, with a value that ``f`` uses often made once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def address(text: Column) -> Column:
     """An address as it is compared: without spaces, in lower case, and of IPv6 the short form, the first of the longest rows
     of two or more zero groups as ``::`` (empty: null). What is no address stays as it is."""
-    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731: a value that is used often is made once
     row = lambda n: "(^|:)0" + ":0" * (n - 1) + "(:|$)"
     joined = lambda digits: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.regexp_replace(F.substring(digits, k * 4 + 1, F.lit(4)), "^0{1,3}", "")), ":")
     cut = lambda g: F.coalesce(*(F.when(g.rlike(row(n)), F.regexp_replace(g, "^(.*?)" + row(n), "$1::")) for n in range(8, 1, -1)), g)

@@ -7,7 +7,7 @@ import ipaddress
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberline.config import SEVERITY_FLOORS, Prefilter
-from emberline.functions.values import ipv4_number, ipv6_text
+from emberline.functions.values import ipv4_number, ipv6_text, once
 
 
 def trusted(text: Column, networks: tuple[str, ...]) -> Column:
@@ -40,8 +40,9 @@ def decide(alerts: DataFrame, rules: Prefilter) -> DataFrame:
 def _bits(address: Column) -> Column:
     """The bits of an address behind its family, as text whose prefixes are its networks (null: no address)."""
     binary = lambda digits, n: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.lpad(F.conv(F.substring(digits, i, F.lit(1)), 16, 2), 4, "0")), "")
-    v4, v6 = F.lpad(F.hex(ipv4_number(address)), 8, "0"), ipv6_text(address)
-    return F.when(v4.isNotNull(), F.concat(F.lit("4:"), binary(v4, 8))).when(v6.isNotNull(), F.concat(F.lit("6:"), binary(v6, 32)))
+    bits = lambda family, digits, n: once(digits, lambda d: F.when(d.isNotNull(), F.concat(F.lit(family), binary(d, n))))
+    six = F.when(address.contains(":"), bits("6:", ipv6_text(address), 32))
+    return F.coalesce(bits("4:", F.lpad(F.hex(ipv4_number(address)), 8, "0"), 8), six)
 
 
 def trusted_join(rows: DataFrame, networks: DataFrame, ip_col: str = "ip") -> DataFrame:
