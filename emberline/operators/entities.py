@@ -12,6 +12,7 @@ from emberline.config import DISPLAY, PRECEDENCE
 from emberline.functions.values import address, mac
 from emberline.operators.components import connected_components
 from emberline.operators.temporal import as_of
+from emberline.storage import materialize
 
 HOST_KINDS, USER_KINDS = ("agent_uid", "hostname", "mac", "process_guid"), ("upn", "username")
 
@@ -42,6 +43,7 @@ def resolve(alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
     hosts = named.where("domain = 'host'").select("uid", F.col("entity_uid").alias("host_entity"))
     users = named.where("domain = 'user'").select("uid", F.col("entity_uid").alias("user_entity"))
     base = alerts.select("uid", "time", address(F.col("device_ip")).alias("device_ip"), address(F.col("src_ip")).alias("src_ip")).join(hosts, "uid", "left").join(users, "uid", "left")
+    base = materialize(base, "addressed")  # read six times
     leases = base.where("device_ip is not null and host_entity is not null").select(F.col("device_ip").alias("ip"), "time", F.col("host_entity").alias("owner"))
     asked = base.where("device_ip is not null and host_entity is null").select("uid", "time", F.col("device_ip").alias("ip"), F.lit(2).alias("pos")).unionByName(
         base.where("src_ip is not null").select("uid", "time", F.col("src_ip").alias("ip"), F.lit(4).alias("pos"))
