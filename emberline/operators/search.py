@@ -44,20 +44,33 @@ def technique_documents(kb: DataFrame) -> DataFrame:
     return kb.select("uid", F.concat_ws(" ", "uid", "name", F.concat_ws(" ", "tactics")).alias("title"), F.concat_ws(" ", "description", "detection", F.concat_ws(" ", "platforms")).alias("body"))
 
 
+def term_counts(docs: DataFrame) -> DataFrame:
+    """``docs(uid, title, body)`` -> ``(uid, t, tf)``; a word of the title counts ``TITLE_WEIGHT`` times."""
+    words = docs.select("uid", F.explode(tokens(F.col("title"))).alias("t"), F.lit(TITLE_WEIGHT).alias("w")).unionByName(docs.select("uid", F.explode(tokens(F.col("body"))).alias("t"), F.lit(1).alias("w")))
+    return words.groupBy("uid", "t").agg(F.sum("w").alias("tf"))
+
+
+def asked_words(queries: DataFrame) -> DataFrame:
+    """``queries(query, text)`` -> ``(query, t, n)``; a word counts ``QUERY_CAP`` times at most."""
+    return queries.select("query", F.explode(tokens(F.col("text"))).alias("t")).groupBy("query", "t").agg(F.least(F.count("*"), F.lit(QUERY_CAP)).alias("n"))
+
+
+def rarity(docs: Column, df: Column) -> Column:
+    return F.log(1 + (docs - df + 0.5) / (df + 0.5))
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """``queries(query, text)`` against ``docs(uid, title, body)`` -> ``(query, rank, uid, score)``, the best ``k`` of each
     with a positive score, ties by uid. Title words weigh ``TITLE_WEIGHT``, a query word counts ``QUERY_CAP`` times at most.
 
     Only words that some query has are weighed; frequent words are counted before they are shuffled.
     """
-    words = docs.select("uid", F.explode(tokens(F.col("title"))).alias("t"), F.lit(TITLE_WEIGHT).alias("w")).unionByName(docs.select("uid", F.explode(tokens(F.col("body"))).alias("t"), F.lit(1).alias("w")))
-    tf = words.groupBy("uid", "t").agg(F.sum("w").alias("tf"))
-    asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("t")).groupBy("query", "t").agg(F.least(F.count("*"), F.lit(QUERY_CAP)).alias("n"))
+    tf, asked = term_counts(docs), asked_words(queries)
     lengths = tf.groupBy("uid").agg(F.sum("tf").alias("length"))
     whole = {"docs": docs.agg(F.count("*")).scalar(), "mean": lengths.agg(F.avg("length")).scalar()}
     hit = tf.join(asked.select("t").distinct(), "t", "left_semi")
     df = hit.groupBy("t").agg(F.count("*").alias("df")).withColumns(whole)
-    idf = df.select("t", "mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = df.select("t", "mean", rarity(F.col("docs"), F.col("df")).alias("idf"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))
     weighed = hit.join(idf, "t").join(lengths, "uid").select("uid", "t", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("s"))
     scored = asked.join(weighed, "t").groupBy("query", "uid").agg(F.sum(F.col("n") * F.col("s")).alias("score")).where("score > 0")
@@ -102,6 +115,22 @@ def validate(verdicts: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(F.size("unverified") > 0, F.least("confidence", F.lit(40))).otherwise(F.col("confidence")))
 
 
+def save_kb(kb: DataFrame, path: str) -> None:
+    """Writes compiled techniques as JSON lines, in place of what was there."""
+    kb.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+KB = "uid string, name string, tactics array<string>, description string, detection string, platforms array<string>, url string, is_subtechnique boolean, version string"
+
+
+def load_kb(spark: SparkSession, path: str) -> DataFrame:
+    """Saved techniques; an error where there are none, or where a line is none."""
+    rows = spark.read.schema(KB + ", _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    if not rows.take(1) or rows.where("uid is null").take(1):
+        raise ValueError(f"{path} holds no techniques")
+    return rows.drop("_broken")
+
+
 def read_bundle(spark: SparkSession, path: str) -> DataFrame:
     kb = compile_bundle(spark.read.text(path, wholetext=True))
     if not kb.take(1):

@@ -7,6 +7,7 @@ seventh event without a host.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from emberline.config import Prefilter, Settings
 from emberline.operators import entities as E, evidence, prefilter, search
+from emberline.operators.inverted import Index
 from emberline.operators.components import connected_components
 from emberline.operators.temporal import as_of, expired, first_arrival, intervals, ordered, sessions
 from emberline.functions.mapping import FILE, normalize
@@ -21,6 +23,7 @@ from emberline.plans import documents, views
 from emberline.plans.run import Run, correlate
 from emberline.plans.triage import triage
 from emberline.sources import files
+from emberline.storage import shared_dir
 from emberline.streaming.tables import latest_by_key
 
 SETTINGS = Settings(prefilter=Prefilter(severity_floor="none"))
@@ -435,6 +438,16 @@ def _(spark, d):
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("bm25_index", ORACLES["bm25_topk"])
+def _(spark, d):
+    """The index is written from three quarters of the documents, a third of them with other texts, which the rest and their
+    true texts replace."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("uid"), F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("body"))
+    index = Index(spark, f"{shared_dir(spark)}/inverted-{uuid.uuid4().hex}")
+    index.add(docs.where("uid % 4 > 0").withColumn("body", F.when(F.col("uid") % 4 == 1, F.reverse("body")).otherwise(F.col("body")))).add(docs.where("uid % 4 < 2"))
+    return index.top(table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text"), SETTINGS.top_k).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("cosine_topk", "SELECT query, r AS rank, uid, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, uid) AS r FROM (SELECT q.vec_id AS query, d.vec_id AS uid, list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0)) WHERE r <= 8")
 def _(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("uid"), F.col("embedding").alias("vector"))

@@ -2,9 +2,11 @@ import random
 import json
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberline.operators import evidence, search
+from emberline.operators.inverted import BLOCK, Index
 
 
 def technique(uid, name, **kw):
@@ -124,3 +126,54 @@ def test_names_to_redact(spark):
     pairs = [("User.Name", "ann"), ("host.name", "web-01"), ("account", "x9"), ("a.hostname", "-"), ("computer_name", "ann"), ("user.name", " n ")]
     df = spark.createDataFrame([(pairs,)], "p array<struct<key:string,value:string>>")
     assert df.select(evidence.seeds(F.col("p")).alias("s")).first().s == {"ann": "HOST", "web-01": "HOST"}
+
+
+def corpus(rng, n, start=0):
+    words = [f"w{k}" for k in range(400)]
+    return [(i, rng.choice(words), " ".join(words[min(int(rng.expovariate(0.02)), 399)] for _ in range(rng.choice([0, 3, 20, 60])))) for i in range(start, start + n)]
+
+
+def test_saved_index_ranks_like_a_scan_over_merged_and_replaced_documents(spark, tmp_path):
+    rng, form = random.Random(3), "uid int, title string, body string"
+    old, new = corpus(rng, 900), corpus(rng, 300, 750) + [(2000, None, None), (None, "w1", "w2"), (5, "w3", "W3 w3")]
+    asked = [(1, "w1 w1 w1 w1 w399 w380"), (2, "w0 w2"), (3, ""), (4, None), (5, "nowhere"), (6, "w300 w0 w0"), (7, "w398")]
+    queries = spark.createDataFrame(asked, "query int, text string")
+    index = Index(spark, str(tmp_path / "a")).add(spark.createDataFrame(old, form)).add(spark.createDataFrame(new, form))
+    now = {r[0]: r for r in old} | {r[0]: r for r in new if r[0] is not None}
+    docs = spark.createDataFrame(list(now.values()), form)
+    best = lambda df: sorted((r.query, r.rank, r.uid, r.score) for r in df.collect())
+    expected = best(search.bm25(queries, docs, 7))
+    assert expected and best(index.top(queries, 7)) == best(index.top(queries, 7, first=1)) == expected
+    packed = index.compact(str(tmp_path / "b"))
+    assert best(packed.top(queries, 7)) == expected and packed.table("dead").count() == 0 and len(packed.segments()) == 1
+    assert best(packed.add(spark.createDataFrame([], form)).top(queries, 7)) == expected
+    assert index.top(queries, 0).count() == 0
+
+
+def test_saved_index_opens_few_ranges_and_ignores_what_failed(spark, tmp_path):
+    docs = spark.range(6000).selectExpr("cast(id as int) uid", "'' title", "concat_ws(' ', 'common', if(id % 1500 = 7, 'rare', 'other'), repeat('filler ', cast(id % 50 as int))) body")
+    index = Index(spark, str(tmp_path / "i")).add(docs)
+    queries = spark.createDataFrame([(1, "rare common")], "query int, text string")
+    _, ranges = index.opened(queries, 4)
+    every = index.bounds(index.weights(queries))
+    assert every.count() >= 6000 / BLOCK and ranges.count() < every.count() / 10
+    assert [r.uid for r in index.top(queries, 4).orderBy("rank").collect()] == [r.uid for r in search.bm25(queries, docs, 4).orderBy("rank").collect()]
+    before = index.top(queries, 4).collect()
+    docs.limit(5).write.parquet(str(tmp_path / "i" / "000002" / "docs"))
+    assert index.segments()[-1].endswith("000001") and index.top(queries, 4).collect() == before
+    with pytest.raises(ValueError):
+        Index(spark, str(tmp_path / "none")).top(queries, 4)
+    empty = Index(spark, str(tmp_path / "e")).add(docs.limit(0))
+    assert empty.top(queries, 4).count() == 0
+
+
+def test_techniques_are_saved_and_loaded(spark, tmp_path):
+    kb = search.compile_bundle(spark.createDataFrame([(json.dumps(BUNDLE),)], "value string"))
+    search.save_kb(kb, str(tmp_path / "kb"))
+    assert sorted(search.load_kb(spark, str(tmp_path / "kb")).collect()) == sorted(kb.select(*search.load_kb(spark, str(tmp_path / "kb")).columns).collect())
+    search.save_kb(kb.limit(0), str(tmp_path / "kb"))
+    with pytest.raises(ValueError):
+        search.load_kb(spark, str(tmp_path / "kb"))
+    (tmp_path / "bad").write_text("{broken\n")
+    with pytest.raises(ValueError):
+        search.load_kb(spark, str(tmp_path / "bad"))
