@@ -2,8 +2,8 @@
 
 An index is a folder of numbered segments, each written once. A segment lays its documents out by length in ranges of
 ``BLOCK``; a posting row holds the documents of one range that have a word, and ``peak``, the largest share of the word's
-weight that any of them reaches. A query's bound for a range is the sum of its words' peaks, found without reading the
-postings, so that ranges whose bound lies below the query's k-th score so far are never opened.
+weight that any of them reaches. Words' and ranges' bounds come from the peaks without reading the postings: what can't
+reach a query's k-th score so far is never opened.
 
 Counts of words and documents are kept as differences: a segment that replaces documents of earlier ones subtracts theirs
 and lists them as dead. A segment counts once its last table is committed; what a failed attempt left is overwritten.
@@ -21,7 +21,7 @@ from emberline.operators.search import B, K1
 from emberline.storage import discard, materialize
 
 #: Documents of a range, and the ranges of a query that are scored before the others are held against its k-th score.
-BLOCK_BITS, FIRST = 6, 4
+BLOCK_BITS, FIRST = 4, 16
 BLOCK = 1 << BLOCK_BITS
 #: Scores equal to six places are ties, so a bound this far below the k-th score may still hold one.
 SLACK = 2e-6
@@ -114,36 +114,49 @@ class Index:
         worded, words = self.table("stats").agg(F.sum("worded"), F.sum("words")).first()
         return words / worded if worded else 1.0
 
-    def bounds(self, weights: DataFrame) -> DataFrame:
-        """``(query, segment, range, bound)``: no document of the range scores more. A longer mean length than the one at
-        the segment's time lifts a share by no more than their ratio."""
+    def blocks(self, weights: DataFrame) -> DataFrame:
+        """``(query, t, weight, segment, range, bound)``: the ranges that have a word of a query, and the most that it adds to
+        a score there. A longer mean length than at the segment's time lifts a share by no more than their ratio."""
         lift = F.greatest(F.lit(1.0), F.lit(self.mean()) / F.col("mean"))
-        blocks = self.table("postings").select("t", *_PLACE, (F.col("peak") * lift).alias("peak"))
-        return weights.join(blocks, "t").groupBy("query", *_PLACE).agg(F.sum(F.col("weight") * F.col("peak")).alias("bound"))
+        peaks = self.table("postings").select("t", *_PLACE, (F.col("peak") * lift).alias("peak"))
+        return weights.join(peaks, "t").select("query", "t", "weight", *_PLACE, (F.col("weight") * F.col("peak")).alias("bound"))
 
-    def scores(self, weights: DataFrame, ranges: DataFrame) -> DataFrame:
-        """``(query, uid, score)`` of the documents in ``ranges(query, segment, range)`` with a word of the query."""
-        wanted = ranges.select("query", *_PLACE).join(weights, "query")
-        hits = wanted.join(self.table("postings").select("t", *_PLACE, "hits"), ["t", *_PLACE]).select("query", "segment", "weight", F.inline("hits"))
-        return self._alive(hits).groupBy("query", "uid").agg(F.sum(F.col("weight") * _share(F.lit(self.mean()))).alias("score"))
+    def scores(self, blocks: DataFrame) -> DataFrame:
+        """``(query, segment, range, uid, score)``: what the postings of ``blocks`` add up to for each document."""
+        wanted = blocks.select("query", "t", "weight", *_PLACE)
+        hits = wanted.join(self.table("postings").select("t", *_PLACE, "hits"), ["t", *_PLACE]).select("query", *_PLACE, "weight", F.inline("hits"))
+        return self._alive(hits).groupBy("query", *_PLACE, "uid").agg(F.sum(F.col("weight") * _share(F.lit(self.mean()))).alias("score"))
 
     def top(self, queries: DataFrame, k: int, first: int = FIRST) -> DataFrame:
-        """``(query, rank, uid, score)`` as ``search.bm25`` over the documents of the index gives them, from the ranges that
-        ``opened`` names."""
-        return search.top(self.opened(queries, k, first)[0], k)
-
-    def opened(self, queries: DataFrame, k: int, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
-        """The scores of all documents that may be among the best ``k`` of a query, and ``(query, segment, range, bound,
-        n, least)``: the ranges they were looked for in, the first ones by bound and then those that reach ``least``."""
-        weights = materialize(self.weights(queries), "index-weights")
-        order = W.partitionBy("query").orderBy(F.desc("bound"), *_PLACE)
-        every = materialize(self.bounds(weights), "index-bounds")
-        best = every.withColumn("n", F.row_number().over(order)).where(F.col("n") <= first)
-        best = materialize(best, "index-first")
-        seen = materialize(self.scores(weights, best), "index-scores")
+        """``(query, rank, uid, score)`` as ``search.bm25`` over the documents of the index gives them."""
+        return search.top(self.search(queries, k, first)[0], k)
+
+    def search(self, queries: DataFrame, k: int, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
+        """``(query, uid, score)`` of all documents that may be among the best ``k`` of a query, and the blocks whose postings
+        were read for them.
+
+        The ``first`` ranges of a query by bound are scored whole; the k-th score there is the least that counts. In every
+        other range that may reach it, the words of least bound that together stay below it are light: a document with light
+        words alone is out. So documents come from the heavy words, and light ones are read only in ranges where a document
+        reaches the least score with all that light words could add.
+        """
+        key = ["query", *_PLACE]
+        blocks = materialize(self.blocks(materialize(self.weights(queries), "index-weights")), "index-blocks")
+        every = materialize(blocks.groupBy(*key).agg(F.sum("bound").alias("whole")), "index-ranges")
+        order = F.row_number().over(W.partitionBy("query").orderBy(F.desc("whole"), *_PLACE))
+        best = materialize(every.withColumn("n", order).where(F.col("n") <= first).select(*key), "index-first")
+        opened = blocks.join(best, key, "left_semi")
+        seen = materialize(self.scores(opened), "index-scores")
         place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "uid"))
-        least = seen.withColumn("place", place).where(F.col("place") == k).select("query", F.col("score").alias("least"))
-        rest = every.join(best.select("query", *_PLACE), ["query", *_PLACE], "left_anti").join(least, "query", "left").where(F.coalesce(F.col("bound") >= F.col("least") - SLACK, F.lit(True)))
-        rest = materialize(rest.withColumn("n", F.lit(None).cast("int")), "index-rest")
-        ranges = best.withColumn("least", F.lit(None).cast("double")).unionByName(rest)
-        return seen.unionByName(self.scores(weights, rest)), ranges
+        least = seen.withColumn("place", place).where(F.col("place") == max(k, 1)).select("query", (F.col("score") - SLACK).alias("least"))
+        reach = lambda c: F.coalesce(c >= F.col("least"), F.lit(True))
+        rest = every.join(best, key, "left_anti").join(least, "query", "left").where(reach(F.col("whole"))).select(*key, "least")
+        upto = F.sum("bound").over(W.partitionBy(*key).orderBy("bound", "t").rowsBetween(W.unboundedPreceding, 0))
+        words = materialize(blocks.join(rest, key).withColumn("heavy", reach(upto)), "index-words")
+        light = words.groupBy(*key).agg(F.first("least").alias("least"), F.sum(F.when(F.col("heavy"), 0.0).otherwise(F.col("bound"))).alias("light"))
+        near = self.scores(words.where("heavy")).join(light, key).where(reach(F.col("score") + F.col("light"))).select(*key, "uid", "score")
+        near = materialize(near, "index-near")
+        late = words.where("not heavy").join(near.select(*key).distinct(), key, "left_semi")
+        more = self.scores(late).join(near.select(*key, "uid"), [*key, "uid"], "left_semi")
+        found = seen.unionByName(near).unionByName(more).groupBy("query", "uid").agg(F.sum("score").alias("score"))
+        return found, opened.select(*key, "t").unionByName(words.where("heavy").select(*key, "t")).unionByName(late.select(*key, "t"))

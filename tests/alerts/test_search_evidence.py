@@ -154,9 +154,9 @@ def test_saved_index_opens_few_ranges_and_ignores_what_failed(spark, tmp_path):
     docs = spark.range(6000).selectExpr("cast(id as int) uid", "'' title", "concat_ws(' ', 'common', if(id % 1500 = 7, 'rare', 'other'), repeat('filler ', cast(id % 50 as int))) body")
     index = Index(spark, str(tmp_path / "i")).add(docs)
     queries = spark.createDataFrame([(1, "rare common")], "query int, text string")
-    _, ranges = index.opened(queries, 4)
-    every = index.bounds(index.weights(queries))
-    assert every.count() >= 6000 / BLOCK and ranges.count() < every.count() / 10
+    opened = index.search(queries, 4)[1]
+    every = index.blocks(index.weights(queries))
+    assert every.count() >= 6000 / BLOCK and 0 < opened.count() < every.count() / 10
     assert [r.uid for r in index.top(queries, 4).orderBy("rank").collect()] == [r.uid for r in search.bm25(queries, docs, 4).orderBy("rank").collect()]
     before = index.top(queries, 4).collect()
     docs.limit(5).write.parquet(str(tmp_path / "i" / "000002" / "docs"))
