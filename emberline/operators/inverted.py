@@ -87,8 +87,9 @@ class Index:
         docs = save("docs", laid.select(F.lit(number).alias("segment"), F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("range"), "uid", "length"))
         counts = lambda df, sign: df.agg(*(F.coalesce(sign * c, F.lit(0)).cast("long").alias(n) for n, c in (("docs", F.count("*")), ("worded", F.count_if(F.col("length") > 0)), ("words", F.sum("length")))))
         mean = docs.where("length > 0").agg(F.avg("length")).first()[0] or 1.0
-        of = tf.join(docs, "uid").groupBy("t", *_PLACE).agg(F.collect_list(F.struct("uid", "tf", "length")).alias("hits"), F.max(_share(F.lit(mean))).alias("peak"))
-        postings = save("postings", of.withColumn("mean", F.lit(mean)).repartitionByRange("t", "range").sortWithinPartitions("t", "range"))
+        # A range is whole in a task, so that its words are gathered without another shuffle.
+        of = tf.join(docs, "uid").repartition(*_PLACE).groupBy("t", *_PLACE).agg(F.collect_list(F.struct("uid", "tf", "length")).alias("hits"), F.max(_share(F.lit(mean))).alias("peak"))
+        postings = save("postings", of.withColumn("mean", F.lit(mean)).sortWithinPartitions("t", "range"))
         terms = postings.groupBy("t").agg(F.sum(F.size("hits")).alias("df"))
         stats = counts(docs, 1)
         if number == 1:
