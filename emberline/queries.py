@@ -238,11 +238,9 @@ def _(spark, d):
     return intervals(alert_view(spark, d).where("device_ip is not null").select(F.col("device_ip").alias("ip"), "time", "hostname"), "ip", "time", "hostname")
 
 
-@query("identifier_components", "WITH RECURSIVE e AS (SELECT DISTINCT 'h' || (event_id // 3) AS u, 'm' || (event_id // 60) || '-' || (event_id % 60 // 5) AS v FROM events), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u, v FROM b UNION SELECT r.u, b.v FROM r JOIN b ON r.v = b.u) SELECT u AS node, least(u, min(v)) AS component FROM r GROUP BY u")
+@query("identifier_components", "WITH RECURSIVE e AS (SELECT DISTINCT 'h' || (event_id // 3) AS u, 'm' || (event_id // 5) % 997 AS v FROM events), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u, v FROM b UNION SELECT r.u, b.v FROM r JOIN b ON r.v = b.u) SELECT u AS node, least(u, min(v)) AS component FROM r GROUP BY u")
 def _(spark, d):
-    i = F.col("event_id")
-    m = F.concat(F.lit("m"), F.floor(i / 60), F.lit("-"), F.floor(i % 60 / 5))
-    return connected_components(table(spark, d, "events").select(F.concat(F.lit("h"), F.floor(i / 3)).alias("u"), m.alias("v")))
+    return connected_components(table(spark, d, "events").selectExpr("concat('h', event_id div 3) AS u", "concat('m', event_id div 5 % 997) AS v"))
 
 
 @query("tactic_disposition", f"{ALL} SELECT chain, disposition FROM disp")

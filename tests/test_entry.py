@@ -24,3 +24,27 @@ def test_sessions_and_as_of_over_bucket_edges(spark):
     marks = spark.createDataFrame([("k", 5, "a"), ("k", 5, "b"), ("k", 90, "c"), ("q", 0, "z")], "k string, t long, v string")
     owner = {r.t: r.v for r in as_of(rows, marks, "k", "t", "v", bucket_ms=7).collect() if r.k}
     assert owner == {0: None, 9: "b", 10: "b", 19: "b", 35: "b", 36: "b", 100: "c", 105: "c", 115: "c"}
+
+
+def test_identifier_components_over_all_events_and_far_ones(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    ids = sorted(random.Random(3).sample(range(20_000), 700)) + [1_000_003, 1_000_011]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.node: r.component for r in __spark_entry__.queries()["identifier_components"](spark, str(tmp_path)).collect()}
+    top = {}
+
+    def find(n):
+        while top.setdefault(n, n) != n:
+            n = top[n]
+        return n
+
+    for i in ids:
+        low, high = sorted((find(f"h{i // 3}"), find(f"m{i // 5 % 997}")))
+        top[high] = low
+    assert got == {n: find(n) for n in top}
+    assert got["h333334"] == got[f"m{1_000_003 // 5 % 997}"] and len(set(got.values())) > 1
+    duckdb.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == dict(duckdb.sql(__spark_entry__.oracle_sql()["identifier_components"]).fetchall())
