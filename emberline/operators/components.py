@@ -30,8 +30,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``component`` is the smallest node reachable. Null ends and self loops are ignored; no edges give no rows. Every
     group is reduced to its minimum before it is shuffled, so a node with millions of links is no hot key for the
-    aggregation, and the joins can be split by adaptive execution. Each round is written to the shared folder, which
-    cuts the lineage; only two counters per round come to the driver.
+    aggregation; in the joins its links meet in one task. Each round is written to the shared folder, which cuts the
+    lineage; only two counters per round come to the driver.
     """
     now = materialize(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct(),
