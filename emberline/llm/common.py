@@ -82,25 +82,26 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunked(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
-    """Rows in groups of about ``limit`` bytes of text; a longer text is a group of its own."""
+def chunked(batches: Iterator[pa.RecordBatch], column: str, limit: int, most: int = 1 << 62) -> Iterator[pa.Table]:
+    """Rows in groups of about ``limit`` bytes of text and ``most`` rows; a longer text is a group of its own."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = rows = 0
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(pc.cast(batch.column(batch.schema.get_field_index(column)), pa.large_binary())), 0).to_numpy(zero_copy_only=False)
         at = 0
         while at < len(lengths):
             ends = np.cumsum(lengths[at:]) + size
-            n = int(np.searchsorted(ends, limit, "right"))
-            if n == 0 and size == 0:
+            n = min(int(np.searchsorted(ends, limit, "right")), most - rows)
+            if n == 0 and rows == 0:
                 n = 1
             if n:
                 held.append(batch.slice(at, n))
                 size = int(ends[n - 1])
+                rows += n
                 at += n
-            if at < len(lengths) or size >= limit:
+            if at < len(lengths) or size >= limit or rows >= most:
                 yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, size, rows = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
     pa.default_memory_pool().release_unused()  # the worker lives on, beside those of later stages

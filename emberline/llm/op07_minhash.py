@@ -31,6 +31,8 @@ BANDS = REGISTERS // ROWS
 PIVOTS, TILE, TEXT_TILE = 2, 2048, 512
 #: Bytes of text handled in one vector step; longer texts are taken in pieces of that size.
 TILE_BYTES = 1 << 18
+#: Texts in such a step at most: registers take 2 kB of each temporary for a text, however short it is.
+TILE_ROWS = 1024
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Hashes of shingle sets that a task remembers while it confirms pairs (8 bytes each).
@@ -147,7 +149,7 @@ def estimates_of(same: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for rows in common.chunked(batches, "text", TILE_BYTES):
+    for rows in common.chunked(batches, "text", TILE_BYTES, TILE_ROWS):
         sets = text_sets(*common.utf8(rows.column("text")), width)
         full = [x for x in sets if len(x)]
         found = iter(registers(full) if full else ())
@@ -193,7 +195,7 @@ def _set_names(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array, pa.Array]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for rows in common.chunked(batches, "text", TILE_BYTES):
+    for rows in common.chunked(batches, "text", TILE_BYTES, TILE_ROWS):
         names = _set_names(text_sets(*common.utf8(rows.column("text")), width))
         packed = pa.array([common.pack((x or "").encode()) for x in rows.column("text").to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([rows.column("doc").combine_chunks(), *names, packed], ["doc", "n", "set_a", "set_b", "text"])

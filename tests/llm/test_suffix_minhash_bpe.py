@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +154,14 @@ def test_tokens_match_the_library(docs, sample):
         expected.append((r[0], len(ids), b"".join(i.to_bytes(4, "little") for i in ids), (r[1] or "").encode()))
     assert got == sorted(expected)
     assert op06_bpe.encode(docs.where("false"), path, public.PATTERN).collect() == []
+
+
+@pytest.mark.parametrize("texts", [["a"] * 60_000, [None] * 4000 + ["ab cd ef gh ij kl " * 400_000]], ids=["many short texts", "a long text after empty ones"])
+def test_sketches_take_bounded_memory(texts):
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + len(t))), pa.array(t, pa.string())], ["doc", "text"]) for k in range(0, len(texts), 4000) if (t := texts[k : k + 4000])]
+    tracemalloc.start()
+    rows = [r for b in op07_minhash._sketches(iter(batches), 5) for r in zip(b.column("doc").to_pylist(), b.column("n").to_pylist())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == [(k, 0 if t is None else 1 if t == "a" else 6) for k, t in enumerate(texts)]
+    assert peak < 200e6
