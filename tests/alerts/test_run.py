@@ -366,3 +366,42 @@ def test_json_arrays_and_csv(spark, tmp_path):
         files.read_records(spark, str(tmp_path / "none.ndjson")).collect()
     names = spark.createDataFrame([("logs-a",), ("x",), (".siem-signals-b",), ("my-alerts",), ("logs-a",)], "name string")
     assert {r.name: r.rank for r in files.suggest(names).collect()} == {"logs-a": 4, ".siem-signals-b": 2}
+
+
+def test_chains_link_sessions_and_not_alerts(spark, monkeypatch):
+    import random
+
+    from emberline.operators import chains
+
+    rng = random.Random(4)
+    rows = [(f"u{k:03}", k * MIN, f"host{k % 2}") for k in range(300)] + [("u007", 7 * MIN, "user7"), ("u207", 207 * MIN, "user7")]
+    rows += [(f"v{k:02}", rng.randrange(9000) * MIN, f"name{rng.randrange(12)}") for k in range(90)]
+    rows += [(u, t, f"more{rng.randrange(6)}") for u, t, e in rows if e.startswith("name")]
+    linked, found = [], chains.connected_components
+    monkeypatch.setattr(chains, "connected_components", lambda edges: linked.append(edges.count()) or found(edges))
+    got = {r.uid: r.chain for r in chains.members(spark.createDataFrame(rows, "uid string, time long, entity_uid string"), 60 * MIN).collect()}
+    top = {u: u for u, _, _ in rows}
+
+    def head(u):
+        while top[u] != u:
+            u = top[u]
+        return u
+
+    for entity in {e for _, _, e in rows}:
+        of = sorted((t, u) for u, t, e in rows if e == entity)
+        for (t, u), (later, v) in zip(of, of[1:]):
+            if later - t <= 60 * MIN:
+                low, high = sorted((head(u), head(v)))
+                top[high] = low
+    assert got == {u: head(u) for u in top} and len(set(got.values())) > 20
+    assert linked[0] < 50
+
+
+def test_sightings_are_reduced_to_spellings(spark):
+    from emberline.operators import entities
+
+    rows = [{"uid": f"s{k:02}", "t": k, "hostname": ("A", "a")[k % 2], "username": "j", "device_ip": "10.0.0.9"} for k in range(40)] + [{"uid": "x", "t": -1, "src_ip": "10.0.0.8"}, {"uid": "y", "t": 99, "src_ip": "10.0.0.8"}]
+    bridge, sighted = entities.resolve(alerts(spark, rows))
+    got = sorted((r.entity_uid, r.kind, r.value, r.display, (r.time - T0) // MIN) for r in sighted.collect())
+    assert got == [("host|hostname|a", "hostname", "a", "A", 0), ("host|hostname|a", "hostname", "a", "a", 1), ("host|hostname|a", "ip", "10.0.0.9", "10.0.0.9", 0), ("ip|ip|10.0.0.8", "ip", "10.0.0.8", "10.0.0.8", -1), ("user|username|j", "username", "j", "j", 0)]
+    assert {r.name for r in entities.entity_table(bridge, sighted).collect()} == {"A", "j", "10.0.0.8"}
