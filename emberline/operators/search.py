@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: Fixed values of the ranking function.
@@ -90,15 +95,88 @@ def normalized(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double") / F.when(size == 0, F.lit(1.0)).otherwise(size))
 
 
+#: Queries and vectors of a tile, and the scores of it that are held at once.
+TILE_QUERIES, TILE_VECTORS, HELD = 16_384, 8_192, 1 << 21
+
+
 def cosine(queries: DataFrame, vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
-    """``queries(query, vector)`` against ``vectors(uid, vector)`` -> ``(query, rank, uid, score)``. The stated queries meet
-    all rows in blocks (as many as shuffles have partitions), by an equal key: each query is copied to every block, each row
-    lies in one. A task keeps its best ``k`` of each query (the limit of the window), so no more are shuffled."""
-    blocks = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = queries.select("query", normalized(F.col("vector")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    d = vectors.select("uid", normalized(F.col("vector")).alias("d"), F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int").alias("block"))
-    score = F.aggregate(F.zip_with("q", "d", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return top(q.join(d, "block").select("query", "uid", score.alias("score")), k)
+    """``queries(query, vector)`` against ``vectors(uid, vector)`` -> ``(query, rank, uid, score)``. All pairs are scored, tile
+    by tile: each query is copied to every block of vectors, each vector to every block of queries, and a tile is so many
+    rows at most, whatever the tables' sizes. A tile gives its best ``k`` of each query. A vector that is null or holds
+    nulls scores null, last of all."""
+    n, parts = vectors.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks, tiles = max(blocks or min(parts, n // 256), -(-n // TILE_VECTORS), 1), max(-(-queries.count() // TILE_QUERIES), 1)
+    dealt = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    whole = F.when(~F.exists("vector", lambda x: x.isNull()), F.col("vector")).alias("v")
+    q = queries.select("query", whole, dealt("query", tiles).alias("tile")).withColumn("block", every(blocks))
+    d = vectors.select("uid", whole, dealt("uid", blocks).alias("block")).withColumn("tile", every(tiles))
+    kinds = f"query {q.schema['query'].dataType.simpleString()}, uid {d.schema['uid'].dataType.simpleString()}, score double"
+    return top(q.groupBy("tile", "block").cogroup(d.groupBy("tile", "block")).applyInArrow(lambda x, y: _tile(x, y, max(k, 0)), kinds), k)
+
+
+def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of the vectors of each length: their places, and themselves as a matrix, ``normalized`` in its order of sums."""
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy()
+    flat, ends = pc.list_flatten(column).to_numpy(), np.cumsum(np.maximum(lengths, 0))
+    at = {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths) if n >= 0}
+    out = {}
+    with np.errstate(invalid="ignore", over="ignore"):
+        for n, i in at.items():
+            v = flat[(ends[i] - n)[:, None] + np.arange(n)].astype(float)
+            size = np.zeros(len(i))
+            for c in range(n):
+                size += v[:, c] * v[:, c]
+            out[n] = i, v / np.where(size == 0, 1.0, np.sqrt(size))[:, None]
+    return out
+
+
+def _sixth(scores: np.ndarray) -> np.ndarray:
+    """Millionths as SQL rounds them: halves of the decimal spelling away from zero."""
+    out = np.floor(scores * 1e6 + 0.5)
+    for i in np.flatnonzero(np.abs(scores * 1e6 - np.floor(scores * 1e6) - 0.5) < 1e-6):
+        out[i] = float(Decimal(repr(float(scores[i]))).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP))
+    return out
+
+
+def _tile(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
+    """The best ``k`` vectors of each query of a tile. A matrix product finds those that may be among them; their scores are
+    then summed component by component, so that they don't depend on the tile."""
+    rows, cols, scores = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+    n = vectors.num_rows
+    if n and k and queries.num_rows:
+        left, right = _by_length(queries["v"]), _by_length(vectors["v"])
+        ids = np.empty(n, int)
+        ids[pc.sort_indices(vectors["uid"], null_placement="at_start").to_numpy()] = np.arange(n)
+        step, last = max(HELD // n, 1), max(n - k, 0)
+        for start in range(0, queries.num_rows, step):
+            whole = np.full((min(step, queries.num_rows - start), n), -np.inf)  # stays where a score is null
+            for m in left.keys() & right.keys():
+                own = (left[m][0] >= start) & (left[m][0] < start + step)
+                with np.errstate(invalid="ignore"):
+                    made = left[m][1][own] @ right[m][1].T
+                whole[np.ix_(left[m][0][own] - start, right[m][0])] = np.where(np.isnan(made), np.inf, made)
+            least = np.partition(whole, last, axis=1)[:, last]
+            i, j = np.nonzero(whole >= (least - 2e-6)[:, None])
+            exact = np.full(len(i), np.nan)
+            for m in left.keys() & right.keys():
+                row, col = np.full(len(whole), -1), np.full(n, -1)
+                own = np.flatnonzero((left[m][0] >= start) & (left[m][0] < start + step))
+                row[left[m][0][own] - start], col[right[m][0]] = own, np.arange(len(right[m][0]))
+                of = np.flatnonzero((row[i] >= 0) & (col[j] >= 0))
+                x, y, total = left[m][1][row[i[of]]].T, right[m][1][col[j[of]]].T, np.zeros(len(of))
+                for c in range(m):
+                    total += x[c] * y[c]
+                exact[of] = total
+            none, odd = whole[i, j] == -np.inf, np.isnan(exact)
+            key = _sixth(np.where(odd, 0.0, exact))
+            key[odd], key[none] = np.inf, -np.inf
+            order = np.lexsort((ids[j], -key, i))
+            i, j, exact, none = i[order], j[order], exact[order], none[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            rows.append(i[keep] + start), cols.append(j[keep]), scores.append(np.ma.masked_array(exact, none)[keep])
+    score = pa.array(np.ma.concatenate(scores).filled(np.nan), mask=np.ma.getmaskarray(np.ma.concatenate(scores)))
+    return pa.table({"query": queries["query"].take(np.concatenate(rows)), "uid": vectors["uid"].take(np.concatenate(cols)), "score": score})
 
 
 def validate(verdicts: DataFrame) -> DataFrame:

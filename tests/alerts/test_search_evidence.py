@@ -177,3 +177,25 @@ def test_techniques_are_saved_and_loaded(spark, tmp_path):
     (tmp_path / "bad").write_text("{broken\n")
     with pytest.raises(ValueError):
         search.load_kb(spark, str(tmp_path / "bad"))
+
+
+def test_cosine_in_tiles_is_that_of_all_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    base = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(30)]
+    rows = [(k, base[rng.randrange(30)] if k % 3 else [rng.gauss(0, 1) for _ in range(5)]) for k in range(400)] + [(500, None), (501, [1.0, None, 0.0, 0.0, 0.0]), (502, [0.0] * 5), (503, [2.0, 1.0]), (504, [float("nan")] * 5)]
+    v = spark.createDataFrame(rows, "uid long, vector array<double>")
+    q = v.where("uid % 7 = 0 or uid > 499").withColumnRenamed("uid", "query")
+    p = q.select("query", search.normalized(F.col("vector")).alias("a")).crossJoin(v.select("uid", search.normalized(F.col("vector")).alias("b")))
+    score = F.aggregate(F.zip_with("a", "b", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    shown = lambda df: sorted((r.query, r.rank, r.uid, repr(r.score)) for r in df.collect())
+    for k, tiles in ((6, (16_384, 8_192, 1 << 21)), (40, (20, 50, 100)), (1, (7, 9, 1))):
+        for name, size in zip(("TILE_QUERIES", "TILE_VECTORS", "HELD"), tiles):
+            monkeypatch.setattr(search, name, size)
+        assert shown(search.cosine(q, v, k)) == shown(search.top(p.select("query", "uid", score.alias("score")), k))
+    plan = search.cosine(q, v, 3)._jdf.queryExecution().toString()
+    assert "CoGroups" in plan and "Join" not in plan
+    import numpy as np
+
+    assert search._sixth(np.array([0.1234565, -0.1234565, 0.5, 1.0])).tolist() == [123457.0, -123457.0, 500000.0, 1000000.0]
